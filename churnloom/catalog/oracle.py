@@ -339,7 +339,7 @@ _PROFILE_TYPES = {"SeniorCitizen": "int", "tenure": "int", "MonthlyCharges": "do
 ORACLE: dict[str, str] = {
     "scan_customers": RAW + "SELECT * FROM raw",
     "drop_system_columns": RAW + "SELECT * FROM raw",
-    "scan_csv_customers": RAW + "SELECT * FROM raw",
+    "scan_csv": RAW + "SELECT * FROM raw",
     "to_json_records": RAW
     + "SELECT customerID, SeniorCitizen, tenure, MonthlyCharges, TotalCharges FROM raw",
     "append_records": RAW + "SELECT * FROM raw UNION ALL SELECT * FROM raw",
@@ -514,8 +514,8 @@ GROUP BY y, p""",
     + _metrics("position, model", "held")
     + f"SELECT position, model, {_RATE_SELECT}, tn, fp, fn, tp FROM rates "
     "ORDER BY rates.f1_score DESC, position LIMIT 1",
-    "ingest_customers": CLEANED + f"SELECT *, {_SPLIT} FROM cleaned",
-    "validate_customers": _INGEST_REPORT
+    "ingest": CLEANED + f"SELECT *, {_SPLIT} FROM cleaned",
+    "validate": _INGEST_REPORT
     + f", status AS ({_status_rows('train')} UNION ALL {_status_rows('test')}) "
     "SELECT s AS schema_ok, d AS drift_found, s AND NOT d AS passed FROM "
     "(SELECT (SELECT bool_and(passed) FROM status) AS s, "
@@ -535,3 +535,162 @@ ORACLE["drift_fill"] = (
     + " UNION ALL "
     + _FILL_SELECT.format(name="txt", number="CAST(NULL AS DOUBLE)", text="f.v")
 )
+
+_PARTS_ALL = PATCHY + ", fit AS (SELECT * FROM patchy WHERE split='train')\n"
+_N4 = ("SeniorCitizen", "tenure", "MonthlyCharges", "TotalCharges")
+_SQUARES = " + ".join(
+    f"CASE WHEN r.{c} IS NOT NULL AND f.{c} IS NOT NULL "
+    f"THEN (CAST(r.{c} AS DOUBLE)-f.{c})*(CAST(r.{c} AS DOUBLE)-f.{c}) ELSE 0.0::DOUBLE END"
+    for c in _N4
+)
+_SHARED = " + ".join(
+    f"CASE WHEN r.{c} IS NOT NULL AND f.{c} IS NOT NULL THEN 1 ELSE 0 END" for c in _N4
+)
+_NEAREST = ", ".join(f"f{i} NULLS FIRST" for i in range(4))
+
+
+def _knn_fill(column: str) -> str:
+    """Mean of the five nearest values of a column for every distinct incomplete row."""
+    keys = ", ".join(f"r{i}" for i in range(4))
+    return f"""
+, near_{column} AS (
+  SELECT {keys}, avg(v) AS fill FROM (
+    SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY d, {_NEAREST}) AS rk FROM (
+      SELECT {", ".join(f"r.{c} AS r{i}" for i, c in enumerate(_N4))},
+        {", ".join(f"f.{c} AS f{i}" for i, c in enumerate(_N4))},
+        f.{column} AS v, 4.0::DOUBLE/({_SHARED})*({_SQUARES}) AS d
+      FROM (SELECT DISTINCT {", ".join(_N4)} FROM patchy WHERE {column} IS NULL) r
+      JOIN fit f ON f.{column} IS NOT NULL AND ({_SHARED}) > 0))
+  WHERE rk <= 5 GROUP BY {keys})"""
+
+
+def _knn_value(column: str, alias: str) -> str:
+    return f"round(coalesce(CAST(p.{column} AS DOUBLE), {alias}.fill), 6) AS {column}"
+
+
+def _knn_join(column: str, alias: str) -> str:
+    same = " AND ".join(f"p.{c} IS NOT DISTINCT FROM {alias}.r{i}" for i, c in enumerate(_N4))
+    return f" LEFT JOIN near_{column} {alias} ON {same}"
+
+
+ORACLE["knn_impute"] = (
+    _PARTS_ALL
+    + _knn_fill("MonthlyCharges")
+    + _knn_fill("TotalCharges")
+    + "\nSELECT p.customerID, CAST(p.SeniorCitizen AS DOUBLE) AS SeniorCitizen, "
+    "CAST(p.tenure AS DOUBLE) AS tenure, "
+    + _knn_value("MonthlyCharges", "m")
+    + ", "
+    + _knn_value("TotalCharges", "t")
+    + " FROM patchy p"
+    + _knn_join("MonthlyCharges", "m")
+    + _knn_join("TotalCharges", "t")
+)
+
+
+def _fit_mode(column: str) -> str:
+    return _mode(column).replace("FROM patchy", "FROM fit")
+
+
+ORACLE["mode_impute"] = _PARTS_ALL + (
+    f"SELECT customerID, {_fit_mode('Partner')}, {_fit_mode('Contract')}, "
+    f"{_fit_mode('PaymentMethod')} FROM patchy"
+)
+ORACLE["standardize"] = _PARTS_ALL + (
+    "SELECT customerID, "
+    + ", ".join(
+        f"round((CAST({c} AS DOUBLE) - (SELECT avg({c}) FROM fit))"
+        f"/(SELECT stddev_pop({c}) FROM fit), 6) AS {c}"
+        for c in _N4
+    )
+    + " FROM patchy"
+)
+ONE_HOT_COLUMNS = {
+    "Contract": ["Month-to-month", "One year", "Two year"],
+    "InternetService": ["DSL", "Fiber optic", "No"],
+}
+ORACLE["one_hot"] = _PARTS_ALL + (
+    "SELECT customerID, "
+    + ", ".join(
+        f"CAST(CASE WHEN {c} = '{v}' THEN 1 ELSE 0 END AS DOUBLE) AS {c}_{i}"
+        for c, values in ONE_HOT_COLUMNS.items()
+        for i, v in enumerate(values)
+    )
+    + " FROM patchy"
+)
+ORACLE["check_features"] = PATCHY + _union(
+    [
+        f"SELECT '{c}' AS \"column\", 'ok' AS status, count({c}) AS n_filled FROM patchy"
+        for c in COLUMNS
+        if c not in ("Churn", "tenure")
+    ]
+    + ["SELECT 'tenure', 'missing', 0"]
+    + ["SELECT 'split', 'unexpected', count(split) FROM patchy"]
+    + ["SELECT 'Churn', 'unexpected', count(Churn) FROM patchy"]
+)
+
+_CODED = "CASE Churn WHEN 'Yes' THEN '1' ELSE '0' END"
+
+
+def _eda(section: str, item: str, group: str, value: str, tail: str) -> str:
+    return (
+        f"SELECT '{section}' AS section, {item} AS item, {group} AS churn, "
+        f"round(CAST({value} AS DOUBLE), 6) AS value {tail}"
+    )
+
+
+def _eda_box(section: str, value: str) -> str:
+    stats = {
+        "n_rows": "n_rows", "q1": "q1", "median": "median", "q3": "q3",
+        "whisker_low": "whisker_low", "whisker_high": "whisker_high", "n_outliers": "n_outliers",
+    }
+    return _union(
+        [_eda(section, f"'{n}'", _CODED, c, f"FROM {section}_box") for n, c in stats.items()]
+    )
+
+
+def _eda_box_cte(section: str, value: str) -> str:
+    body = _box(value)[len(EXPLORED) :].lstrip().lstrip(",").strip()
+    return f", {section}_box AS (WITH {body})"
+
+
+ORACLE["eda_report"] = (
+    EXPLORED
+    + ", uniq AS (SELECT DISTINCT * FROM raw)\n"
+    + _eda_box_cte("monthly", "MonthlyCharges")
+    + _eda_box_cte("total", "TotalCharges")
+    + ", hist AS (SELECT Churn, least(CAST(floor((tenure-lo)*30.0::DOUBLE/(hi-lo)) AS INTEGER), 29)"
+    " AS bin FROM explored, (SELECT CAST(min(tenure) AS DOUBLE) AS lo, "
+    "CAST(max(tenure) AS DOUBLE) AS hi FROM explored))\n"
+    + _union(
+        [
+            _eda("shape", "'rows'", "NULL", "count(*)", "FROM raw"),
+            _eda("shape", "'columns'", "NULL", str(len(COLUMNS)), "FROM (SELECT count(*) FROM raw)"),
+            _eda("shape", "'clean_rows'", "NULL", "count(*)", "FROM explored"),
+            _eda(
+                "duplicates",
+                "'rows'",
+                "NULL",
+                "(SELECT count(*) FROM raw) - (SELECT count(*) FROM uniq)",
+                "",
+            ),
+            *(
+                _eda(
+                    "missing", f"'{c}'", "NULL", f"count(*) FILTER ({c} IS NULL)", "FROM coerced"
+                )
+                for c in COLUMNS
+            ),
+            _eda("churn", "'rows'", _CODED, "count(*)", "FROM explored GROUP BY Churn"),
+            _eda("contract", "Contract", _CODED, "count(*)", "FROM explored GROUP BY Contract, Churn"),
+            _eda_box("monthly", "MonthlyCharges"),
+            _eda_box("total", "TotalCharges"),
+            _eda(
+                "tenure",
+                "concat('bin ', lpad(CAST(b AS VARCHAR), 2, '0'))",
+                _CODED,
+                "(SELECT count(*) FROM hist h WHERE h.Churn = c.Churn AND h.bin = b)",
+                "FROM (SELECT DISTINCT Churn FROM explored) c, range(30) t(b)",
+            ),
+        ]
+    )
+)

@@ -24,7 +24,7 @@ TEXT_RULES = tuple(r for r in CUSTOMER_RULES if r.kind not in NUMERIC_KINDS)
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+    QUERIES[fn.__name__.rstrip("_")] = fn
     return fn
 
 
@@ -47,7 +47,7 @@ def drop_system_columns(spark, sf_dir):
 
 
 @query
-def scan_csv_customers(spark, sf_dir):
+def scan_csv_(spark, sf_dir):
     path = scratch_path(spark, "customers-csv")
     writers.write_table(raw_customers(spark, sf_dir), path, "csv")
     return scan_csv(spark, path)
@@ -452,10 +452,10 @@ def best_model(spark, sf_dir):
 
 
 @query
-def ingest_customers(spark, sf_dir):
+def ingest_(spark, sf_dir):
     return ingest(raw_customers(spark, sf_dir))
 
 
 @query
-def validate_customers(spark, sf_dir):
+def validate_(spark, sf_dir):
     return validation_summary(*tables.ingested_parts(spark, sf_dir))

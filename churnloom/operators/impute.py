@@ -127,20 +127,23 @@ class KNNImputerModel(Model, _KNNParams, MLReadable, MLWritable):
 
     # --- the blocks ------------------------------------------------------------------
 
-    def _curve_key(self, shared: list[Column]) -> Column:
-        """Interleaved bits of the coordinates, cut with one cell width in all directions."""
-        d = len(shared)
+    def _with_curve_key(self, spaces: DataFrame) -> DataFrame:
+        """Add ``_curve``: interleaved bits of c0.., cut with one cell width in all directions."""
+        d = len(self.getInputCols())
         used = min(d, _KEY_BITS)
         bits = max(1, _KEY_BITS // d)
         cell = self._width / (1 << bits) or 1.0
-        terms = []
+        steps = {}
         for i in range(used):
-            step = F.floor((shared[i] - F.lit(self._low[i])) / F.lit(cell))
-            step = F.coalesce(F.least(step, F.lit((1 << bits) - 1)), F.lit(0)).cast("bigint")
-            for b in range(bits):
-                bit = F.shiftright(step, b).bitwiseAND(F.lit(1))
-                terms.append(F.shiftleft(bit.cast("bigint"), b * used + i))
-        return _sum(terms)
+            step = F.floor((F.col(f"c{i}") - F.lit(self._low[i])) / F.lit(cell))
+            inside = F.least(step, F.lit((1 << bits) - 1))
+            steps[f"_s{i}"] = F.coalesce(inside, F.lit(0)).cast("bigint")
+        terms = (
+            f"shiftleft(shiftright(_s{i}, {b}) & 1L, {b * used + i})"
+            for b in range(bits)
+            for i in range(used)
+        )
+        return spaces.withColumns(steps).withColumn("_curve", F.expr(" + ".join(terms))).drop(*steps)
 
     def _index(self, masks: tuple[int, ...]) -> tuple[DataFrame, list[DataFrame]]:
         """(points with their block, box tables from the top down) for the given patterns."""
@@ -164,9 +167,7 @@ class KNNImputerModel(Model, _KNNParams, MLReadable, MLWritable):
         spaces = spaces.select(
             "*", *(F.when(_bit("recv_mask", i), F.col(x[i])).alias(f"c{i}") for i in range(d))
         )
-        spaces = spaces.withColumns(
-            {"_curve": self._curve_key([F.col(f"c{i}") for i in range(d)]), "_one": F.lit(1)}
-        )
+        spaces = self._with_curve_key(spaces).withColumn("_one", F.lit(1))
         space = ["recv_mask", "mask"]
         ranked = running_totals(spaces, space, ["_curve", *x], ["_one"])
         points = materialize(
