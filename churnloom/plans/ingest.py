@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from churnloom.operators import clean, drift, rules, split
 from churnloom.schema import CUSTOMER_RULES, ID_COLUMN, ColumnRule
+from churnloom.sources.storage import materialize
 
 
 def clean_customers(raw: DataFrame, key: str = ID_COLUMN) -> DataFrame:
@@ -37,7 +38,7 @@ def parts(table: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 @dataclass(frozen=True)
 class Validation:
-    """What validation found; the frames are lazy reports."""
+    """What validation found."""
 
     schema: DataFrame
     drift: DataFrame
@@ -63,8 +64,11 @@ def validate(
 ) -> Validation:
     """Schema rules on both parts, and drift between them; totals are coerced first."""
     train, test = clean.coerce_numeric(train), clean.coerce_numeric(test)
-    status = rules.combined_status(schema_reports(train, test, column_rules))
-    report = drift.drift_report(train, test, column_rules)
+    # Reports have one row per rule or column; written once, they are read many times.
+    status = materialize(
+        rules.combined_status(schema_reports(train, test, column_rules)), "schema-report"
+    )
+    report = materialize(drift.drift_report(train, test, column_rules), "drift-report")
     return Validation(
         schema=status,
         drift=report,

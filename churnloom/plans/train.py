@@ -68,17 +68,18 @@ def transform(
     fitted = preprocessing(
         numeric, categorical, selector_trees=selector_trees, selector_depth=selector_depth
     ).fit(labeled(train))
-
-    def finished(part: DataFrame, name: str) -> DataFrame:
-        return materialize(
-            fitted.transform(labeled(part)).select(key, "label", "features"), name
-        )
-
-    done = finished(train, "train")
-    done = weights.with_balanced_weights(done, "label", BALANCED)
-    done = weights.with_positive_weight(done, "label", POSITIVE_WEIGHT)
-    done = split.hash_folds(done, SEARCH_FOLDS, key, output=FOLD_COLUMN)
-    return Prepared(done, finished(test, "test"), fitted, inputs)
+    # Both parts go through together: one neighbour search, one written table.
+    both = labeled(train.withColumn("split", F.lit("train"))).unionByName(
+        labeled(test.withColumn("split", F.lit("test")))
+    )
+    done = materialize(
+        fitted.transform(both).select(key, "split", "label", "features"), "features"
+    )
+    train_done, test_done = parts(done)
+    train_done = weights.with_balanced_weights(train_done, "label", BALANCED)
+    train_done = weights.with_positive_weight(train_done, "label", POSITIVE_WEIGHT)
+    train_done = split.hash_folds(train_done, SEARCH_FOLDS, key, output=FOLD_COLUMN)
+    return Prepared(train_done, test_done, fitted, inputs)
 
 
 @dataclass(frozen=True)
