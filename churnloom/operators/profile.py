@@ -7,8 +7,9 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnloom.operators.ordered import prefix_sum, quantile_at
+from churnloom.operators.ordered import quantile_at, running_totals, value_counts
 from churnloom.schema import TARGET
+from churnloom.sources.storage import materialize
 
 # Fixed values of the exploration plots.
 HISTOGRAM_BINS = 30
@@ -44,20 +45,25 @@ def box_summary(df: DataFrame, value: str, by: str = TARGET) -> DataFrame:
 
     A whisker ends at the last value within 1.5 interquartile ranges of the box.
     """
-    running = prefix_sum(df, value, [by])
+    counts = materialize(value_counts(df, [by], value), "counts")
     cum, total = F.col("n_cum"), F.col("n_total")
-    boxes = running.groupBy(by).agg(
-        F.max(total).alias("n_rows"),
-        quantile_at(value, 0.25, cum, total).alias("q1"),
-        quantile_at(value, 0.5, cum, total).alias("median"),
-        quantile_at(value, 0.75, cum, total).alias("q3"),
+    # Written, so that the join below is planned with the real size: a broadcast for a
+    # few groups, a shuffle for very many.
+    boxes = materialize(
+        running_totals(counts, [by], [value], ["n"])
+        .groupBy(by)
+        .agg(
+            F.max(total).alias("n_rows"),
+            quantile_at(value, 0.25, cum, total).alias("q1"),
+            quantile_at(value, 0.5, cum, total).alias("median"),
+            quantile_at(value, 0.75, cum, total).alias("q3"),
+        ),
+        "boxes",
     )
     reach = WHISKER_REACH * (F.col("q3") - F.col("q1"))
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
-    # The boxes are one row per group; their measured size decides the join.
     return (
-        running.select(by, value, "n")
-        .join(boxes, by)
+        counts.join(boxes, by)
         .groupBy(by, "n_rows", "q1", "median", "q3")
         .agg(
             F.min(F.when(inside, F.col(value))).alias("whisker_low"),
@@ -133,15 +139,20 @@ def density(
     step = (high - low) / (points - 1)
     bin_low, bin_high = _bin_edges(low, high)
     bin_width = (bin_high - bin_low) / bins
-    spread = clean.groupBy(by).agg(
-        F.count("*").alias("n_rows"),
-        (F.pow(F.count("*"), F.lit(-0.2)) * F.stddev_samp("x")).alias("bandwidth"),
+    # Written, so that the join is planned with the real size.
+    spread = materialize(
+        clean.groupBy(by)
+        .agg(
+            F.count("*").alias("n_rows"),
+            (F.pow(F.count("*"), F.lit(-0.2)) * F.stddev_samp("x")).alias("bandwidth"),
+        )
+        .where("bandwidth > 0"),
+        "spread",
     )
     weights = clean.groupBy(by, "x").agg(F.count("*").alias("n"))
     distance = (F.lit(low) + F.col("point") * step - F.col("x")) / F.col("bandwidth")
     return (
-        # One row per group on the right side; its measured size decides the join.
-        weights.join(spread.where("bandwidth > 0"), by)
+        weights.join(spread, by)
         .select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
         .groupBy(by, "point", "n_rows", "bandwidth")
         .agg(F.sum(F.col("n") * F.exp(-0.5 * distance * distance)).alias("mass"))
