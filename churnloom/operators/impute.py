@@ -31,6 +31,7 @@ NEIGHBOURS = 5
 BLOCK_SIZE = 64
 FANOUT = 32
 _KEY_BITS = 60
+_COPIES = "_copies"
 
 
 def _sum(columns: list[Column]) -> Column:
@@ -71,7 +72,7 @@ class KNNImputer(Estimator, _KNNParams, DefaultParamsReadable, DefaultParamsWrit
     def _fit(self, dataset: DataFrame) -> KNNImputerModel:
         columns = self.getInputCols()
         numbers = dataset.select(*(nan_to_null(F.col(c).cast("double")).alias(c) for c in columns))
-        donors = materialize(numbers.groupBy(*columns).agg(F.count("*").alias("n")), "donors")
+        donors = materialize(numbers.groupBy(*columns).agg(F.count("*").alias(_COPIES)), "donors")
         return KNNImputerModel._from_donors(donors, columns, self.getK())._resetUid(self.uid)
 
 
@@ -101,7 +102,8 @@ class KNNImputerModel(Model, _KNNParams, MLReadable, MLWritable):
         stats = donors.agg(
             *(
                 F.try_divide(
-                    F.sum(F.col(c) * F.col("n")), F.sum(F.when(F.col(c).isNotNull(), F.col("n")))
+                    F.sum(F.col(c) * F.col(_COPIES)),
+                    F.sum(F.when(F.col(c).isNotNull(), F.col(_COPIES))),
                 ).alias(f"mean_{i}")
                 for i, c in enumerate(columns)
             ),
@@ -154,7 +156,7 @@ class KNNImputerModel(Model, _KNNParams, MLReadable, MLWritable):
         x = [f"x{i}" for i in range(d)]
         base = self.donors.select(
             *(F.col(c).alias(x[i]) for i, c in enumerate(columns)),
-            "n",
+            F.col(_COPIES).alias("n"),
             _observed_mask([F.col(c) for c in columns]).alias("mask"),
         )
         spaces = base.select(
