@@ -146,19 +146,29 @@ def _vector_rows(df: DataFrame, column: str) -> DataFrame:
 
 @query
 def assemble_features(spark, sf_dir):
-    return _vector_rows(_encoded(spark, sf_dir), features.ALL_FEATURES)
+    """Every slot of every training row's vector, by slot number."""
+    slots = F.posexplode(vector_to_array(features.ALL_FEATURES)).alias("position", "value")
+    return rounded(_encoded(spark, sf_dir).select("customerID", slots), "value")
 
 
 @query
-def select_features(spark, sf_dir):
+def feature_names(spark, sf_dir):
+    """Slot names in order, and how many training rows fill each slot."""
     encoded = _encoded(spark, sf_dir)
-    return _vector_rows(features.ForestSelector().fit(encoded).transform(encoded), "features")
+    names = features.feature_names(encoded, features.ALL_FEATURES)
+    slots = F.posexplode(vector_to_array(features.ALL_FEATURES)).alias("position", "value")
+    return (
+        encoded.select(slots)
+        .groupBy("position")
+        .agg(F.count_if(F.abs("value") > 1e-9).alias("n_filled"))
+        .withColumn("feature", F.element_at(F.array(*map(F.lit, names)), F.col("position") + 1))
+    )
 
 
 @query
-def feature_names(spark, sf_dir):
-    names = features.feature_names(_prepared(spark, sf_dir).train)
-    return spark.createDataFrame(list(enumerate(names)), "position int, feature string")
+def select_features(spark, sf_dir):
+    encoded = _encoded(spark, sf_dir)
+    return _vector_rows(features.ForestSelector().fit(encoded).transform(encoded), "features")
 
 
 @query

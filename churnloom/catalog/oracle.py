@@ -694,3 +694,78 @@ ORACLE["eda_report"] = (
         ]
     )
 )
+
+# --- encoded vectors: impute, scale, then one slot per category of the training rows -----
+
+_SEPARABLE = (
+    DISTINCT
+    + ", patchy AS (SELECT * REPLACE (CASE WHEN Contract = 'Month-to-month' THEN 'Yes' "
+    "WHEN InternetService = 'Fiber optic' AND CAST(substr(customerID, 2, 8) AS BIGINT) % 4 = 0 "
+    f"THEN 'Yes' ELSE 'No' END AS Churn) FROM (SELECT {_swap({**_NA_ALL, 'TotalCharges': _NUMBER})}, "
+    f"{_SPLIT} FROM uniq) WHERE split = 'train')\n"
+    + ", fit AS (SELECT * FROM patchy)\n"
+)
+_CATEGORICAL = [c for c in TEXT if c not in ("customerID", "Churn")]
+_IMPUTED = (
+    _SEPARABLE
+    + _knn_fill("MonthlyCharges")
+    + _knn_fill("TotalCharges")
+    + "\n, imputed AS (SELECT p.customerID, CAST(p.SeniorCitizen AS DOUBLE) AS SeniorCitizen, "
+    "CAST(p.tenure AS DOUBLE) AS tenure, coalesce(p.MonthlyCharges, m.fill) AS MonthlyCharges, "
+    "coalesce(p.TotalCharges, t.fill) AS TotalCharges, "
+    + ", ".join(f"coalesce(p.{c}, {c}_mode.v) AS {c}" for c in _CATEGORICAL)
+    + " FROM patchy p"
+    + _knn_join("MonthlyCharges", "m")
+    + _knn_join("TotalCharges", "t")
+    + "".join(
+        f", (SELECT {c} AS v FROM fit WHERE {c} IS NOT NULL GROUP BY {c} "
+        f"ORDER BY count(*) DESC, {c} LIMIT 1) {c}_mode"
+        for c in _CATEGORICAL
+    )
+    + ")\n, slots AS (SELECT CAST(row_number() OVER (ORDER BY o, v) - 1 AS INTEGER) AS position, * "
+    "FROM ("
+    + _union(
+        [f"SELECT {i} AS o, '{c}' AS c, NULL AS v" for i, c in enumerate(_N4)]
+        + [
+            f"SELECT DISTINCT {4 + i} AS o, '{c}' AS c, {c} AS v FROM imputed"
+            for i, c in enumerate(_CATEGORICAL)
+        ]
+    )
+    + "))\n, long AS ("
+    + _union(
+        [
+            f"SELECT customerID, '{c}' AS c, NULL AS v, ({c} - (SELECT avg({c}) FROM imputed))"
+            f"/(SELECT stddev_pop({c}) FROM imputed) AS value FROM imputed"
+            for c in _N4
+        ]
+        + [
+            f"SELECT customerID, '{c}', {c}, 1.0::DOUBLE FROM imputed"
+            for c in _CATEGORICAL
+        ]
+    )
+    + ")\n, vectors AS (SELECT i.customerID, s.position, s.c, s.v, round(coalesce(l.value, 0), 6) "
+    "AS value FROM (SELECT customerID FROM imputed) i CROSS JOIN slots s LEFT JOIN long l "
+    "ON l.customerID = i.customerID AND l.c = s.c AND l.v IS NOT DISTINCT FROM s.v)\n"
+)
+ORACLE["assemble_features"] = _IMPUTED + "SELECT customerID, position, value FROM vectors"
+ORACLE["feature_names"] = _IMPUTED + (
+    "SELECT position, CASE WHEN v IS NULL THEN c ELSE concat(c, '_onehot_', v) END AS feature, "
+    "count(*) FILTER (abs(value) > 1e-9) AS n_filled FROM vectors GROUP BY position, c, v"
+)
+ORACLE["expected_features"] = (
+    "SELECT CAST(unnest(range("
+    + str(len(COLUMNS) - 1)
+    + ")) AS INTEGER) AS position, unnest(["
+    + ", ".join(repr(c) for c in COLUMNS if c != "Churn")
+    + "]) AS feature"
+)
+ORACLE["gated_run"] = (
+    _INGEST_REPORT
+    + f", status AS ({_status_rows('train')} UNION ALL {_status_rows('test')})\n"
+    ", x AS (SELECT (SELECT bool_and(passed) FROM status) AS s, "
+    "(SELECT bool_or(p_value < 0.05) FROM report) AS d)\n"
+    "SELECT 1 AS turn, 'train' AS decision, 'no published model' AS reason, s AS schema_ok, "
+    "d AS drift_found, true AS published FROM x UNION ALL "
+    "SELECT 2, CASE WHEN d THEN 'train' ELSE 'skip' END, "
+    "CASE WHEN d THEN 'drift found' ELSE 'model up to date' END, s, d, d FROM x"
+)

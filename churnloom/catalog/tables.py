@@ -22,7 +22,7 @@ def patchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     Its readers scan it more than once, so it is written first.
     """
     table = clean.replace_missing_token(distinct_customers(spark, sf_dir))
-    return materialize(split.holdout_split(clean.coerce_numeric(table)), "patchy")
+    return materialize(split.holdout_split(clean.coerce_numeric(table)), "patchy", "split")
 
 
 def explored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def explored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ingested_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Train and test as validation sees them, from the written store."""
-    store = materialize(ingest(raw_customers(spark, sf_dir)), "store")
+    store = materialize(ingest(raw_customers(spark, sf_dir)), "store", "split")
     train, test = parts(store)
     return clean.coerce_numeric(train), clean.coerce_numeric(test)
 

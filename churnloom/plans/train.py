@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Model, PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ from churnloom.operators.tune import (
 from churnloom.plans.ingest import Validation, ingest, parts, validate
 from churnloom.schema import ID_COLUMN, TARGET
 from churnloom.sources.storage import materialize, path_exists, scratch_path
-from churnloom.sources.writers import route_by_validity, write_feature_store
+from churnloom.sources.writers import route_by_validity, write_feature_store, write_report
 
 # The score a model should reach, and the gaps that would mean a misfit.
 # They are reported with a run; nothing is refused because of them.
@@ -73,7 +74,7 @@ def transform(
         labeled(test.withColumn("split", F.lit("test")))
     )
     done = materialize(
-        fitted.transform(both).select(key, "split", "label", "features"), "features"
+        fitted.transform(both).select(key, "split", "label", "features"), "features", "split"
     )
     train_done, test_done = parts(done)
     train_done = weights.with_balanced_weights(train_done, "label", BALANCED)
@@ -225,6 +226,8 @@ def run(
     paths |= route_by_validity(train_part, test_part, checked.passed, run_uri)
     known = find_model(spark, model_uris) is not None
     decision = drift.retrain_decision(drift.drift_overall(checked.drift), known, force)
+    write_report(checked.schema, f"{run_uri}/schema_report")
+    write_report(checked.drift, f"{run_uri}/drift_report")
     if not checked.schema_ok:
         raise ValueError(f"the data breaks its schema; see {paths}")
     if decision.first()["decision"] == "skip":
@@ -238,6 +241,11 @@ def run(
     trained = train(prepared, specs)
     measured = run_metrics(run_id, metrics_of_best(trained, prepared), trained)
     measured.write.mode("append").parquet(f"{run_uri}/metrics")
+    write_report(trained.report, f"{run_uri}/model_report")
+    write_report(
+        prepared.train.select(vector_to_array("features").alias("features")).limit(5),
+        f"{run_uri}/input_example",
+    )
     uri = publish(assemble_model(prepared, trained.best), model_uris[0])
     return Run(
         decision, checked, paths, trained, spark.read.parquet(f"{run_uri}/metrics"), uri

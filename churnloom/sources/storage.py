@@ -31,15 +31,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/churnloom/{app}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once and go on from the written table.
 
     This cuts the lineage with a copy that outlives any executor, and lets the
-    readers after it prune columns and plan with real sizes.
+    readers after it prune columns and plan with real sizes. A reader that filters on
+    ``partition_by`` opens only the folders it needs.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    return written.select(*df.columns) if partition_by else written
 
 
 def _filesystem(spark: SparkSession, uri: str):
