@@ -28,6 +28,9 @@ SELECTOR_TREES = 100
 SELECTOR_SEED = 42
 SELECTOR_DEPTH = 10
 
+# Most values a text column may have to be encoded.
+MAX_CATEGORIES = 10000
+
 ALL_FEATURES = "all_features"
 FEATURES_COLUMN = "features"
 
@@ -105,6 +108,20 @@ class ForestSelector(
         )
 
 
+def require_few_categories(df: DataFrame, columns: list[str], limit: int = MAX_CATEGORIES) -> None:
+    """Refuse text columns with too many values to encode, an identifier for instance.
+
+    The indexer brings a column's values to the driver and gives each a vector slot, so
+    their number must be known to be small.
+    """
+    if not columns:
+        return
+    sizes = df.agg(*(F.approx_count_distinct(c).alias(c) for c in columns)).first().asDict()
+    wide = sorted(c for c, n in sizes.items() if n > limit)
+    if wide:
+        raise ValueError(f"more than {limit} values to encode in {wide}; pass them as id columns")
+
+
 def encoding_stages(numeric: list[str], categorical: list[str], k: int = NEIGHBOURS) -> list:
     """Impute, scale and one-hot encode into one vector: numeric slots, then categories.
 

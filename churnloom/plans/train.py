@@ -11,7 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnloom.operators import clean, drift, metrics, split, weights
-from churnloom.operators.features import SELECTOR_DEPTH, SELECTOR_TREES, preprocessing
+from churnloom.operators.features import (
+    SELECTOR_DEPTH,
+    SELECTOR_TREES,
+    preprocessing,
+    require_few_categories,
+)
 from churnloom.operators.models import BALANCED, POSITIVE_WEIGHT, ModelSpec, default_specs
 from churnloom.operators.score import InputContract
 from churnloom.operators.tune import (
@@ -52,14 +57,19 @@ def transform(
     key: str = ID_COLUMN,
     selector_trees: int = SELECTOR_TREES,
     selector_depth: int = SELECTOR_DEPTH,
+    id_columns: Sequence[str] = (),
 ) -> Prepared:
     """Fit the preprocessing on train and write both parts as (key, label, weights, features).
 
-    The key is never encoded: one slot per customer would only memorise the table.
+    The key and other id columns are never encoded: one slot per customer would only
+    memorise the table.
     """
     for part in (train, test):
         clean.split_target(part, target)
-    numeric, categorical = clean.columns_by_type(clean.coerce_numeric(train), target, [key])
+    numeric, categorical = clean.columns_by_type(
+        clean.coerce_numeric(train), target, [key, *id_columns]
+    )
+    require_few_categories(train, categorical)
     inputs = [c for c in train.columns if c != target]
 
     def labeled(part: DataFrame) -> DataFrame:
@@ -210,6 +220,7 @@ def run(
     selector_trees: int = SELECTOR_TREES,
     selector_depth: int = SELECTOR_DEPTH,
     run_id: str | None = None,
+    id_columns: Sequence[str] = (),
 ) -> Run:
     """Ingest, validate, decide, transform, train and publish.
 
@@ -237,6 +248,7 @@ def run(
         spark.read.parquet(paths["test"]),
         selector_trees=selector_trees,
         selector_depth=selector_depth,
+        id_columns=id_columns,
     )
     trained = train(prepared, specs)
     measured = run_metrics(run_id, metrics_of_best(trained, prepared), trained)

@@ -13,16 +13,16 @@ _CHECKPOINT_CONF = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local-mode session without that setting gets a folder of its own.
+    Only a local-mode session without any checkpoint folder gets one of its own.
     """
-    configured = spark.conf.get(_CHECKPOINT_CONF, None)
+    context = spark.sparkContext
+    configured = spark.conf.get(_CHECKPOINT_CONF, None) or context.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError(f"set {_CHECKPOINT_CONF} to a folder shared by all executors")
-    fallback = tempfile.mkdtemp(prefix="churnloom-")
-    spark.conf.set(_CHECKPOINT_CONF, fallback)
-    return fallback
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="churnloom-"))
+    return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

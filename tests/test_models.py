@@ -153,6 +153,32 @@ def test_search_takes_the_best_mean_f1(prepared):
     assert fitted.getMaxDepth() == best.settings["maxDepth"]
 
 
+def test_choice_by_fold_scores(prepared):
+    specs = [
+        models.ModelSpec("stump", models.decision_tree, [{"maxDepth": 1}]),
+        models.ModelSpec("tree", models.decision_tree, [{"maxDepth": 4}]),
+    ]
+    trained = jobs.train(prepared, specs, select_on="cv")
+    scores = {r["model"]: r["cv_f1"] for r in trained.report.collect()}
+    assert trained.best_name == max(scores, key=scores.get)
+    assert trained.best is trained.models[trained.best_name]
+
+
+def test_every_setting_of_the_full_search_builds(spark):
+    specs = models.full_specs()
+    assert [len(s.grid) for s in specs] == [24, 16, 4, 12, 32, 1]
+    for spec in [*specs, *models.default_specs()]:
+        for settings in spec.grid:
+            spec.build(**settings)
+
+
+def test_columns_with_too_many_values_are_refused(spark):
+    df = spark.range(100).selectExpr("concat('v', id) AS t", "'a' AS u")
+    features.require_few_categories(df, ["t", "u"])
+    with pytest.raises(ValueError, match="'t'"):
+        features.require_few_categories(df, ["t", "u"], limit=10)
+
+
 def test_saved_models_score_the_same(spark, prepared):
     for name in ("ada_boost", "stacking"):
         spec = next(s for s in models.light_specs() if s.name == name)
