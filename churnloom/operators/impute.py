@@ -226,15 +226,13 @@ class KNNImputerModel(Model, _KNNParams, MLReadable, MLWritable):
             .select(*(f"r{i}" for i in range(d)), "recv_mask", "mask", "node")
         )
 
-    def _neighbour_means(self, receivers: DataFrame) -> DataFrame:
+    def _neighbour_means(self, receivers: DataFrame, masks: tuple[int, ...]) -> DataFrame:
         """For distinct incomplete rows r0..: the imputed value of each missing column."""
         d = len(self.getInputCols())
         k = self.getK()
         r = [f"r{i}" for i in range(d)]
         x = [f"x{i}" for i in range(d)]
-        # At most one row per pattern of observed columns.
-        masks = sorted(row[0] for row in receivers.select("recv_mask").distinct().collect())
-        points, levels = self._index(tuple(masks))
+        points, levels = self._index(masks)
         # The top level has at most FANOUT boxes per pair of patterns.
         frontier = self._near_boxes(receivers.join(F.broadcast(levels[0]), "recv_mask"))
         for level in levels[1:]:
@@ -255,18 +253,16 @@ class KNNImputerModel(Model, _KNNParams, MLReadable, MLWritable):
         ]
         shared = F.bit_count(F.col("recv_mask").bitwiseAND(F.col("mask")))
         nearest = [F.col("distance"), *(F.col(c).asc_nulls_first() for c in x)]
-        per_space = Window.partitionBy(*r, "recv_mask", "mask").orderBy(*nearest)
         pairs = (
             frontier.withColumnRenamed("node", "block")
             .join(points, ["recv_mask", "mask", "block"])
             .withColumn("distance", F.lit(float(d)) / shared * _sum(squares))
-            .withColumn("_rank", F.row_number().over(per_space))
-            .where(F.col("_rank") <= k)
         )
         wanted = [F.when(~_bit("recv_mask", i), F.col(x[i])).alias("value") for i in range(d)]
         cells = F.array(*(F.struct(F.lit(i).alias("target"), wanted[i]) for i in range(d)))
         per_cell = Window.partitionBy(*r, "target").orderBy(*nearest)
         taken = F.least(F.col("n"), F.lit(k) - (F.col("_held") - F.col("n")))
+        # Each task ranks its own pairs first, so at most k per cell leave it.
         kept = (
             pairs.select(*r, "distance", *x, "n", F.inline(cells))
             .where(F.col("value").isNotNull())
@@ -302,10 +298,13 @@ class KNNImputerModel(Model, _KNNParams, MLReadable, MLWritable):
             .withColumn("recv_mask", _observed_mask([F.col(f"r{i}") for i in range(len(columns))])),
             "receivers",
         )
-        if receivers.isEmpty():
+        # At most one row per pattern of observed columns.
+        patterns = receivers.select("recv_mask").distinct().collect()
+        masks = tuple(sorted(row["recv_mask"] for row in patterns))
+        if not masks:
             return table
         # Written once: every later stage of a pipeline reads the transformed rows again.
-        fills = materialize(self._neighbour_means(receivers), "fills")
+        fills = materialize(self._neighbour_means(receivers, masks), "fills")
         same = reduce(
             lambda a, b: a & b,
             (F.col(f"t.{c}").eqNullSafe(F.col(f"f.r{i}")) for i, c in enumerate(columns)),
