@@ -92,11 +92,15 @@ def gumbel(seed: int, *columns: str) -> Column:
     return -F.log(-F.log((bits + 0.5) / float(1 << 53)))
 
 
-@F.pandas_udf("long")
-def _ordered(key: pd.Series) -> pd.Series:
+def _ordered(key: str) -> Column:
     """A long that sorts as the double does."""
-    bits = (key.to_numpy(np.float64) + 0.0).view(np.int64)
-    return pd.Series(np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits))
+
+    @F.pandas_udf("long")
+    def ordered(keys: pd.Series) -> pd.Series:
+        bits = (keys.to_numpy(np.float64) + 0.0).view(np.int64)
+        return pd.Series(np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits))
+
+    return ordered(F.col(key))
 
 
 def top_k_cut(keys: DataFrame, k: int, column: str = "sort_key") -> int | None:

@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnloom.llm import contamination, importance, mixing, pii, simhash, templates, toxicity
+from churnloom.llm import (
+    contamination,
+    importance,
+    mixing,
+    multiindex,
+    pii,
+    simhash,
+    suffix,
+    templates,
+    toxicity,
+    warc,
+)
 from churnloom.llm.oracle import MIXING_SQL
 from churnloom.llm.tables import read
 
@@ -41,6 +52,11 @@ def op2_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
 @_query
 def op4_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document, those dropped for a recurring template, and what stays."""
@@ -55,11 +71,23 @@ def op4_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest(suffix.remove_repeated(read(spark, sf_dir, "documents"), length=200))
+
+
 @_query
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+@_query
+def op7_multiindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found for each row whose id is divisible by 20."""
+    rows = read(spark, sf_dir, "embeddings")
+    return multiindex.nearest_neighbours(rows, rows.where("vec_id % 20 = 0"), k=20)
+
+
 @_query
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, radius=3)
