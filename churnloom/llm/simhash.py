@@ -100,7 +100,8 @@ def _may_have_partner(nodes: DataFrame) -> DataFrame:
             F.transform(_range(0, 31), lambda bit: _flip(F.col("value"), bit))
         ).alias("value"),
     )
-    near = flipped.join(known.select("half", "value"), ["half", "value"], "left_semi")
+    # The rows made by explode are many more than Spark expects of the small table below them.
+    near = flipped.join(known.select("half", "value").hint("merge"), ["half", "value"], "left_semi")
     same = halves.join(known.where("n > 1").select("half", "value"), ["half", "value"], "left_semi")
     return near.select("fp").unionByName(same.select("fp")).distinct()
 
@@ -144,7 +145,7 @@ def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
     owners = hubs if radius % 2 == 0 else hubs.unionByName(_arms(live, (radius + 1) // 2))
     star = hubs.groupBy("variant").agg(F.min("fp").alias("hub"))
     return (
-        owners.join(star, "variant")
+        owners.hint("merge").join(star, "variant")
         .where((F.col("fp") != F.col("hub")))
         .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= radius)
         .select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b"))
