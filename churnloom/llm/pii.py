@@ -156,7 +156,7 @@ def _statistics(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             counts.update(("chain", "", found[i].label, found[j].label) for i, j in chain)
             counts.update(("skip", "", found[i].label, found[j].label) for i, j in skip)
     rows = [(*key, n) for key, n in counts.items()]
-    yield pd.DataFrame(rows, columns=["part", "shape", "a", "b", "n"])
+    yield pd.DataFrame(rows, columns=["part", "shape", "a", "b", "n"], dtype=object)
 
 
 def _features(shape: tuple[int, ...]) -> list[tuple[int, int]]:

@@ -17,38 +17,67 @@ rather than a text with boilerplate, and is left whole for the stages that handl
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnloom.llm.tables import fresh, keyed, materialize, text_or_empty
 
 VARIABLE = "<*>"
 SHARD = 256
-_SPACE = r"[ \t\r\x0B\x0C]+"
-
-
-def masked(line: Column) -> Column:
-    """Tokens joined by one space, those with a digit as ``<*>``."""
-    spaced = F.trim(F.regexp_replace(line, _SPACE, " "))
-    return F.when(
-        spaced.rlike("[0-9]"), F.regexp_replace(spaced, r"[^ ]*[0-9][^ ]*", VARIABLE)
-    ).otherwise(spaced)
-
-
-def lines(docs: DataFrame, key: str, text: str, depth: int) -> DataFrame:
-    """A row for each line with a token: document key, position, masked line, hash, leaf, tokens."""
-    each = docs.select(F.col(key).alias("doc"), F.posexplode(F.split(text_or_empty(text), "\n")).alias("pos", "line"))
-    each = each.select("doc", "pos", masked(F.col("line")).alias("line")).where("line <> ''")
-    words = F.length("line") - F.length(F.translate("line", " ", "")) + 1
-    head = F.substring_index("line", " ", depth)
-    return each.select(
-        "doc", "pos", "line", F.xxhash64("line").alias("line_id"),
-        F.xxhash64(words, head).alias("leaf"), words.cast("int").alias("n_tokens"),
-    )
+_SEED = 42
+_DIGIT = re.compile("[0-9]")
+LINES = "doc string, pos int, line_id long, leaf long, n_tokens int"
+
+
+def masked(line: str) -> list[str]:
+    """Tokens of a line, those with a digit as ``<*>``."""
+    tokens = line.split()
+    if _DIGIT.search(line):
+        tokens = [VARIABLE if _DIGIT.search(t) else t for t in tokens]
+    return tokens
+
+
+def _hash(text: str) -> int:
+    """The signed XXH64 that Spark's ``xxhash64`` gives a text."""
+    h = xxhash.xxh64_intdigest(text.encode(), _SEED)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def lines(docs: DataFrame, key: str, text: str, depth: int, with_line: bool = False) -> DataFrame:
+    """A row for each line with a token: document key, position, hash, leaf, tokens; and the masked line."""
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            docs_, places, ids, leaves, counts, texts = [], [], [], [], [], []
+            for doc, value in zip(batch.doc, batch.text):
+                for pos, line in enumerate((value or "").split("\n")):
+                    if tokens := masked(line):
+                        whole = " ".join(tokens)
+                        leaves.append(_hash(f"{len(tokens)} {' '.join(tokens[:depth])}"))
+                        ids.append(_hash(whole))
+                        if with_line:
+                            texts.append(whole)
+                        else:
+                            docs_.append(doc)
+                            places.append(pos)
+                            counts.append(len(tokens))
+            ids, leaves = np.array(ids, np.int64), np.array(leaves, np.int64)
+            if with_line:
+                yield pd.DataFrame({"leaf": leaves, "line_id": ids, "line": pd.Series(texts, dtype=object)})
+            else:
+                yield pd.DataFrame({
+                    "doc": pd.Series(docs_, dtype=object), "pos": np.array(places, np.int32),
+                    "line_id": ids, "leaf": leaves, "n_tokens": np.array(counts, np.int32),
+                })
+
+    schema = "leaf long, line_id long, line string" if with_line else LINES
+    return docs.select(F.col(key).alias("doc"), text_or_empty(text).alias("text")).mapInPandas(split, schema)
 
 
 class Leaf:
@@ -97,6 +126,7 @@ def _parse(shards: DataFrame, similar: float) -> DataFrame:
             return pd.DataFrame(
                 [(at[0], line_id, leaf.template(n)) for line_id, n in members],
                 columns=["leaf", "line_id", "template"],
+                dtype=object,
             )
 
         for batch in batches:
@@ -166,8 +196,7 @@ def recurring_lines(
     max_share: float = 0.5,
 ) -> DataFrame:
     """``doc`` (the key) and ``drop``: positions of the lines to drop, for documents that lose any."""
-    every = lines(docs, key, text, depth)
-    table = materialize(every.drop("line"), "lines")
+    table = materialize(lines(docs, key, text, depth), "lines")
     mixed = materialize(
         table.groupBy("leaf")
         .agg(F.min("line_id").alias("a"), F.max("line_id").alias("b"))
@@ -175,9 +204,9 @@ def recurring_lines(
         .select("leaf"),
         "leaves",
     )
-    distinct = materialize(
-        every.select("leaf", "line_id", "line").join(mixed, "leaf", "left_semi").distinct(), "distinct"
-    )
+    # Always by shuffle: how many leaves are mixed follows the number of lines.
+    texts = lines(docs, key, text, depth, with_line=True).join(mixed.hint("merge"), "leaf", "left_semi")
+    distinct = materialize(texts.distinct(), "distinct")
     parsed = parse_templates(distinct, similar)
     placed = table.join(parsed, "line_id", "left").select(
         "doc", "pos", "n_tokens", F.coalesce("template_id", "line_id").alias("template_id")

@@ -120,7 +120,7 @@ def _writer(folder: str, archive_bytes: int):
         if out is not None:
             out.close()
             done.append((name, size, count))
-        yield pd.DataFrame(done, columns=["file", "bytes", "records"])
+        yield pd.DataFrame(done, columns=["file", "bytes", "records"], dtype=object)
 
     return write
 
@@ -216,7 +216,7 @@ def read_captures(manifest: DataFrame, folder: str) -> DataFrame:
                         record = parse_record(data)
                         if record["record_type"] in ("response", "revisit"):
                             rows.append((record["url"], record["record_id"], file, offset, length))
-                yield pd.DataFrame(rows, columns=["url", "record_id", "file", "offset", "length"])
+                yield pd.DataFrame(rows, columns=["url", "record_id", "file", "offset", "length"], dtype=object)
 
     files = manifest.select("file")
     return files.repartition(max(1, files.count())).mapInPandas(read, CAPTURE)
@@ -234,8 +234,8 @@ def build_index(captures: DataFrame, block_lines: int = BLOCK_LINES) -> DataFram
 
         def packed() -> pd.DataFrame:
             data = zlib.compress("\n".join(lines).encode())
-            return pd.DataFrame({"block": [(shard << 32) | block], "first_key": keys[0],
-                                 "last_key": keys[-1], "data": [data]})
+            row = ((shard << 32) | block, keys[0], keys[-1], data)
+            return pd.DataFrame([row], columns=["block", "first_key", "last_key", "data"], dtype=object)
 
         for batch in batches:
             for key, file, offset, length in zip(batch.key, batch.file, batch.offset, batch.length):
@@ -268,7 +268,7 @@ def _route(keys: DataFrame, entries: list[tuple[str, str, int]]) -> DataFrame:
                 for key in batch.key
                 for block in blocks[bisect.bisect_left(lasts, key) : bisect.bisect_right(firsts, key)]
             ]
-            yield pd.DataFrame(rows, columns=["key", "block"])
+            yield pd.DataFrame(rows, columns=["key", "block"], dtype=object)
 
     return keys.mapInPandas(route, "key string, block long")
 
@@ -301,7 +301,7 @@ def locate(index: DataFrame, urls: DataFrame) -> DataFrame:
                 for key in wanted_keys:
                     for line in lines[bisect.bisect_left(names, key) : bisect.bisect_right(names, key)]:
                         rows.append((line[1], int(line[2]), int(line[3])))
-            yield pd.DataFrame(rows, columns=["file", "offset", "length"])
+            yield pd.DataFrame(rows, columns=["file", "offset", "length"], dtype=object)
 
     joined = index.select("block", "data").join(listed, "block").select("data", "keys")
     return joined.mapInPandas(search, "file string, offset long, length long")
@@ -323,7 +323,7 @@ def read_records(located: DataFrame, folder: str, payloads: bool = True) -> Data
                 handle.seek(offset)
                 record = parse_record(zlib.decompress(handle.read(length), 31))
                 rows.append(record if payloads else record | {"payload": None})
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in RECORD.split(", ")])
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in RECORD.split(", ")], dtype=object)
         if handle:
             handle.close()
 
