@@ -1,22 +1,25 @@
-"""Removal of long repeated byte strings by distributed prefix doubling.
-
-Two positions have the same rank at length ``2 l`` if their ranks at length ``l`` agree, and so
-do the ranks ``l`` further on. Spark groups positions by such rank pairs at growing offsets
-(50, 100, 200 bytes for strings of 200), gives equal pairs one rank, and drops positions whose
-pair is unique, since no longer string that starts there can repeat.
-
-Ranking every byte of the corpus would shuffle many times the corpus. The first round, at a
-quarter of the length, therefore looks at anchors only. In each window of ``length`` bytes the
-seed (``length / 4`` bytes) with the smallest hash is the anchor; it depends on the window's
-bytes alone, so equal windows have the same anchor at the same place, and some 75 neighbouring
-windows share one. A run of windows with one anchor is a *stretch*. If its anchor's seed occurs
-nowhere else, no window of the stretch repeats, and it is dropped. Stretches that are equal as
-a whole are counted together, however many copies there are: all their windows repeat. Only
-where one anchor has different stretches, at the edges of repeated passages, are single
-positions ranked, once for each different stretch.
-
-Ranks of seeds and of whole stretches are 64-bit hashes of the bytes; ranks of longer strings
-are built from pairs of them.
+"""Removal of long repeated byte strings by ranking positions at growing lengths.
+
+As in prefix doubling, Spark groups positions by the ranks of what lies on their two sides, in
+rounds over growing lengths; equal pairs get one rank, and a position drops out as soon as its
+pair is unique, since no longer string there can repeat, or once it is past the threshold.
+Ranking every byte of the corpus would shuffle many times the corpus, so positions that share
+their fate are ranked together:
+
+1. *Anchors*, a quarter of the length. In each window of ``length`` bytes the seed
+   (``length / 4`` bytes) with the smallest hash is the anchor; it depends on the window's bytes
+   alone, so equal windows have the same anchor at the same place, and some 75 neighbouring
+   windows share one. A run of windows with one anchor is a *stretch*. If its seed occurs nowhere
+   else, no window of the stretch repeats. Stretches that are equal as a whole are one row with
+   a count, however many copies there are: all their windows repeat.
+2. *Bands*, nearly the length. Where one anchor has different stretches, at the edges of repeated
+   passages, windows are taken in bands of ``BAND`` offsets from the anchor. What all windows of
+   a band cover is ranked by the pair (bytes before the anchor, bytes from it on); a unique
+   pair drops the band. A band that is equal as a whole to another repeats as a whole.
+3. *Windows*, the length. The bands left, where a passage begins or ends, are ranked window by
+   window.
+
+Ranks are 64-bit hashes of the bytes.
 """
 
 from __future__ import annotations
@@ -35,7 +38,12 @@ _PLACE_BITS = 21
 _PLACE = np.uint64((1 << _PLACE_BITS) - 1)
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
-STRETCH = "a long, b int, seed long, whole long, start int, n int"
+STRETCH = "a long, b int, seed long, whole long, start int, n int, rel int"
+#: Window offsets from the anchor that are ranked together.
+BAND = 16
+CONTEXT = "a long, b int, start int, n int, rel int, context binary"
+BANDS = "a long, b int, start int, rel int, k int, low int, high int, left long, right long, hull long"
+WINDOWS = "a long, b int, pos int, left long, right long"
 
 
 class _Powers:
@@ -87,7 +95,7 @@ def _sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def stretches(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """Of the texts: text number, seed hash, hash of the whole, start and number of windows."""
+    """Of the texts: text number, seed hash, hash of the whole, start and number of windows, anchor."""
     seed, out = length // 4, []
     sizes = np.array([len(t) for t in texts], np.int64)
     begins = np.concatenate(([0], np.cumsum(sizes)[:-1]))
@@ -110,72 +118,107 @@ def stretches(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
         whole = hashes.of(first, first + n + length - 1)
         whole = _mixed(whole + (n * 512 + anchor[first] - first).astype(np.uint64))
         own = hashes.of(anchor[first], anchor[first] + seed)
-        out.append((text[first], own, whole, first + at - begins[text[first]], n))
+        rel = anchor[first] - first
+        out.append((text[first], own, whole, first + at - begins[text[first]], n, rel))
     if not out:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _find_stretches(docs: DataFrame, length: int) -> DataFrame:
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            text, seed, whole, start, n = stretches([t.encode() for t in batch.text], length)
+            text, seed, whole, start, n, rel = stretches([t.encode() for t in batch.text], length)
             yield pd.DataFrame({"a": batch.a.to_numpy()[text], "b": batch.b.to_numpy()[text],
                                 "seed": seed.view(np.int64), "whole": whole.view(np.int64),
-                                "start": start, "n": n})
+                                "start": start, "n": n, "rel": rel})
 
     return docs.select("a", "b", "text").mapInPandas(find, STRETCH)
 
 
-def _positions(rows: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
-    a, b, at, left, right = (np.concatenate(x) for x in zip(*rows))
-    return pd.DataFrame({"a": a, "b": b, "pos": at, "left": left.view(np.int64), "right": right.view(np.int64)})
-
-
-def _find_positions(docs: DataFrame, length: int) -> DataFrame:
-    """``a``, ``b``, ``pos`` and the ranks at ``pos`` and a quarter of the length further on."""
-    quarter, half = length // 4, length // 2
+def _find_contexts(docs: DataFrame, length: int) -> DataFrame:
+    """The bytes of the stretches in ``parts``."""
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows, size = [], 0
+            rows = []
             for a, b, text, parts in zip(batch.a, batch.b, batch.text, batch.parts):
-                data = np.frombuffer(text.encode(), np.uint8)
-                marks = np.zeros(len(data) + 1, np.int32)
+                data = text.encode()
                 for part in parts:
-                    marks[part["start"]] += 1
-                    marks[min(len(data), part["start"] + part["n"] + half)] -= 1
-                at = np.flatnonzero(np.cumsum(marks)[: len(data) - half + 1] > 0)
-                hashes = Hashes(data)
-                left, right = hashes.of(at, at + quarter), hashes.of(at + quarter, at + half)
-                rows.append((np.full(len(at), a), np.full(len(at), b), at, left, right))
-                size += len(at)
-                if size > _PIECE:
-                    yield _positions(rows)
-                    rows, size = [], 0
-            if rows:
-                yield _positions(rows)
-
-    return docs.mapInPandas(find, "a long, b int, pos int, left long, right long")
-
-
-def _rerank(pairs: DataFrame) -> DataFrame:
-    """Positions whose rank pair is not unique, with one ``rank`` for each pair."""
-    names = materialize(
-        pairs.groupBy("left", "right").agg(F.count("*").alias("n")).where("n > 1").select("left", "right"),
-        "ranks",
-    )
-    kept = pairs.join(names, ["left", "right"], "left_semi")
-    return materialize(kept.select("a", "b", "pos", F.xxhash64("left", "right").alias("rank")), "ranked")
+                    start, n = part["start"], part["n"]
+                    rows.append((a, b, start, n, part["rel"], data[start : start + n + length - 1]))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in CONTEXT.split(", ")], dtype=object)
 
+    return docs.mapInPandas(find, CONTEXT)
 
-def _doubled(ranked: DataFrame, offset: int) -> DataFrame:
-    """Rank pairs (``pos``, ``pos + offset``) of the positions that have both."""
-    ahead = Window.partitionBy("a", "b").orderBy("pos").rangeBetween(offset, offset)
-    return (
-        ranked.select("a", "b", "pos", F.col("rank").alias("left"), F.max("rank").over(ahead).alias("right"))
-        .where("right is not null")
-    )
+
+def _joined(contexts) -> tuple[Hashes, np.ndarray]:
+    """Hashes over all contexts, and where each begins."""
+    sizes = np.array([len(c) for c in contexts], np.int64)
+    begins = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    return Hashes(np.frombuffer(b"".join(contexts), np.uint8)), begins
+
+
+def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``counts`` rows: its number repeated, and 0, 1, ... within it."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _find_bands(contexts: DataFrame, length: int) -> DataFrame:
+    band = min(BAND, length // 8)
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            hashes, begins = _joined(batch.context)
+            rel, n = batch.rel.to_numpy(np.int64), batch.n.to_numpy(np.int64)
+            first = (rel - n + 1) // band
+            row, step = _spread(rel // band - first + 1)
+            k, rel = first[row] + step, rel[row]
+            low, high = np.maximum(k * band, rel - n[row] + 1), np.minimum(k * band + band - 1, rel)
+            anchor = begins[row] + rel
+            left = hashes.of(anchor - k * band, anchor)
+            right = hashes.of(anchor, anchor - k * band - (band - 1) + length)
+            hull = hashes.of(anchor - high, anchor - low + length)
+            yield pd.DataFrame({
+                **{c: batch[c].to_numpy()[row] for c in ("a", "b", "start")},
+                "rel": rel, "k": k, "low": low, "high": high,
+                "left": _mixed(left + k.astype(np.uint64)).view(np.int64), "right": right.view(np.int64),
+                "hull": _mixed(hull + (low * 512 + high).astype(np.uint64)).view(np.int64),
+            })
+
+    return contexts.mapInPandas(find, BANDS)
+
+
+def _find_windows(bands: DataFrame, length: int) -> DataFrame:
+    """Each window of the bands by its position, and the ranks before and from its anchor on."""
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            hashes, begins = _joined(batch.context)
+            low, high = batch.low.to_numpy(np.int64), batch.high.to_numpy(np.int64)
+            row, step = _spread(high - low + 1)
+            offset, rel = low[row] + step, batch.rel.to_numpy(np.int64)[row]
+            anchor = begins[row] + rel
+            left = _mixed(hashes.of(anchor - offset, anchor) + offset.astype(np.uint64))
+            yield pd.DataFrame({
+                **{c: batch[c].to_numpy()[row] for c in ("a", "b")},
+                "pos": batch.start.to_numpy(np.int64)[row] + rel - offset,
+                "left": left.view(np.int64),
+                "right": hashes.of(anchor, anchor - offset + length).view(np.int64),
+            })
+
+    return bands.mapInPandas(find, WINDOWS)
+
+
+def _not_unique(rows: DataFrame, *rank: str) -> DataFrame:
+    """The ranks that more than one row has, written."""
+    counted = rows.groupBy(*rank).agg(F.count("*").alias("n")).where("n > 1").select(*rank)
+    return materialize(counted, "ranks")
 
 
 def repeated(docs: DataFrame, length: int) -> DataFrame:
@@ -190,28 +233,48 @@ def repeated(docs: DataFrame, length: int) -> DataFrame:
     shared = materialize(every.join(seeds, "seed", "left_semi"), "shared")
     wholes = materialize(
         shared.groupBy("seed", "whole").agg(
-            F.count("*").alias("copies"), F.min(F.struct("a", "b", "start", "n")).alias("one")
+            F.count("*").alias("copies"), F.min(F.struct("a", "b", "start", "n", "rel")).alias("one")
         ),
         "wholes",
     )
     copied = wholes.where("copies > 1").select("whole", "seed")
-    runs = shared.join(copied, ["whole", "seed"], "left_semi").select(
+    runs = shared.join(copied.hint("merge"), ["whole", "seed"], "left_semi").select(
         "a", "b", "start", (F.col("start") + F.col("n") + (length - 1)).alias("end")
     )
-    varied = materialize(
-        wholes.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"), "varied"
-    )
-    parts = (
-        wholes.join(varied, "seed", "left_semi")
+    varied = _not_unique(wholes, "seed")
+    parts = materialize(
+        wholes.join(varied.hint("merge"), "seed", "left_semi")
         .select("one.*")
         .groupBy("a", "b")
-        .agg(F.collect_list(F.struct("start", "n")).alias("parts"))
+        .agg(F.collect_list(F.struct("start", "n", "rel")).alias("parts")),
+        "parts",
+    )
+    texts = docs.select("a", "b", "text").join(parts.hint("merge"), ["a", "b"]).dropDuplicates(["a", "b"])
+    contexts = materialize(_find_contexts(texts, length), "contexts")
+
+    every_band = materialize(_find_bands(contexts, length), "bands")
+    cores = _not_unique(every_band, "left", "right")
+    shared_bands = materialize(every_band.join(cores.hint("merge"), ["left", "right"], "left_semi"), "bands")
+    hulls = _not_unique(shared_bands, "hull")
+    same = shared_bands.join(hulls.hint("merge"), "hull", "left_semi")
+    position = F.col("start") + F.col("rel")
+    same_runs = same.select(
+        "a", "b", (position - F.col("high")).alias("start"), (position - F.col("low") + length).alias("end")
+    )
+    # Cores of bands that are not equal as a whole; one band of each kind is looked at.
+    open_cores = materialize(
+        shared_bands.join(hulls.hint("merge"), "hull", "left_anti").select("left", "right").distinct(), "cores"
+    )
+    kinds = shared_bands.join(open_cores.hint("merge"), ["left", "right"], "left_semi").groupBy(
+        "left", "right", "hull"
+    ).agg(F.min(F.struct("a", "b", "start", "rel", "low", "high")).alias("one"))
+    looked = kinds.select("one.*").join(
+        contexts.select("a", "b", "start", "context").hint("merge"), ["a", "b", "start"]
     )
-    parts = materialize(parts, "parts")
-    texts = docs.select("a", "b", "text").join(parts, ["a", "b"]).dropDuplicates(["a", "b"])
-    positions = materialize(_find_positions(texts, length), "positions")
-    ranked = _rerank(positions)
-    final = _rerank(_doubled(ranked, length // 2))
+    windows = materialize(_find_windows(looked, length), "windows")
+    final = windows.join(
+        _not_unique(windows, "left", "right").hint("merge"), ["left", "right"], "left_semi"
+    ).select("a", "b", "pos")
     order = Window.partitionBy("a", "b").orderBy("pos")
     islands = (
         final.withColumn("island", F.col("pos") - F.row_number().over(order))
@@ -220,7 +283,7 @@ def repeated(docs: DataFrame, length: int) -> DataFrame:
         .select("a", "b", "start", "end")
     )
     return materialize(
-        runs.unionByName(islands).groupBy("a", "b").agg(F.collect_set(F.struct("start", "end")).alias("parts")),
+        runs.unionByName(same_runs).unionByName(islands).groupBy("a", "b").agg(F.collect_set(F.struct("start", "end")).alias("parts")),
         "repeated",
     )
 

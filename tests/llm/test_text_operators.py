@@ -462,7 +462,8 @@ def test_pieces_do_not_change_the_result(spark, monkeypatch):
     rows = suffix.stretches([t.encode() for t in texts], 40)
     assert all(len(x) == len(rows[0]) for x in rows)
     covered = collections.Counter()
-    for text, start, n in zip(rows[0], rows[3], rows[4]):
+    for text, start, n, rel in zip(rows[0], rows[3], rows[4], rows[5]):
+        assert 0 <= rel < n + 30
         covered.update((int(text), int(p)) for p in range(start, start + n))
     assert covered == collections.Counter((i, p) for i, t in enumerate(texts) for p in range(len(t) - 39))
 
