@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.ml.functions import vector_to_array
@@ -19,15 +21,13 @@ from churnloom.plans import train as jobs
 from churnloom.schema import FEATURES
 from churnloom.sources import writers
 from churnloom.sources.derived import raw_customers
-from churnloom.sources.readers import scan_csv
-from churnloom.sources.storage import materialize, scratch_path
+from churnloom.sources.readers import records_to_table, scan_csv
+from churnloom.sources.storage import generation, materialize, scratch_path
 from churnloom.streaming.scoring import score_stream as start_score_stream
 
 NUMERIC = ["SeniorCitizen", "tenure", "MonthlyCharges", "TotalCharges"]
 TEXT = ["Partner", "Contract", "PaymentMethod"]
 _RATES = ("accuracy", "precision", "recall", "f1_score", "roc_auc")
-# Size of the selecting forest in these queries; the default is 100 trees of depth 10.
-_FOREST = {"selector_trees": 20, "selector_depth": 5}
 
 # Feature tables and fitted classifiers by application, folder and kind: the queries below
 # share them as a model run shares its written tables.
@@ -35,7 +35,7 @@ _SHARED: dict[tuple, object] = {}
 
 
 def _shared(spark: SparkSession, sf_dir: str, kind: str, build):
-    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    key = (spark.sparkContext.applicationId, generation(), sf_dir, kind)
     if key not in _SHARED:
         _SHARED[key] = build()
     return _SHARED[key]
@@ -50,7 +50,7 @@ def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def _prepared(spark: SparkSession, sf_dir: str) -> jobs.Prepared:
     return _shared(
-        spark, sf_dir, "prepared", lambda: jobs.transform(*_parts(spark, sf_dir), **_FOREST)
+        spark, sf_dir, "prepared", lambda: jobs.transform(*_parts(spark, sf_dir))
     )
 
 
@@ -59,7 +59,7 @@ def _model(spark: SparkSession, sf_dir: str):
 
     def build():
         prepared = _prepared(spark, sf_dir)
-        settings = models.LIGHT_SETTINGS["gradient_boosting"]
+        settings = models.BASE_SETTINGS["gradient_boosting"]
         fitted = models.gradient_boosting(**settings).fit(prepared.train)
         return jobs.assemble_model(prepared, fitted)
 
@@ -176,13 +176,16 @@ def features_table(spark, sf_dir):
     """Written and read back feature vectors with their labels."""
     prepared = _prepared(spark, sf_dir)
     path = scratch_path(spark, "features")
-    writers.write_table(prepared.test.select("customerID", "label", "features"), path)
+    both = prepared.train.select("customerID", "label", "features").unionByName(
+        prepared.test.select("customerID", "label", "features")
+    )
+    writers.write_table(both, path)
     return _vector_rows(spark.read.parquet(path), "features")
 
 
 @query
 def transform(spark, sf_dir):
-    prepared = jobs.transform(*_parts(spark, sf_dir), **_FOREST)
+    prepared = jobs.transform(*_parts(spark, sf_dir))
     both = prepared.train.select("customerID", "label", "features", F.lit("train").alias("split"))
     other = prepared.test.select("customerID", "label", "features", F.lit("test").alias("split"))
     rows = both.unionByName(other)
@@ -193,37 +196,30 @@ def transform(spark, sf_dir):
 
 
 def _classifier(name: str, build, settings: dict):
+    """Predictions for the test part by a classifier at its base settings."""
+
     def run(spark, sf_dir):
         prepared = _prepared(spark, sf_dir)
         fitted = build(**settings).fit(prepared.train)
-        scored = None
-        for split, part in (("train", prepared.train), ("test", prepared.test)):
-            rows = tune.predictions(fitted, part).withColumn("split", F.lit(split))
-            scored = rows if scored is None else scored.unionByName(rows)
-        measured = binary_metrics(scored, ["split"])
-        return rounded(measured, *_RATES).withColumn("model", F.lit(name))
+        return tune.predictions(fitted, prepared.test).drop("score").withColumn("model", F.lit(name))
 
     run.__name__ = f"model_{name}"
     return query(run)
 
 
-_classifier("random_forest", models.random_forest, models.LIGHT_SETTINGS["random_forest"])
-_classifier("gbt", models.gradient_boosting, models.LIGHT_SETTINGS["gradient_boosting"])
-_classifier("adaboost", models.ada_boost, models.LIGHT_SETTINGS["ada_boost"])
-_classifier("decision_tree", models.decision_tree, models.LIGHT_SETTINGS["decision_tree"])
-_classifier("weighted_gbt", models.weighted_boosting, models.LIGHT_SETTINGS["weighted_boosting"])
-_classifier("stacking", models.stacking, {"settings": models.LIGHT_SETTINGS, "folds": 5})
+_classifier("random_forest", models.random_forest, models.BASE_SETTINGS["random_forest"])
+_classifier("gbt", models.gradient_boosting, models.BASE_SETTINGS["gradient_boosting"])
+_classifier("adaboost", models.ada_boost, models.BASE_SETTINGS["ada_boost"])
+_classifier("decision_tree", models.decision_tree, models.BASE_SETTINGS["decision_tree"])
+_classifier("weighted_gbt", models.weighted_boosting, models.BASE_SETTINGS["weighted_boosting"])
+_classifier("stacking", models.stacking, {"settings": models.BASE_SETTINGS, "folds": 5})
 
 
 @query
 def grid_search(spark, sf_dir):
     """Every setting of the single tree by mean F1 over three folds."""
-    spec = models.ModelSpec(
-        "decision_tree",
-        models.decision_tree,
-        [{"maxDepth": d, "impurity": i} for d in (2, 5) for i in ("gini", "entropy")],
-    )
-    _, found = tune.grid_search(_prepared(spark, sf_dir).train, spec)
+    spec = next(s for s in models.full_specs() if s.name == "decision_tree")
+    _, found = tune.grid_search(_prepared(spark, sf_dir).train, spec, parallelism=4)
     return rounded(tune.candidate_table(spark, found), "cv_f1")
 
 
@@ -232,7 +228,7 @@ def _trained(spark, sf_dir) -> jobs.Trained:
         spark,
         sf_dir,
         "trained",
-        lambda: jobs.train(_prepared(spark, sf_dir), models.light_specs()),
+        lambda: jobs.train(_prepared(spark, sf_dir), models.base_specs()),
     )
 
 
@@ -245,31 +241,29 @@ def model_report(spark, sf_dir):
 def refit_best(spark, sf_dir):
     """Test predictions of the chosen classifier, fitted on all training rows."""
     trained = _trained(spark, sf_dir)
-    return rounded(tune.predictions(trained.best, _prepared(spark, sf_dir).test), "score").withColumn(
-        "model", F.lit(trained.best_name)
-    )
+    return tune.predictions(trained.best, _prepared(spark, sf_dir).test).drop("score")
 
 
 @query
 def train(spark, sf_dir):
     """Train and test metrics of the chosen classifier."""
     trained = _trained(spark, sf_dir)
-    return rounded(jobs.metrics_of_best(trained, _prepared(spark, sf_dir)), *_RATES).withColumn(
-        "model", F.lit(trained.best_name)
-    )
+    return rounded(jobs.metrics_of_best(trained, _prepared(spark, sf_dir)), *_RATES)
 
 
 @query
 def run_metrics(spark, sf_dir):
     trained = _trained(spark, sf_dir)
     measured = jobs.metrics_of_best(trained, _prepared(spark, sf_dir))
-    return rounded(jobs.run_metrics("run-1", measured, trained), "value")
+    return rounded(jobs.run_metrics("run-1", measured, trained), "value").where(
+        "split <> 'setting'"
+    ).drop("model")
 
 
 @query
 def top_features(spark, sf_dir):
     prepared = _prepared(spark, sf_dir)
-    forest = models.random_forest(**models.LIGHT_SETTINGS["random_forest"]).fit(prepared.train)
+    forest = models.random_forest(**models.BASE_SETTINGS["random_forest"]).fit(prepared.train)
     importance = features.importance_table(
         spark, features.feature_names(prepared.train), forest.featureImportances.toArray()
     )
@@ -292,15 +286,22 @@ def expected_features(spark, sf_dir):
 
 @query
 def score_records(spark, sf_dir):
-    return rounded(
-        score.score(_model(spark, sf_dir), _records(spark, sf_dir)), "probability"
-    )
+    return score.score(_model(spark, sf_dir), _records(spark, sf_dir)).drop("probability")
+
+
+@query
+def score_request_records(spark, sf_dir):
+    """All customers as JSON request records, turned into a table again and scored."""
+    records = _records(spark, sf_dir)
+    lines = writers.to_json_records(records.orderBy("customerID").limit(100)).collect()
+    table = records_to_table(spark, [json.loads(line["record"]) for line in lines])
+    return score.score(_model(spark, sf_dir), table).drop("probability")
 
 
 @query
 def prediction_preview(spark, sf_dir):
     scored = score.score(_model(spark, sf_dir), _records(spark, sf_dir))
-    return rounded(score.preview(scored), "probability")
+    return score.preview(scored).drop("probability")
 
 
 @query
@@ -313,7 +314,7 @@ def score_csv(spark, sf_dir):
         "csv",
     )
     scored = score.score(_model(spark, sf_dir), scan_csv(spark, path))
-    return rounded(writers.write_table(scored, scratch_path(spark, "scored")), "probability")
+    return writers.write_table(scored, scratch_path(spark, "scored")).drop("probability")
 
 
 @query
@@ -330,16 +331,14 @@ def score_stream(spark, sf_dir):
         scratch_path(spark, "stream-checkpoint"),
     )
     stream.awaitTermination()
-    return rounded(spark.read.parquet(sink), "probability").drop("batch_id")
+    return spark.read.parquet(sink).drop("batch_id", "probability")
 
 
 @query
 def model_roundtrip(spark, sf_dir):
     """Scores of a model that was saved and loaded."""
     uri = jobs.publish(_model(spark, sf_dir), scratch_path(spark, "model"))
-    return rounded(
-        score.score(jobs.load_model(uri), _records(spark, sf_dir)), "probability"
-    )
+    return score.score(jobs.load_model(uri), _records(spark, sf_dir)).drop("probability")
 
 
 @query
@@ -347,7 +346,7 @@ def publish_model(spark, sf_dir):
     """Publishing twice to one place: the second model replaces the first and scores."""
     uri = scratch_path(spark, "final-model")
     prepared = _prepared(spark, sf_dir)
-    tree = models.decision_tree(**models.LIGHT_SETTINGS["decision_tree"]).fit(prepared.train)
+    tree = models.decision_tree(**models.BASE_SETTINGS["decision_tree"]).fit(prepared.train)
     jobs.publish(_model(spark, sf_dir), uri)
     jobs.publish(jobs.assemble_model(prepared, tree), uri)
     found = jobs.find_model(spark, [scratch_path(spark, "nothing"), uri])
@@ -357,21 +356,15 @@ def publish_model(spark, sf_dir):
 
 # --- whole jobs ----------------------------------------------------------------------
 
-_RUN_SPECS = [
-    models.ModelSpec("decision_tree", models.decision_tree, [{"maxDepth": 3}, {"maxDepth": 5}]),
-    models.ModelSpec(
-        "random_forest", models.random_forest, [models.LIGHT_SETTINGS["random_forest"]]
-    ),
-]
-
-
 @query
 def gated_run(spark, sf_dir):
     """Two runs on the same data: the first has no model and trains, the second meets its model."""
     uri = scratch_path(spark, "published")
     turns = None
     for turn in (1, 2):
-        done = jobs.run(raw_customers(spark, sf_dir), [uri], specs=_RUN_SPECS, **_FOREST)
+        done = jobs.run(
+            raw_customers(spark, sf_dir), [uri], scratch_path(spark, "run"), models.base_specs()
+        )
         row = done.decision.select(
             F.lit(turn).alias("turn"),
             "decision",
@@ -390,12 +383,17 @@ def forced_run(spark, sf_dir):
     done = jobs.run(
         raw_customers(spark, sf_dir),
         [scratch_path(spark, "published")],
-        specs=_RUN_SPECS,
+        scratch_path(spark, "run"),
+        models.base_specs(),
         force=True,
         run_id="forced",
-        **_FOREST,
     )
-    return rounded(done.metrics, "value")
+    # The counts of both parts: rows and positives are the data's, whatever the fit.
+    counts = done.metrics.where("metric in ('tn', 'fp', 'fn', 'tp')")
+    return counts.groupBy("run_id", "split").agg(
+        F.sum("value").alias("n_rows"),
+        F.sum(F.when(F.col("metric").isin("fn", "tp"), F.col("value"))).alias("n_positive"),
+    )
 
 
 @query

@@ -629,6 +629,7 @@ ORACLE["check_features"] = PATCHY + _union(
     + ["SELECT 'Churn', 'unexpected', count(Churn) FROM patchy"]
 )
 
+_SPARK_NAME = {"string": "string", "int": "int", "float": "double"}
 _CODED = "CASE Churn WHEN 'Yes' THEN '1' ELSE '0' END"
 
 
@@ -659,6 +660,9 @@ ORACLE["eda_report"] = (
     + ", uniq AS (SELECT DISTINCT * FROM raw)\n"
     + _eda_box_cte("monthly", "MonthlyCharges")
     + _eda_box_cte("total", "TotalCharges")
+    + ", tenure_range AS (SELECT CAST(min(tenure) AS DOUBLE) AS lo, CAST(max(tenure) AS DOUBLE) AS hi FROM explored)"
+    ", spread AS (SELECT Churn, count(*) AS n, pow(count(*), -0.2::DOUBLE)*stddev_samp(tenure) AS h "
+    "FROM explored GROUP BY Churn)"
     + ", hist AS (SELECT Churn, least(CAST(floor((tenure-lo)*30.0::DOUBLE/(hi-lo)) AS INTEGER), 29)"
     " AS bin FROM explored, (SELECT CAST(min(tenure) AS DOUBLE) AS lo, "
     "CAST(max(tenure) AS DOUBLE) AS hi FROM explored))\n"
@@ -680,6 +684,10 @@ ORACLE["eda_report"] = (
                 )
                 for c in COLUMNS
             ),
+            *(
+                _eda("types", f"'{r.name} {_SPARK_NAME[r.kind]}'", "NULL", f"count({r.name})", "FROM coerced")
+                for r in CUSTOMER_RULES
+            ),
             _eda("churn", "'rows'", _CODED, "count(*)", "FROM explored GROUP BY Churn"),
             _eda("contract", "Contract", _CODED, "count(*)", "FROM explored GROUP BY Contract, Churn"),
             _eda_box("monthly", "MonthlyCharges"),
@@ -691,6 +699,14 @@ ORACLE["eda_report"] = (
                 "(SELECT count(*) FROM hist h WHERE h.Churn = c.Churn AND h.bin = b)",
                 "FROM (SELECT DISTINCT Churn FROM explored) c, range(30) t(b)",
             ),
+            _eda(
+                "density",
+                "concat('point ', lpad(CAST(p AS VARCHAR), 3, '0'))",
+                _CODED.replace("Churn", "e.Churn"),
+                "sum(exp(-0.5::DOUBLE*pow((lo + p*((hi-lo)/199) - e.tenure)/h, 2)))/(n*h*sqrt(2*pi()))",
+                "FROM explored e JOIN spread s ON e.Churn = s.Churn, tenure_range, range(200) g(p) "
+                "GROUP BY e.Churn, p, lo, hi, n, h",
+            ),
         ]
     )
 )
@@ -769,3 +785,59 @@ ORACLE["gated_run"] = (
     "SELECT 2, CASE WHEN d THEN 'train' ELSE 'skip' END, "
     "CASE WHEN d THEN 'drift found' ELSE 'model up to date' END, s, d, d FROM x"
 )
+
+# --- predictions: the separable target is decided by the features, so a right model repeats it ---
+
+_SEPARATED = (
+    DISTINCT
+    + ", separated AS (SELECT customerID, CASE WHEN Contract = 'Month-to-month' THEN 1 "
+    "WHEN InternetService = 'Fiber optic' AND CAST(substr(customerID, 2, 8) AS BIGINT) % 4 = 0 "
+    f"THEN 1 ELSE 0 END AS y, {_SPLIT} FROM uniq)\n"
+)
+_CHURN = "CASE y WHEN 1 THEN 'Yes' ELSE 'No' END AS churn"
+_SCORED_ALL = _SEPARATED + f"SELECT customerID, y AS prediction, {_CHURN} FROM separated"
+_TEST_PREDICTIONS = (
+    _SEPARATED + "SELECT customerID, y AS label, y AS prediction{} FROM separated WHERE split = 'test'"
+)
+for _name in ("random_forest", "gbt", "adaboost", "decision_tree", "weighted_gbt", "stacking"):
+    ORACLE[f"model_{_name}"] = _TEST_PREDICTIONS.format(f", '{_name}' AS model")
+ORACLE["refit_best"] = _TEST_PREDICTIONS.format("")
+for _name in ("score_records", "score_csv", "score_stream", "model_roundtrip"):
+    ORACLE[_name] = _SCORED_ALL
+ORACLE["score_request_records"] = _SCORED_ALL + " ORDER BY customerID LIMIT 100"
+ORACLE["prediction_preview"] = (
+    _SEPARATED + f"SELECT customerID, y AS prediction, {_CHURN}, count(*) OVER () AS n_total "
+    "FROM separated ORDER BY customerID LIMIT 10"
+)
+ORACLE["publish_model"] = (
+    _SEPARATED + "SELECT y AS prediction, count(*) AS n FROM separated GROUP BY y"
+)
+_PERFECT = ", ".join(f"1.0::DOUBLE AS {n}" for n in ("accuracy", "precision", "recall", "f1_score", "roc_auc"))
+_PERFECT_CELLS = (
+    "count(*) FILTER (y=0) AS tn, 0::BIGINT AS fp, 0::BIGINT AS fn, count(*) FILTER (y=1) AS tp"
+)
+ORACLE["train"] = _SEPARATED + f"SELECT split, {_PERFECT}, {_PERFECT_CELLS} FROM separated GROUP BY split"
+ORACLE["run_metrics"] = (
+    _SEPARATED
+    + f", m AS (SELECT split, {_PERFECT}, {_PERFECT_CELLS} FROM separated GROUP BY split)\n"
+    + _union(
+        [
+            f"SELECT 'run-1' AS run_id, split, '{n}' AS metric, CAST({n} AS DOUBLE) AS value FROM m"
+            for n in ("accuracy", "precision", "recall", "f1_score", "roc_auc", "tn", "fp", "fn", "tp")
+        ]
+    )
+)
+ORACLE["forced_run"] = (
+    CLEANED
+    + f", ingested AS (SELECT *, {_SPLIT} FROM cleaned)\n"
+    "SELECT 'forced' AS run_id, split, CAST(count(*) AS DOUBLE) AS n_rows, "
+    "CAST(count(*) FILTER (Churn = 'Yes') AS DOUBLE) AS n_positive FROM ingested GROUP BY split"
+)
+ORACLE["csv_invalid_cells"] = RAW + _union(
+    [
+        f"SELECT '{r.name}' AS \"column\", "
+        + ("count(*) FILTER (tenure % 2 = 0)" if r.name == "tenure" else "count(*) FILTER (1 = 0)")
+        + " AS n_invalid FROM raw"
+        for r in CUSTOMER_RULES
+    ]
+)

@@ -13,7 +13,7 @@ from churnloom.plans.ingest import clean_customers, ingest, schema_reports, vali
 from churnloom.schema import CUSTOMER_RULES, NUMERIC_KINDS
 from churnloom.sources import writers
 from churnloom.sources.derived import raw_customers
-from churnloom.sources.readers import scan_csv, scan_table
+from churnloom.sources.readers import invalid_cells, scan_csv, scan_table
 from churnloom.sources.storage import materialize, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,15 @@ def scan_csv_(spark, sf_dir):
     return scan_csv(spark, path)
 
 
+@query
+def csv_invalid_cells(spark, sf_dir):
+    """Cells of a CSV that are not of their declared type: every even tenure is written as a word."""
+    path = scratch_path(spark, "bad-csv")
+    word = F.when(F.col("tenure") % 2 == 0, F.lit("many")).otherwise(F.col("tenure").cast("string"))
+    writers.write_table(raw_customers(spark, sf_dir).withColumn("tenure", word), path, "csv")
+    return invalid_cells(spark, path)
+
+
 @query
 def to_json_records(spark, sf_dir):
     records = writers.to_json_records(raw_customers(spark, sf_dir))

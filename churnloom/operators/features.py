@@ -26,7 +26,9 @@ from churnloom.sources.storage import materialize
 # Fixed values of the feature selection.
 SELECTOR_TREES = 100
 SELECTOR_SEED = 42
-SELECTOR_DEPTH = 10
+# An unlimited depth is the deepest MLlib grows.
+SELECTOR_DEPTH = 30
+SELECTOR_BINS = 256
 
 # Most values a text column may have to be encoded.
 MAX_CATEGORIES = 10000
@@ -97,6 +99,7 @@ class ForestSelector(
             weightCol="_weight",
             numTrees=self.getOrDefault(self.numTrees),
             maxDepth=self.getOrDefault(self.maxDepth),
+            maxBins=SELECTOR_BINS,
             seed=self.getSeed(),
         ).fit(weighted)
         importances = forest.featureImportances.toArray()
@@ -116,8 +119,10 @@ def require_few_categories(df: DataFrame, columns: list[str], limit: int = MAX_C
     """
     if not columns:
         return
-    sizes = df.agg(*(F.approx_count_distinct(c).alias(c) for c in columns)).first().asDict()
-    wide = sorted(c for c, n in sizes.items() if n > limit)
+    values = df.select(*columns).unpivot([], columns, "column", "value").distinct()
+    sizes = values.where("value is not null").groupBy("column").count()
+    # A row for each column.
+    wide = sorted(row["column"] for row in sizes.where(F.col("count") > limit).collect())
     if wide:
         raise ValueError(f"more than {limit} values to encode in {wide}; pass them as id columns")
 

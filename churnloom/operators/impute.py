@@ -39,12 +39,16 @@ def _sum(columns: list[Column]) -> Column:
 
 
 def _observed_mask(columns: list[Column]) -> Column:
-    """Bit i is set when column i has a value."""
-    return _sum([F.when(c.isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(columns)])
+    """A text with 1 at position i when column i has a value, else 0; any number of columns."""
+    return F.concat(*(F.when(c.isNotNull(), F.lit("1")).otherwise(F.lit("0")) for c in columns))
 
 
 def _bit(mask: str, i: int) -> Column:
-    return F.col(mask).bitwiseAND(F.lit(1 << i)) != 0
+    return F.substring(mask, i + 1, 1) == "1"
+
+
+def _any(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
 
 
 class _KNNParams(HasInputCols):
@@ -92,7 +96,7 @@ class KNNImputerModel(Model, _KNNParams, MLReadable, MLWritable):
 
     def __init__(self) -> None:
         super().__init__()
-        self._indexes: dict[tuple[int, ...], tuple[DataFrame, list[DataFrame]]] = {}
+        self._indexes: dict[tuple[str, ...], tuple[DataFrame, list[DataFrame]]] = {}
 
     @classmethod
     def _from_donors(cls, donors: DataFrame, columns: list[str], k: int) -> KNNImputerModel:
@@ -147,7 +151,7 @@ class KNNImputerModel(Model, _KNNParams, MLReadable, MLWritable):
         )
         return spaces.withColumns(steps).withColumn("_curve", F.expr(" + ".join(terms))).drop(*steps)
 
-    def _index(self, masks: tuple[int, ...]) -> tuple[DataFrame, list[DataFrame]]:
+    def _index(self, masks: tuple[str, ...]) -> tuple[DataFrame, list[DataFrame]]:
         """(points with their block, box tables from the top down) for the given patterns."""
         if masks in self._indexes:
             return self._indexes[masks]
@@ -162,13 +166,24 @@ class KNNImputerModel(Model, _KNNParams, MLReadable, MLWritable):
         spaces = base.select(
             "*", F.explode(F.array(*(F.lit(m) for m in masks))).alias("recv_mask")
         ).where(
-            (F.col("mask").bitwiseAND(F.col("recv_mask")) != 0)
-            & (F.col("mask").bitwiseAND(F.bitwise_not("recv_mask")) != 0)
+            _any([_bit("mask", i) & _bit("recv_mask", i) for i in range(d)])
+            & _any([_bit("mask", i) & ~_bit("recv_mask", i) for i in range(d)])
         )
         # Only the columns both rows have count for the distance.
         spaces = spaces.select(
             "*", *(F.when(_bit("recv_mask", i), F.col(x[i])).alias(f"c{i}") for i in range(d))
         )
+        # Points with the same coordinates tie at every distance, so the first k in the tie
+        # order can be the only neighbours among them. Without this a value that half of
+        # all rows have would keep half of all blocks.
+        tied = Window.partitionBy("recv_mask", "mask", *(f"c{i}" for i in range(d))).orderBy(
+            *(F.col(c).asc_nulls_first() for c in x)
+        )
+        spaces = (
+            spaces.withColumn("_tie", F.row_number().over(tied))
+            .where(F.col("_tie") <= self.getK())
+            .drop("_tie")
+        )
         spaces = self._with_curve_key(spaces).withColumn("_one", F.lit(1))
         space = ["recv_mask", "mask"]
         ranked = running_totals(spaces, space, ["_curve", *x], ["_one"])
@@ -177,6 +192,7 @@ class KNNImputerModel(Model, _KNNParams, MLReadable, MLWritable):
                 "_curve", "_one", "_one_cum", "_one_total"
             ),
             "points",
+            keep=True,
         )
         boxes = materialize(
             points.groupBy(*space, "block").agg(
@@ -185,6 +201,7 @@ class KNNImputerModel(Model, _KNNParams, MLReadable, MLWritable):
                 *(F.max(f"c{i}").alias(f"hi{i}") for i in range(d)),
             ),
             "boxes",
+            keep=True,
         )
         top_block = boxes.agg(F.max("block")).first()[0]
         levels = [boxes.withColumnRenamed("block", "node")]
@@ -226,15 +243,16 @@ class KNNImputerModel(Model, _KNNParams, MLReadable, MLWritable):
             .select(*(f"r{i}" for i in range(d)), "recv_mask", "mask", "node")
         )
 
-    def _neighbour_means(self, receivers: DataFrame, masks: tuple[int, ...]) -> DataFrame:
+    def _neighbour_means(self, receivers: DataFrame, masks: tuple[str, ...]) -> DataFrame:
         """For distinct incomplete rows r0..: the imputed value of each missing column."""
         d = len(self.getInputCols())
         k = self.getK()
         r = [f"r{i}" for i in range(d)]
         x = [f"x{i}" for i in range(d)]
         points, levels = self._index(masks)
-        # The top level has at most FANOUT boxes per pair of patterns.
-        frontier = self._near_boxes(receivers.join(F.broadcast(levels[0]), "recv_mask"))
+        # At most FANOUT boxes per pair of patterns; their number of pairs is the data's, so
+        # Spark decides from the measured size whether to broadcast.
+        frontier = self._near_boxes(receivers.join(levels[0], "recv_mask"))
         for level in levels[1:]:
             children = level.withColumns(
                 {"parent": F.floor(F.col("node") / FANOUT), "child": F.col("node")}
@@ -251,7 +269,7 @@ class KNNImputerModel(Model, _KNNParams, MLReadable, MLWritable):
             ).otherwise(F.lit(0.0))
             for i in range(d)
         ]
-        shared = F.bit_count(F.col("recv_mask").bitwiseAND(F.col("mask")))
+        shared = _sum([(_bit("recv_mask", i) & _bit("mask", i)).cast("int") for i in range(d)])
         nearest = [F.col("distance"), *(F.col(c).asc_nulls_first() for c in x)]
         pairs = (
             frontier.withColumnRenamed("node", "block")
@@ -264,8 +282,9 @@ class KNNImputerModel(Model, _KNNParams, MLReadable, MLWritable):
         taken = F.least(F.col("n"), F.lit(k) - (F.col("_held") - F.col("n")))
         # Each task ranks its own pairs first, so at most k per cell leave it.
         kept = (
-            pairs.select(*r, "distance", *x, "n", F.inline(cells))
-            .where(F.col("value").isNotNull())
+            pairs.select(
+                *r, "distance", *x, "n", F.inline(F.filter(cells, lambda c: c["value"].isNotNull()))
+            )
             .withColumn("_rank", F.row_number().over(per_cell))
             .where(F.col("_rank") <= k)
             .withColumn(

@@ -43,15 +43,20 @@ def threshold_metrics(
 
 
 def _score_counts(df: DataFrame, by: list[str], label: str, score: str, extra=None) -> DataFrame:
-    y = F.col(label).cast("int")
-    sums = {"pos": y == 1, "neg": y == 0, **(extra or {})}
-    return (
-        df.where(F.col(score).isNotNull())
-        .groupBy(*by, F.col(score).cast("double").alias("threshold"))
-        .agg(*(F.count_if(c).alias(name) for name, c in sums.items()))
+    """Rows per (group, score). Rows without a score have a row too, with no ``pos`` or ``neg``."""
+    y, scored = F.col(label).cast("int"), F.col(score).isNotNull()
+    sums = {"pos": (y == 1) & scored, "neg": (y == 0) & scored, **(extra or {})}
+    return df.groupBy(*by, F.col(score).cast("double").alias("threshold")).agg(
+        *(F.count_if(c).alias(name) for name, c in sums.items())
     )
 
 
+def _curve_totals(df: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
+    """Running counts by falling score, for the rows that have one."""
+    counts = _score_counts(df, by, label, score).where("threshold is not null")
+    return running_totals(counts, by, ["threshold"], ["pos", "neg"], descending=True)
+
+
 def _auc(pos: str = "pos", neg: str = "neg") -> Column:
     """Aggregate over rows by ascending score: share of (positive, negative) pairs in order.
 
@@ -72,7 +77,10 @@ def binary_metrics(
     prediction: str = "prediction",
     score: str = "score",
 ) -> DataFrame:
-    """Threshold metrics plus ROC AUC per group, from one pass over the rows."""
+    """Threshold metrics plus ROC AUC per group, from one pass over the rows.
+
+    All rows count for the threshold metrics; the AUC is that of the rows with a score.
+    """
     by = by or []
     counts = _score_counts(df, by, label, score, _cell_conditions(label, prediction))
     running = running_totals(counts, by, ["threshold"], ["pos", "neg"])
@@ -113,9 +121,7 @@ def roc_curve(
 ) -> DataFrame:
     """(threshold, fpr, tpr) at every score, and the origin with a null threshold."""
     by = by or []
-    running = running_totals(
-        _score_counts(df, by, label, score), by, ["threshold"], ["pos", "neg"], descending=True
-    )
+    running = _curve_totals(df, by, label, score)
     points = running.select(
         *by,
         "threshold",
@@ -135,9 +141,7 @@ def roc_area(
 ) -> DataFrame:
     """Trapezoid area under :func:`roc_curve`."""
     by = by or []
-    running = running_totals(
-        _score_counts(df, by, label, score), by, ["threshold"], ["pos", "neg"], descending=True
-    )
+    running = _curve_totals(df, by, label, score)
     width = F.try_divide(F.col("neg"), F.col("neg_total"))
     height = F.try_divide(2 * F.col("pos_cum") - F.col("pos"), 2 * F.col("pos_total"))
     return running.groupBy(*by).agg(F.sum(width * height).alias("area"))
@@ -148,9 +152,7 @@ def pr_curve(
 ) -> DataFrame:
     """(threshold, precision, recall) at every score, closed by precision 1, recall 0."""
     by = by or []
-    running = running_totals(
-        _score_counts(df, by, label, score), by, ["threshold"], ["pos", "neg"], descending=True
-    )
+    running = _curve_totals(df, by, label, score)
     points = running.select(
         *by,
         "threshold",

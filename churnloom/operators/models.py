@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
-from pyspark import keyword_only
+import numpy as np
+from pyspark import inheritable_thread_target, keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
-    DecisionTreeClassificationModel,
     DecisionTreeClassifier,
     GBTClassifier,
     LogisticRegression,
@@ -20,14 +21,16 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasMaxIter, HasSeed, HasStepSize
 from pyspark.ml.util import (
+    DefaultParamsReadable,
     DefaultParamsReader,
+    DefaultParamsWritable,
     DefaultParamsWriter,
     MLReadable,
     MLReader,
     MLWritable,
     MLWriter,
 )
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnloom.operators.split import hash_folds
@@ -39,6 +42,8 @@ SEED = 42
 BALANCED, POSITIVE_WEIGHT = "weight", "pos_weight"
 _OUTPUTS = ("rawPrediction", "probability", "prediction")
 _CUT_EVERY = 10
+# Cut points that a tree looks at in one slot, plus 1.
+MAX_BINS = 256
 
 
 def positive_score(df: DataFrame, output: str = "score") -> DataFrame:
@@ -59,96 +64,166 @@ def _binary_outputs(df: DataFrame, score: Column, prediction: Column) -> DataFra
 class AdaBoostClassifier(Estimator, HasFeaturesCol, HasLabelCol, HasMaxIter, HasStepSize, HasSeed):
     """Boosted depth-1 trees: each round up-weights the rows the last tree got wrong.
 
-    Stops early when a tree makes no error or is no better than chance.
+    The features are cut into at most ``maxBins`` bins once and written. A round is one
+    aggregation to the weight of each (slot, bin, label), from which the split with the least
+    impurity and its error follow. Stops early when a tree makes no error or is no better
+    than chance.
     """
 
+    maxBins = Param(Params._dummy(), "maxBins", "most cut points of a slot, plus 1", TypeConverters.toInt)
+
     @keyword_only
-    def __init__(self, *, maxIter: int = 50, stepSize: float = 1.0, seed: int = SEED):
+    def __init__(
+        self, *, maxIter: int = 50, stepSize: float = 1.0, maxBins: int = MAX_BINS, seed: int = SEED
+    ):
         super().__init__()
         self._setDefault(
-            maxIter=50, stepSize=1.0, seed=SEED, featuresCol="features", labelCol="label"
+            maxIter=50, stepSize=1.0, maxBins=MAX_BINS, seed=SEED, featuresCol="features", labelCol="label"
         )
         self._set(**self._input_kwargs)
 
+    def _cuts(self, rows: DataFrame) -> list[list[float]]:
+        """Cut points of each slot: between its values if they are few, else quantiles."""
+        bins = self.getOrDefault(self.maxBins)
+        slots = rows.select(F.posexplode("x").alias("slot", "value"))
+        probs = F.array(*(F.lit(i / bins) for i in range(1, bins)))
+        counted = slots.groupBy("slot", "value").agg(F.count("*").alias("n"))
+        first = Window.partitionBy("slot").orderBy("value")
+        few = (
+            counted.withColumn("rank", F.row_number().over(first))
+            .where(F.col("rank") <= bins + 1)
+            .groupBy("slot")
+            .agg(F.array_sort(F.collect_list("value")).alias("values"))
+        )
+        quantiles = slots.groupBy("slot").agg(
+            F.percentile_approx("value", probs, 100 * bins).alias("quantiles")
+        )
+        # At most maxBins numbers for each slot.
+        table = few.join(quantiles, "slot").orderBy("slot").collect()
+        cuts = []
+        for row in table:
+            values = row["values"]
+            if len(values) <= bins:
+                cuts.append([(p + q) / 2 for p, q in zip(values, values[1:])])
+            else:
+                cuts.append(sorted(set(row["quantiles"])))
+        return cuts
+
     def _fit(self, dataset: DataFrame) -> AdaBoostModel:
-        features, label = self.getFeaturesCol(), self.getLabelCol()
-        stump = DecisionTreeClassifier(
-            featuresCol=features,
-            labelCol=label,
-            weightCol="_w",
-            maxDepth=1,
-            seed=self.getSeed(),
-            predictionCol="_p",
-            rawPredictionCol="",
-            probabilityCol="",
+        label = F.col(self.getLabelCol()).cast("int")
+        rows = dataset.select(vector_to_array(self.getFeaturesCol()).alias("x"), label.alias("y"))
+        cuts = self._cuts(rows)
+        # A value's bin is the number of cut points below it.
+        binned = F.transform(
+            "x",
+            lambda v, i: F.size(
+                F.filter(F.element_at(_doubles(cuts), (i + 1).cast("int")), lambda c: v > c)
+            ),
         )
-        rows = dataset.select(features, label).withColumn("_w", F.lit(1.0))
-        trees, alphas = [], []
-        for turn in range(self.getMaxIter()):
-            tree = stump.fit(rows)
-            scored = tree.transform(rows)
-            wrong = F.col("_p") != F.col(label)
-            totals = scored.agg(
-                F.sum("_w").alias("all"), F.sum(F.when(wrong, F.col("_w"))).alias("wrong")
-            ).first()
-            error = (totals["wrong"] or 0.0) / totals["all"]
-            if error <= 0.0:
-                trees.append(tree)
-                alphas.append(1.0)
+        rows = materialize(rows.select(binned.alias("bins"), "y"), "bins")
+        model, weight = _Stumps(), F.lit(1.0)
+        for _ in range(self.getMaxIter()):
+            slot = F.posexplode("bins").alias("slot", "bin")
+            sums = (
+                rows.withColumn("w", weight).select("y", "w", slot)
+                .groupBy("slot", "bin", "y").agg(F.sum("w").alias("w")).collect()
+            )  # a row for each slot, bin and class
+            stump = _best_stump(sums, cuts)
+            if stump.error <= 0.0:
+                model.add(stump, cuts, 1.0)
                 break
-            if error >= 0.5:
-                if not trees:
+            if stump.error >= 0.5:
+                if not model.slots:
                     raise ValueError("the first tree is no better than chance")
                 break
-            alpha = self.getStepSize() * math.log((1.0 - error) / error)
-            trees.append(tree)
-            alphas.append(alpha)
-            # Scaled to keep the total near the row count through all rounds.
-            scale = totals["all"] / (totals["all"] + totals["wrong"] * (math.exp(alpha) - 1.0))
-            weight = F.col("_w") * F.when(wrong, math.exp(alpha)).otherwise(1.0) * F.lit(scale)
-            rows = scored.withColumn("_w", weight).drop("_p")
-            if (turn + 1) % _CUT_EVERY == 0:
-                rows = materialize(rows, "boost")
-        model = AdaBoostModel(trees)
-        model._set(featuresCol=features, alphas=alphas)
-        return model._resetUid(self.uid)
-
-
-class AdaBoostModel(Model, HasFeaturesCol, MLReadable, MLWritable):
-    """Weighted vote of the trees; the score is the logistic of twice the mean vote."""
-
-    alphas = Param(Params._dummy(), "alphas", "vote of each tree", TypeConverters.toListFloat)
-
-    def __init__(self, trees: list[DecisionTreeClassificationModel] | None = None):
-        super().__init__()
-        self.trees = trees or []
+            alpha = self.getStepSize() * math.log((1.0 - stump.error) / stump.error)
+            model.add(stump, cuts, alpha)
+            said = F.when(F.col("bins")[stump.slot] <= stump.bin, stump.left).otherwise(stump.right)
+            # Scaled to keep the weights near 1 through all rounds.
+            scale = 1.0 / (1.0 + stump.error * (math.exp(alpha) - 1.0))
+            weight = weight * F.when(said != F.col("y"), math.exp(alpha) * scale).otherwise(scale)
+            if len(model.slots) % _CUT_EVERY == 0:
+                rows = materialize(rows.select("bins", "y", weight.alias("kept")), "boost")
+                weight = F.col("kept")
+        fitted = AdaBoostModel()
+        fitted._set(
+            featuresCol=self.getFeaturesCol(), slots=model.slots, cuts=model.cuts,
+            left=model.left, right=model.right, alphas=model.alphas,
+        )
+        return fitted._resetUid(self.uid)
+
+
+def _doubles(cuts: list[list[float]]) -> Column:
+    return F.array(*(F.array(*map(F.lit, c)).cast("array<double>") for c in cuts))
 
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        alphas = self.getOrDefault(self.alphas)
-        votes = dataset
-        for i, tree in enumerate(self.trees):
-            tree.setPredictionCol(f"_vote{i}")
-            votes = tree.transform(votes)
-        total = sum(alphas)
-        margin = F.lit(0.0)
-        for i, alpha in enumerate(alphas):
-            margin = margin + F.lit(alpha / total) * (2 * F.col(f"_vote{i}") - 1)
-        voted = votes.withColumn("_margin", margin)
-        score = 1 / (1 + F.exp(-2 * F.col("_margin")))
-        return _binary_outputs(voted, score, F.col("_margin") > 0).drop(
-            "_margin", *(f"_vote{i}" for i in range(len(alphas)))
-        )
 
-    def write(self) -> MLWriter:
-        return _PartsWriter(self, self.trees)
+@dataclass(frozen=True)
+class _Stump:
+    slot: int
+    bin: int  # the last one on the left
+    left: int
+    right: int
+    error: float
+
+
+@dataclass
+class _Stumps:
+    slots: list[int] = field(default_factory=list)
+    cuts: list[float] = field(default_factory=list)
+    left: list[int] = field(default_factory=list)
+    right: list[int] = field(default_factory=list)
+    alphas: list[float] = field(default_factory=list)
+
+    def add(self, stump: _Stump, cuts: list[list[float]], alpha: float) -> None:
+        at = cuts[stump.slot]
+        self.slots.append(stump.slot)
+        self.cuts.append(float(at[stump.bin]) if at else math.inf)
+        self.left.append(stump.left)
+        self.right.append(stump.right)
+        self.alphas.append(float(alpha))
+
+
+def _best_stump(sums: list, cuts: list[list[float]]) -> _Stump:
+    """The split of least Gini impurity; the earlier slot and cut win a tie."""
+    width = max((len(c) for c in cuts), default=0) + 1
+    weights = np.zeros((len(cuts), width, 2))
+    for row in sums:
+        weights[row["slot"], row["bin"], row["y"]] += row["w"]
+    left = weights.cumsum(axis=1)
+    total = left[:, -1:, :]
+    right = total - left
+    impurity = sum(
+        np.divide(2 * side.prod(axis=2), side.sum(axis=2), out=np.zeros(side.shape[:2]), where=side.sum(axis=2) > 0)
+        for side in (left, right)
+    )
+    for slot, at in enumerate(cuts):
+        impurity[slot, max(1, len(at)) :] = np.inf
+    slot, cut = np.unravel_index(np.argmin(np.round(impurity / total[0].sum(), 12)), impurity.shape)
+    sides = left[slot, cut], right[slot, cut]
+    answers = [int(side[1] > side[0]) for side in sides]
+    wrong = sum(side[1 - answer] for side, answer in zip(sides, answers))
+    return _Stump(int(slot), int(cut), *answers, max(0.0, float(wrong / total[0].sum())))
 
-    @classmethod
-    def read(cls) -> MLReader:
-        return _PartsReader(cls)
 
-    @classmethod
-    def _from_parts(cls, parts: list) -> AdaBoostModel:
-        return cls(parts)
+class AdaBoostModel(Model, HasFeaturesCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Weighted vote of the stumps, in one projection; the score is the logistic of twice the mean vote."""
+
+    slots = Param(Params._dummy(), "slots", "vector slot of each stump", TypeConverters.toListInt)
+    cuts = Param(Params._dummy(), "cuts", "largest value on the left", TypeConverters.toListFloat)
+    left = Param(Params._dummy(), "left", "class up to the cut", TypeConverters.toListInt)
+    right = Param(Params._dummy(), "right", "class above the cut", TypeConverters.toListInt)
+    alphas = Param(Params._dummy(), "alphas", "vote of each stump", TypeConverters.toListFloat)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        parts = [self.getOrDefault(p) for p in ("slots", "cuts", "left", "right", "alphas")]
+        total = sum(parts[-1])
+        x, margin = vector_to_array(self.getFeaturesCol()), F.lit(0.0)
+        for slot, cut, left, right, alpha in zip(*parts):
+            vote = F.when(x[slot] <= cut, 2 * left - 1).otherwise(2 * right - 1)
+            margin = margin + F.lit(alpha / total) * vote
+        voted = dataset.withColumn("_margin", margin)
+        score = 1 / (1 + F.exp(-2 * F.col("_margin")))
+        return _binary_outputs(voted, score, F.col("_margin") > 0).drop("_margin")
 
 
 class StackingClassifier(Estimator, HasFeaturesCol, HasLabelCol, HasSeed):
@@ -160,11 +235,12 @@ class StackingClassifier(Estimator, HasFeaturesCol, HasLabelCol, HasSeed):
 
     folds = Param(Params._dummy(), "folds", "out-of-fold parts", TypeConverters.toInt)
     keyCol = Param(Params._dummy(), "keyCol", "row key that decides the fold", TypeConverters.toString)
+    parallelism = Param(Params._dummy(), "parallelism", "fits at a time", TypeConverters.toInt)
 
     def __init__(self, base: list[Estimator], folds: int = 5, keyCol: str = ID_COLUMN):
         super().__init__()
         self.base = base
-        self._setDefault(featuresCol="features", labelCol="label", seed=SEED)
+        self._setDefault(featuresCol="features", labelCol="label", seed=SEED, parallelism=4)
         self._set(folds=folds, keyCol=keyCol)
 
     def _fit(self, dataset: DataFrame) -> StackingModel:
@@ -172,10 +248,16 @@ class StackingClassifier(Estimator, HasFeaturesCol, HasLabelCol, HasSeed):
         key = self.getOrDefault(self.keyCol)
         rows = hash_folds(dataset, folds, key, self.getSeed(), "_fold")
         held_out = None
+        rows = materialize(rows, "stack-folds", "_fold")
+        inside = [rows.where(F.col("_fold") != fold) for fold in range(folds)]
+        tasks = [(e, part) for part in [*inside, dataset] for e in self.base]
+        fit = inheritable_thread_target(dataset.sparkSession)(lambda task: task[0].copy().fit(task[1]))
+        with ThreadPool(self.getOrDefault(self.parallelism)) as pool:
+            fits = pool.map(fit, tasks, chunksize=1)
+        fits = [fits[i : i + len(self.base)] for i in range(0, len(fits), len(self.base))]
         for fold in range(folds):
-            inside, outside = rows.where(F.col("_fold") != fold), rows.where(F.col("_fold") == fold)
-            fitted = [estimator.fit(inside) for estimator in self.base]
-            scores = _stack_scores(fitted, outside).select(key, label, "_stack")
+            outside = rows.where(F.col("_fold") == fold)
+            scores = _stack_scores(fits[fold], outside).select(key, label, "_stack")
             held_out = scores if held_out is None else held_out.unionByName(scores)
         held_out = materialize(with_balanced_weights(held_out, label, "_weight"), "stack")
         n = held_out.count()
@@ -188,7 +270,7 @@ class StackingClassifier(Estimator, HasFeaturesCol, HasLabelCol, HasSeed):
             regParam=1.0 / max(n, 1),
             standardization=False,
         ).fit(held_out)
-        return StackingModel([top, *(e.fit(dataset) for e in self.base)])._resetUid(self.uid)
+        return StackingModel([top, *fits[-1]])._resetUid(self.uid)
 
 
 def _stack_scores(models: list[Model], df: DataFrame) -> DataFrame:
@@ -264,11 +346,11 @@ class ModelSpec:
 
 
 def random_forest(**settings) -> Estimator:
-    return RandomForestClassifier(weightCol=BALANCED, seed=SEED, **settings)
+    return RandomForestClassifier(weightCol=BALANCED, seed=SEED, **{"maxBins": MAX_BINS, **settings})
 
 
 def gradient_boosting(**settings) -> Estimator:
-    return GBTClassifier(seed=SEED, **settings)
+    return GBTClassifier(seed=SEED, **{"maxBins": MAX_BINS, **settings})
 
 
 def ada_boost(**settings) -> Estimator:
@@ -276,12 +358,12 @@ def ada_boost(**settings) -> Estimator:
 
 
 def decision_tree(**settings) -> Estimator:
-    return DecisionTreeClassifier(weightCol=BALANCED, seed=SEED, **settings)
+    return DecisionTreeClassifier(weightCol=BALANCED, seed=SEED, **{"maxBins": MAX_BINS, **settings})
 
 
 def weighted_boosting(**settings) -> Estimator:
     """Gradient boosting with positives weighted by negatives-per-positive."""
-    return GBTClassifier(weightCol=POSITIVE_WEIGHT, seed=SEED, **settings)
+    return GBTClassifier(weightCol=POSITIVE_WEIGHT, seed=SEED, **{"maxBins": MAX_BINS, **settings})
 
 
 def stacking(settings: dict[str, dict] | None = None, folds: int = 5) -> Estimator:
@@ -310,11 +392,11 @@ def _product(**choices: list) -> list[dict]:
 # least rows to split a node has no counterpart.
 _DEEPEST = 30
 BASE_SETTINGS = {
-    "random_forest": {"numTrees": 100, "maxDepth": 10},
+    "random_forest": {"numTrees": 100, "maxDepth": _DEEPEST},
     "gradient_boosting": {"maxIter": 100, "maxDepth": 3, "stepSize": 0.1},
     "weighted_boosting": {"maxIter": 100, "maxDepth": 3, "stepSize": 0.1},
     "ada_boost": {"maxIter": 50, "stepSize": 1.0},
-    "decision_tree": {"maxDepth": 10},
+    "decision_tree": {"maxDepth": _DEEPEST},
 }
 
 
@@ -358,17 +440,17 @@ def full_specs() -> list[ModelSpec]:
     ]
 
 
-def default_specs() -> list[ModelSpec]:
-    """One candidate per classifier, two where the depth is searched."""
-    tree_depths = [{"maxDepth": _DEEPEST}, {"maxDepth": 10}]
-    return [
-        ModelSpec("random_forest", random_forest, [{"numTrees": 100, **d} for d in tree_depths]),
-        ModelSpec("gradient_boosting", gradient_boosting, [BASE_SETTINGS["gradient_boosting"]]),
-        ModelSpec("ada_boost", ada_boost, [BASE_SETTINGS["ada_boost"]]),
-        ModelSpec("decision_tree", decision_tree, tree_depths),
-        ModelSpec("weighted_boosting", weighted_boosting, [BASE_SETTINGS["weighted_boosting"]]),
-        ModelSpec("stacking", stacking, [{"settings": BASE_SETTINGS}]),
-    ]
+def base_specs() -> list[ModelSpec]:
+    """Every classifier at its base settings: the whole comparison without the search."""
+    builders = {
+        "random_forest": random_forest,
+        "gradient_boosting": gradient_boosting,
+        "ada_boost": ada_boost,
+        "decision_tree": decision_tree,
+        "weighted_boosting": weighted_boosting,
+    }
+    specs = [ModelSpec(name, build, [BASE_SETTINGS[name]]) for name, build in builders.items()]
+    return [*specs, ModelSpec("stacking", stacking, [{"settings": BASE_SETTINGS}])]
 
 
 LIGHT_SETTINGS = {

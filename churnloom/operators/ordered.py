@@ -18,8 +18,12 @@ _SLICE = "_slice"
 
 
 def value_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Rows per (group, value) without nulls in either; combined map-side before the shuffle."""
-    return df.select(*by, value).na.drop("any").groupBy(*by, value).agg(F.count("*").alias("n"))
+    """Rows per (group, value) without null values; combined map-side before the shuffle.
+
+    A null in ``by`` is a group of its own.
+    """
+    known = df.select(*by, value).where(F.col(value).isNotNull())
+    return known.groupBy(*by, value).agg(F.count("*").alias("n"))
 
 
 def running_totals(
@@ -27,7 +31,7 @@ def running_totals(
 ) -> DataFrame:
     """Add ``<c>_cum`` (this row included) and ``<c>_total`` (whole group) for each c in sums.
 
-    ``counts`` must hold one row per (by, order), and no null in ``by``. A group may
+    ``counts`` must hold one row per (by, order); a null in ``by`` is a group. A group may
     span any number of slices, so a hot group costs no more than any other.
     """
     sort = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
@@ -58,7 +62,7 @@ def running_totals(
     # No hint: the join runs on the window's own partitioning, and adaptive
     # execution broadcasts the offsets when their measured size allows it.
     same = reduce(
-        lambda a, b: a & b, (F.col(f"l.{c}") == F.col(f"o.{c}") for c in [*by, _SLICE])
+        lambda a, b: a & b, (F.col(f"l.{c}").eqNullSafe(F.col(f"o.{c}")) for c in [*by, _SLICE])
     )
     return (
         local.alias("l")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnloom.operators.ordered import quantile_at, running_totals, value_counts
@@ -128,8 +128,7 @@ def density(
     """Gaussian kernel density per group on a common grid, and its height on the histogram.
 
     The bandwidth is Scott's: n^(-1/5) times the sample standard deviation. Rows are
-    collapsed to distinct values first; each value then adds to every grid point
-    and the sums are combined map-side.
+    collapsed to distinct values first, then one aggregation sums all grid points.
     """
     clean = df.select(by, F.col(value).cast("double").alias("x")).na.drop("any")
     limits = value_range(clean, "x")
@@ -150,21 +149,24 @@ def density(
         "spread",
     )
     weights = clean.groupBy(by, "x").agg(F.count("*").alias("n"))
-    distance = (F.lit(low) + F.col("point") * step - F.col("x")) / F.col("bandwidth")
-    return (
+    grid = [low + i * step for i in range(points)]
+
+    def mass(at: float) -> Column:
+        distance = (F.lit(at) - F.col("x")) / F.col("bandwidth")
+        return F.sum(F.col("n") * F.exp(-0.5 * distance * distance))
+
+    # One row of sums for each group; no distinct value becomes a row for each grid point.
+    sums = (
         weights.join(spread, by)
-        .select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
-        .groupBy(by, "point", "n_rows", "bandwidth")
-        .agg(F.sum(F.col("n") * F.exp(-0.5 * distance * distance)).alias("mass"))
-        .select(
-            by,
-            "point",
-            (F.lit(low) + F.col("point") * step).alias("x"),
-            (
-                F.col("mass") / (F.col("n_rows") * F.col("bandwidth") * math.sqrt(2 * math.pi))
-            ).alias("density"),
-            (F.col("mass") * bin_width / (F.col("bandwidth") * math.sqrt(2 * math.pi))).alias(
-                "height"
-            ),
-        )
+        .groupBy(by, "n_rows", "bandwidth")
+        .agg(*(mass(x).alias(f"_{i}") for i, x in enumerate(grid)))
+    )
+    masses = F.array(*(F.col(f"_{i}") for i in range(points)))
+    root = math.sqrt(2 * math.pi)
+    return sums.select(by, "n_rows", "bandwidth", F.posexplode(masses).alias("point", "mass")).select(
+        by,
+        "point",
+        (F.lit(low) + F.col("point") * step).alias("x"),
+        (F.col("mass") / (F.col("n_rows") * F.col("bandwidth") * root)).alias("density"),
+        (F.col("mass") * bin_width / (F.col("bandwidth") * root)).alias("height"),
     )

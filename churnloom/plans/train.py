@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import logging
+import time
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -17,7 +20,7 @@ from churnloom.operators.features import (
     preprocessing,
     require_few_categories,
 )
-from churnloom.operators.models import BALANCED, POSITIVE_WEIGHT, ModelSpec, default_specs
+from churnloom.operators.models import BALANCED, POSITIVE_WEIGHT, ModelSpec, full_specs
 from churnloom.operators.score import InputContract
 from churnloom.operators.tune import (
     FOLD_COLUMN,
@@ -31,9 +34,11 @@ from churnloom.operators.tune import (
 )
 from churnloom.plans.ingest import Validation, ingest, parts, validate
 from churnloom.schema import ID_COLUMN, TARGET
-from churnloom.sources.storage import materialize, path_exists, scratch_path
+from churnloom.sources.storage import list_names, materialize, write_text
 from churnloom.sources.writers import route_by_validity, write_feature_store, write_report
 
+_LOG = logging.getLogger(__name__)
+
 # The score a model should reach, and the gaps that would mean a misfit.
 # They are reported with a run; nothing is refused because of them.
 EXPECTED_SCORE = 0.7
@@ -83,13 +88,14 @@ def transform(
     both = labeled(train.withColumn("split", F.lit("train"))).unionByName(
         labeled(test.withColumn("split", F.lit("test")))
     )
-    done = materialize(
-        fitted.transform(both).select(key, "split", "label", "features"), "features", "split"
-    )
+    # Each row's fold is written with it, so a fit on some folds opens only their folders.
+    rows = fitted.transform(both).select(key, "split", "label", "features")
+    folded = split.hash_folds(rows, SEARCH_FOLDS, key, output=FOLD_COLUMN)
+    done = materialize(folded, "features", ["split", FOLD_COLUMN])
     train_done, test_done = parts(done)
+    test_done = test_done.drop(FOLD_COLUMN)
     train_done = weights.with_balanced_weights(train_done, "label", BALANCED)
     train_done = weights.with_positive_weight(train_done, "label", POSITIVE_WEIGHT)
-    train_done = split.hash_folds(train_done, SEARCH_FOLDS, key, output=FOLD_COLUMN)
     return Prepared(train_done, test_done, fitted, inputs)
 
 
@@ -116,10 +122,10 @@ def train(
 ) -> Trained:
     """Search, fit and compare the classifiers; the first highest F1 wins.
 
-    ``select_on`` is ``test`` (F1 on the test part, which is then an optimistic
+    ``specs`` defaults to the whole search. ``select_on`` is ``test`` (F1 on the test part, which is then an optimistic
     estimate) or ``cv`` (mean F1 over the folds).
     """
-    specs = list(default_specs() if specs is None else specs)
+    specs = list(full_specs() if specs is None else specs)
     models: dict[str, Model] = {}
     chosen: list[Candidate] = []
     tried: list[Candidate] = []
@@ -179,23 +185,42 @@ def assemble_model(prepared: Prepared, classifier: Model) -> PipelineModel:
 
 
 def publish(model: PipelineModel, uri: str) -> str:
-    """Write a model to its fixed place, replacing the one there."""
-    model.write().overwrite().save(uri)
+    """Write a model below ``uri`` as a new version, then make it the current one.
+
+    The version in use is never touched: a model that was loaded from here, and reads its
+    tables from there, can be published to the same place, and a publish that fails half-way
+    leaves the former model in force. The pointer is a small file of its own for each version;
+    the last one that is complete counts.
+    """
+    root = uri.rstrip("/")
+    version = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    model.write().save(f"{root}/versions/{version}")
+    write_text(SparkSession.active(), f"{root}/current/{version}", version)
     return uri
 
 
+def current_version(spark: SparkSession, uri: str) -> str | None:
+    """Folder of the model in force at ``uri``; a version without pointer does not count."""
+    root = uri.rstrip("/")
+    names = list_names(spark, f"{root}/current")
+    return f"{root}/versions/{max(names)}" if names else None
+
+
 def load_model(uri: str) -> PipelineModel:
-    return PipelineModel.load(uri)
+    found = current_version(SparkSession.active(), uri)
+    if found is None:
+        raise ValueError(f"no model is published at {uri}")
+    return PipelineModel.load(found)
 
 
 def find_model(spark: SparkSession, uris: Sequence[str]) -> str | None:
-    """The first location that holds a model; one that cannot be reached is passed over."""
+    """The first location that holds a model; one that cannot be reached is logged and passed over."""
     for uri in uris:
         try:
-            if path_exists(spark, f"{uri.rstrip('/')}/metadata"):
+            if current_version(spark, uri):
                 return uri
-        except Exception:  # noqa: BLE001 - any storage failure means: look in the next place
-            continue
+        except Exception as error:  # noqa: BLE001 - any storage failure means: look in the next place
+            _LOG.warning("%s cannot be reached: %s", uri, error)
     return None
 
 
@@ -214,7 +239,7 @@ class Run:
 def run(
     raw: DataFrame,
     model_uris: Sequence[str],
-    run_uri: str | None = None,
+    run_uri: str,
     specs: Sequence[ModelSpec] | None = None,
     force: bool = False,
     selector_trees: int = SELECTOR_TREES,
@@ -226,9 +251,9 @@ def run(
 
     Trains if no model is published, if the data drifted, or if forced. Drift alone
     does not stop training, since drift is the reason to train; a failed schema does.
+    What the run finds is kept below ``run_uri``.
     """
     spark = raw.sparkSession
-    run_uri = run_uri or scratch_path(spark, "run")
     run_id = run_id or run_uri.rstrip("/").rsplit("/", 1)[-1]
     paths = write_feature_store(ingest(clean.require_rows(raw)), run_uri)
     store = spark.read.parquet(paths["feature_store"])

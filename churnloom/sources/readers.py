@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnloom.operators.clean import normalize_nan
 from churnloom.schema import customer_schema
+from churnloom.sources.writers import CSV_OPTIONS
 
 # Cells a CSV reader takes as missing.
 CSV_MISSING_TOKENS = (
@@ -27,6 +28,42 @@ def scan_table(
     return normalize_nan(reader.load(path) if path else reader.load())
 
 
+def _csv_cells(spark: SparkSession, path: str) -> DataFrame:
+    """All cells as text. A file whose header is not that of the others is an error."""
+    header = spark.read.options(**CSV_OPTIONS).csv(path).columns
+    text = T.StructType([T.StructField(c, T.StringType()) for c in header])
+    return spark.read.schema(text).options(enforceSchema=False, **CSV_OPTIONS).csv(path)
+
+
+def _known(name: str, tokens: list[str]) -> Column:
+    return F.when(~F.col(name).isin(tokens), F.col(name))
+
+
+def _invalid(cells: DataFrame, fields: list[T.StructField], tokens: list[str]) -> DataFrame:
+    counts = [
+        F.struct(
+            F.lit(f.name).alias("column"),
+            F.count_if(
+                _known(f.name, tokens).isNotNull() & _known(f.name, tokens).try_cast(f.dataType).isNull()
+            ).alias("n_invalid"),
+        )
+        for f in fields
+    ]
+    return cells.agg(F.array(*counts).alias("counts")).select(F.inline("counts"))
+
+
+def invalid_cells(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | None = None,
+    missing_tokens: Iterable[str] = CSV_MISSING_TOKENS,
+) -> DataFrame:
+    """``column`` and ``n_invalid``: cells that are neither missing nor of the declared type."""
+    cells = _csv_cells(spark, path)
+    fields = [f for f in (schema or customer_schema(raw=True)).fields if f.name in cells.columns]
+    return _invalid(cells, fields, list(missing_tokens))
+
+
 def scan_csv(
     spark: SparkSession,
     path: str,
@@ -35,25 +72,25 @@ def scan_csv(
 ) -> DataFrame:
     """CSV with a header. All cells are read as text, so that every token is seen, then cast.
 
-    A blank such as ``' '`` is text, not a missing cell.
+    A column with a cell that is neither missing nor of its declared type stays text as a
+    whole: no row is lost, and the ``type`` rule of the schema report fails. Finding such
+    columns reads the file once more, as inferring a schema does. A blank such as ``' '`` is
+    text, not a missing cell. All files below ``path`` must have the same columns in the same
+    order; another header is an error.
     """
     schema = schema or customer_schema(raw=True)
-    header = spark.read.option("header", True).csv(path).columns
-    present = [f for f in schema.fields if f.name in header]
-    extra = [c for c in header if c not in schema.names]
-    text = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    cells = spark.read.schema(text).option("header", True).csv(path)
-    tokens = list(missing_tokens)
+    cells, tokens = _csv_cells(spark, path), list(missing_tokens)
+    present = [f for f in schema.fields if f.name in cells.columns]
+    extra = [c for c in cells.columns if c not in schema.names]
+    checked = [f for f in present if not isinstance(f.dataType, T.StringType)]
+    found = _invalid(cells, checked, tokens).collect() if checked else []
+    as_text = {r["column"] for r in found if r["n_invalid"]}  # a row for each declared column
 
     def typed(field: T.StructField):
-        cell = F.col(field.name)
-        known = F.when(~cell.isin(tokens), cell)
-        return known.try_cast(field.dataType).alias(field.name)
-
-    return cells.select(
-        *(typed(f) for f in present),
-        *(F.when(~F.col(c).isin(tokens), F.col(c)).alias(c) for c in extra),
-    )
+        known = _known(field.name, tokens)
+        return (known if field.name in as_text else known.try_cast(field.dataType)).alias(field.name)
+
+    return cells.select(*(typed(f) for f in present), *(_known(c, tokens).alias(c) for c in extra))
 
 
 def records_to_table(

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from churnloom.operators.score import score
 from churnloom.schema import customer_schema
+from churnloom.sources.storage import passing_scratch
 
 BATCH_COLUMN = "batch_id"
 
@@ -37,7 +38,15 @@ def score_stream(
     )
 
     def write_batch(batch: DataFrame, number: int) -> None:
-        score(model, batch).write.mode("overwrite").parquet(f"{sink}/{BATCH_COLUMN}={number}")
+        # Imputation reads the batch several times, and its tables are of use to no other batch.
+        batch = batch.persist()
+        try:
+            with passing_scratch(spark):
+                score(model, batch).write.mode("overwrite").parquet(
+                    f"{sink}/{BATCH_COLUMN}={number}"
+                )
+        finally:
+            batch.unpersist()
 
     return (
         records.writeStream.foreachBatch(write_batch)
