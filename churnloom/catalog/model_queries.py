@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnloom.catalog import tables
-from churnloom.catalog.oracle import ONE_HOT_COLUMNS
+from churnloom.catalog.oracle import NUMERIC, ONE_HOT_COLUMNS
 from churnloom.catalog.queries import query, rounded
 from churnloom.operators import clean, features, models, score, tune
 from churnloom.operators.impute import KNNImputer, ModeImputer, Standardizer
@@ -25,8 +25,7 @@ from churnloom.sources.readers import records_to_table, scan_csv
 from churnloom.sources.storage import generation, materialize, scratch_path
 from churnloom.streaming.scoring import score_stream as start_score_stream
 
-NUMERIC = ["SeniorCitizen", "tenure", "MonthlyCharges", "TotalCharges"]
-TEXT = ["Partner", "Contract", "PaymentMethod"]
+TEXT = list(ONE_HOT_COLUMNS)
 _RATES = ("accuracy", "precision", "recall", "f1_score", "roc_auc")
 
 # Feature tables and fitted classifiers by application, folder and kind: the queries below
@@ -281,7 +280,11 @@ def check_features(spark, sf_dir):
 
 @query
 def expected_features(spark, sf_dir):
-    return score.expected_feature_table(spark, _model(spark, sf_dir))
+    """The features that the fitted model asks for, and how many customers have each."""
+    records = _records(spark, sf_dir)
+    filled = records.agg(*(F.count(c).alias(c) for c in FEATURES))
+    counts = filled.unpivot([], FEATURES, "feature", "n_filled")
+    return score.expected_feature_table(spark, _model(spark, sf_dir)).join(counts, "feature")
 
 
 @query

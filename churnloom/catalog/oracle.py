@@ -8,6 +8,11 @@ from churnloom.sources.derived import CUTOFF, INTERNET_OPTION_PERIODS
 NUMERIC = [r.name for r in CUSTOMER_RULES if r.kind in NUMERIC_KINDS]
 TEXT = [r.name for r in CUSTOMER_RULES if r.kind not in NUMERIC_KINDS]
 
+# Text columns to encode, with their values in order.
+ONE_HOT_COLUMNS = {
+    r.name: sorted(r.allowed) for r in CUSTOMER_RULES if r.allowed and r.name != "Churn"
+}
+
 _OPTIONS = {
     name: f"CASE WHEN k%5=0 THEN 'No internet service' WHEN k%{p}<2 THEN 'Yes' ELSE 'No' END"
     for name, p in INTERNET_OPTION_PERIODS.items()
@@ -341,7 +346,7 @@ ORACLE: dict[str, str] = {
     "drop_system_columns": RAW + "SELECT * FROM raw",
     "scan_csv": RAW + "SELECT * FROM raw",
     "to_json_records": RAW
-    + "SELECT customerID, SeniorCitizen, tenure, MonthlyCharges, TotalCharges FROM raw",
+    + "SELECT * FROM raw",
     "append_records": RAW + "SELECT * FROM raw UNION ALL SELECT * FROM raw",
     "write_feature_store": CLEANED + f"SELECT *, {_SPLIT} FROM cleaned",
     "route_by_validity": INGESTED
@@ -378,11 +383,9 @@ ORACLE: dict[str, str] = {
     + "SELECT customerID, Churn, CAST(CASE Churn WHEN 'Yes' THEN 1 WHEN 'No' THEN 0 END "
     "AS TINYINT) AS label FROM raw",
     "fill_median": PATCHY
-    + f"SELECT customerID, {_median('tenure')}, {_median('MonthlyCharges')}, "
-    f"{_median('TotalCharges')} FROM patchy",
+    + f"SELECT customerID, {', '.join(map(_median, NUMERIC))} FROM patchy",
     "fill_mode": PATCHY
-    + f"SELECT customerID, {_mode('Partner')}, {_mode('Contract')}, {_mode('PaymentMethod')} "
-    "FROM patchy",
+    + f"SELECT customerID, {', '.join(map(_mode, ONE_HOT_COLUMNS))} FROM patchy",
     "null_counts": RAW
     + f", t AS (SELECT {_swap({**_NA_ALL, 'TotalCharges': _NUMBER})} FROM raw)\n"
     + _nulls("t", COLUMNS),
@@ -593,8 +596,7 @@ def _fit_mode(column: str) -> str:
 
 
 ORACLE["mode_impute"] = _PARTS_ALL + (
-    f"SELECT customerID, {_fit_mode('Partner')}, {_fit_mode('Contract')}, "
-    f"{_fit_mode('PaymentMethod')} FROM patchy"
+    f"SELECT customerID, {', '.join(map(_fit_mode, ONE_HOT_COLUMNS))} FROM patchy"
 )
 ORACLE["standardize"] = _PARTS_ALL + (
     "SELECT customerID, "
@@ -605,10 +607,6 @@ ORACLE["standardize"] = _PARTS_ALL + (
     )
     + " FROM patchy"
 )
-ONE_HOT_COLUMNS = {
-    "Contract": ["Month-to-month", "One year", "Two year"],
-    "InternetService": ["DSL", "Fiber optic", "No"],
-}
 ORACLE["one_hot"] = _PARTS_ALL + (
     "SELECT customerID, "
     + ", ".join(
@@ -768,12 +766,11 @@ ORACLE["feature_names"] = _IMPUTED + (
     "SELECT position, CASE WHEN v IS NULL THEN c ELSE concat(c, '_onehot_', v) END AS feature, "
     "count(*) FILTER (abs(value) > 1e-9) AS n_filled FROM vectors GROUP BY position, c, v"
 )
-ORACLE["expected_features"] = (
-    "SELECT CAST(unnest(range("
-    + str(len(COLUMNS) - 1)
-    + ")) AS INTEGER) AS position, unnest(["
-    + ", ".join(repr(c) for c in COLUMNS if c != "Churn")
-    + "]) AS feature"
+ORACLE["expected_features"] = PATCHY + _union(
+    [
+        f"SELECT {i} AS position, '{c}' AS feature, count({c}) AS n_filled FROM patchy"
+        for i, c in enumerate(c for c in COLUMNS if c != "Churn")
+    ]
 )
 ORACLE["gated_run"] = (
     _INGEST_REPORT

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnloom.catalog import tables
+from churnloom.catalog.oracle import NUMERIC, ONE_HOT_COLUMNS
 from churnloom.operators import clean, drift, metrics, ordered, profile, rules, split, weights
 from churnloom.plans.ingest import clean_customers, ingest, schema_reports, validation_summary
-from churnloom.schema import CUSTOMER_RULES, NUMERIC_KINDS
+from churnloom.schema import COLUMNS, CUSTOMER_RULES, NUMERIC_KINDS
 from churnloom.sources import writers
 from churnloom.sources.derived import raw_customers
 from churnloom.sources.readers import invalid_cells, scan_csv, scan_table
@@ -65,9 +66,8 @@ def csv_invalid_cells(spark, sf_dir):
 @query
 def to_json_records(spark, sf_dir):
     records = writers.to_json_records(raw_customers(spark, sf_dir))
-    fields = ("customerID", "SeniorCitizen", "tenure", "MonthlyCharges", "TotalCharges")
     return records.select(
-        *(F.get_json_object("record", f"$.{name}").alias(name) for name in fields)
+        *(F.get_json_object("record", f"$.{name}").alias(name) for name in COLUMNS)
     ).withColumns(
         {
             "SeniorCitizen": F.col("SeniorCitizen").cast("int"),
@@ -170,16 +170,13 @@ def encode_target(spark, sf_dir):
 
 @query
 def fill_median(spark, sf_dir):
-    return clean.fill_median(
-        tables.patchy(spark, sf_dir), ["tenure", "MonthlyCharges", "TotalCharges"]
-    ).select("customerID", "tenure", "MonthlyCharges", "TotalCharges")
+    return clean.fill_median(tables.patchy(spark, sf_dir), NUMERIC).select("customerID", *NUMERIC)
 
 
 @query
 def fill_mode(spark, sf_dir):
-    return clean.fill_mode(
-        tables.patchy(spark, sf_dir), ["Partner", "Contract", "PaymentMethod"]
-    ).select("customerID", "Partner", "Contract", "PaymentMethod")
+    names = list(ONE_HOT_COLUMNS)
+    return clean.fill_mode(tables.patchy(spark, sf_dir), names).select("customerID", *names)
 
 
 @query
