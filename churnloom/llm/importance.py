@@ -51,11 +51,12 @@ def bucket_counts(rows: DataFrame) -> DataFrame:
         raw, target, buckets = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), Buckets()
         for batch in batches:
             for text, is_target in zip(batch.text, batch.target):
-                n = np.bincount(found := buckets(text), minlength=BUCKETS) if text else 0
+                if not text:
+                    continue
+                n = np.bincount(buckets(text), minlength=BUCKETS)
                 raw += n
                 if is_target:
                     target += n
-                del found
         held = np.flatnonzero(raw)
         yield pd.DataFrame({"bucket": held, "raw": raw[held], "target": target[held]})
 
