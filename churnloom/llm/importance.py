@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from churnloom.llm.tables import materialize, text_or_empty
 
 BUCKETS = 1 << 16
+#: Target texts that the target model is fitted on, about; more are sampled by their id.
+MAX_TARGET = 40_000
 _SEED = 7
 _CACHE = 1 << 18
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -128,20 +130,25 @@ def resample(
     share: float,
     seed: int = 42,
     smoothing: float = 1.0,
+    max_target: int = MAX_TARGET,
     id_column: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
     """The ``share`` of ``docs`` (rounded up) with the largest perturbed importance weights.
 
-    ``target_ids`` holds the ids of the target texts in ``id_column``. Returns id,
+    ``target_ids`` holds the ids of the target texts in ``id_column``. The target model is fitted
+    on about ``max_target`` of them, by a hash of the id, so they are a small table at any size
+    and no text is shuffled to meet its label; the raw model counts all texts. Returns id,
     ``log_weight`` and ``perturbed`` (weight plus noise) of the drawn rows. Null and empty texts
     weigh 0 in the logarithm, as a text that is as likely under both models. Rows that tie at
     the cut, such as repeated rows, are all drawn. Null ids are no target. An empty table gives an
     empty sample.
     """
     wanted = target_ids.select(F.col(id_column)).where(F.col(id_column).isNotNull()).distinct()
+    part = int(min(1.0, max_target / max(1, wanted.count())) * (1 << 20))
+    chosen = wanted.where(F.pmod(F.xxhash64(id_column), F.lit(1 << 20)) < part)
     marked = docs.select(F.col(id_column), text_or_empty(text).alias("text")).join(
-        wanted.withColumn("is_target", F.lit(True)), id_column, "left"
+        F.broadcast(chosen.withColumn("is_target", F.lit(True))), id_column, "left"
     )
     ratios = log_ratios(
         bucket_counts(marked.select("text", F.coalesce("is_target", F.lit(False)).alias("target"))),

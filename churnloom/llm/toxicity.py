@@ -5,8 +5,8 @@ text, hashed). Counting how many labelled texts of each class hold an n-gram giv
 Bayes log-count ratio that scales the feature; a logistic regression is then trained on the
 scaled features, and the product of ratio and coefficient is one weight for each n-gram.
 
-The n-gram counts use every labelled training row. The regression uses a sample of labelled
-rows whose size is a documented parameter, over the n-grams that tell the classes apart best.
+Training uses a sample of labelled rows whose size is a documented parameter, and the n-grams
+that tell the classes apart best.
 """
 
 from __future__ import annotations
@@ -97,15 +97,13 @@ def fit(
     label: str = "label",
     features: int = 4096,
     min_texts: int = 5,
-    max_rows: int = 40_000,
     penalty: float = 1e-3,
     smoothing: float = 1.0,
 ) -> Toxicity:
     """Train on rows of a text and a 0/1 label; rows with another label are left out.
 
-    ``max_rows`` bounds the rows of the regression (about as many are taken, by a hash of the
-    text); ``features`` bounds the n-grams in the model. Without rows of both classes the
-    score is the share of label 1, and 0 without any row.
+    ``features`` bounds the n-grams in the model. Without rows of both classes the score is the
+    share of label 1, and 0 without any row.
     """
     rows = materialize(
         labelled.where(F.col(label).isin(0, 1)).select(
@@ -131,8 +129,6 @@ def fit(
     yes = (chosen.n1.to_numpy() + smoothing) / (ones + 2 * smoothing)
     no = (chosen.n0.to_numpy() + smoothing) / (n - ones + 2 * smoothing)
     ratio = np.log(yes / no)
-    share = min(1.0, max_rows / n)
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
 
     mark = np.zeros(1 << BITS, bool)
     mark[ids] = True
@@ -143,14 +139,9 @@ def fit(
 
     vectors = F.udf(scaled, VectorUDT())
     train = materialize(
-        sample.select(F.col("label").cast("double").alias("label"), vectors("text").alias("features")),
+        rows.select(F.col("label").cast("double").alias("label"), vectors("text").alias("features")),
         "scaled",
     )
-    if train.select("label").distinct().count() < 2:
-        train = materialize(
-            rows.select(F.col("label").cast("double").alias("label"), vectors("text").alias("features")),
-            "scaled",
-        )
     model = LogisticRegression(regParam=penalty, standardization=False, maxIter=60).fit(train)
     weights = model.coefficients.toArray() * ratio
     return Toxicity(ids, weights, float(model.intercept))
@@ -162,14 +153,26 @@ def held_out(id_column: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(code, F.lit(4)) == 2, F.lit(True))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, **settings) -> Toxicity:
+#: Labelled documents that a model is trained on, about; more are sampled by their id.
+MAX_ROWS = 40_000
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **settings) -> Toxicity:
     """Model from the labelled documents that are not held out.
 
-    A document with several labels counts as toxic if one of them says so; null labels and
-    documents without a label are no training rows.
+    About ``max_rows`` of them are taken, by a hash of the id, so their ids and labels are a
+    small table at any size and the texts are not shuffled to meet them. A document with several
+    labels counts as toxic if one of them says so; null labels and documents without a label are
+    no training rows.
     """
-    one = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    rows = docs.where(~held_out()).select("doc_id", F.col("text")).join(one, "doc_id")
+    one = (
+        labels.where(F.col("toxic").isNotNull() & ~held_out())
+        .groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    )
+    n = one.count()
+    share = int(min(1.0, max_rows / max(1, n)) * (1 << 20))
+    chosen = one.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     return fit(rows, **settings)
 
 
