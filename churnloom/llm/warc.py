@@ -219,7 +219,8 @@ def read_captures(manifest: DataFrame, folder: str) -> DataFrame:
                 yield pd.DataFrame(rows, columns=["url", "record_id", "file", "offset", "length"], dtype=object)
 
     files = manifest.select("file")
-    return files.repartition(max(1, files.count())).mapInPandas(read, CAPTURE)
+    # Written, since a sort by key reads its rows twice, and reading the archives is dear.
+    return materialize(files.repartition(max(1, files.count())).mapInPandas(read, CAPTURE), "captures")
 
 
 def _key(url: str) -> Column:
@@ -304,7 +305,7 @@ def locate(index: DataFrame, urls: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["file", "offset", "length"], dtype=object)
 
     joined = index.select("block", "data").join(listed, "block").select("data", "keys")
-    return joined.mapInPandas(search, "file string, offset long, length long")
+    return materialize(joined.mapInPandas(search, "file string, offset long, length long"), "located")
 
 
 def read_records(located: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
