@@ -132,3 +132,17 @@ def test_confusion_matrix_keeps_empty_cells(spark):
 def test_first_best_model_wins_a_tie(spark):
     df = spark.createDataFrame([(1, "b", 0.5), (0, "a", 0.5), (2, "c", 0.1)], "position int, model string, f1_score double")
     assert metrics.pick_best(df).first()["model"] == "a"
+
+
+def test_metrics_count_rows_without_score_and_null_groups(spark):
+    from churnloom.operators import metrics
+
+    rows = [("a", 1, 1, 0.9), ("a", 0, 0, None), ("a", 0, 1, 0.8), (None, 1, 1, 0.7), (None, 0, 0, 0.1), ("b", 0, 0, None)]
+    df = spark.createDataFrame(rows, "g string, label int, prediction int, score double")
+    names = ["g", "accuracy", "precision", "recall", "f1_score", "tn", "fp", "fn", "tp"]
+    plain = {r["g"]: tuple(r) for r in metrics.threshold_metrics(df, ["g"]).select(names).collect()}
+    scored = metrics.binary_metrics(df, ["g"])
+    assert {r["g"]: tuple(r) for r in scored.select(names).collect()} == plain
+    assert {r["g"]: r["roc_auc"] for r in scored.collect()} == {"a": 1.0, None: 1.0, "b": None}
+    assert {r["g"]: r["roc_auc"] for r in metrics.roc_auc(df, ["g"]).collect()} == {"a": 1.0, None: 1.0, "b": None}
+    assert metrics.roc_curve(df, ["g"]).where("g is null").count() == 3
