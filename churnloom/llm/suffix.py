@@ -282,8 +282,12 @@ def repeated(docs: DataFrame, length: int) -> DataFrame:
         .agg(F.min("pos").alias("start"), (F.max("pos") + length).alias("end"))
         .select("a", "b", "start", "end")
     )
+    # A document's runs are fewer than its bytes.
     return materialize(
-        runs.unionByName(same_runs).unionByName(islands).groupBy("a", "b").agg(F.collect_set(F.struct("start", "end")).alias("parts")),
+        runs.unionByName(same_runs)
+        .unionByName(islands)
+        .groupBy("a", "b")
+        .agg(F.collect_set(F.struct("start", "end")).alias("parts")),
         "repeated",
     )
 

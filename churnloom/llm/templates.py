@@ -157,6 +157,8 @@ def parse_templates(
     """``line_id`` and ``template_id`` of distinct lines (``leaf``, ``line_id``, ``line``).
 
     Lines that are alone in their leaf are not in the result: they are their own template.
+    Levels end when a leaf's templates fit one shard, or no longer get fewer; templates of a
+    leaf with more than ``shard`` unlike ones may then stay apart although they are similar.
     """
     first = _dealt(found, shard)
     level = materialize(_parse(first, similar), "templates")
@@ -164,10 +166,12 @@ def parse_templates(
         level.select("line_id", "leaf", F.xxhash64("template").alias("template_id")), "parsed"
     )
     while True:
-        lines_left = level.select("leaf", F.xxhash64("template").alias("line_id"), F.col("template").alias("line")).distinct()
-        counts = materialize(lines_left, "level")
+        # The templates of leaves that were parsed in shards are the lines of the next level.
+        found_templates = level.select(
+            "leaf", F.xxhash64("template").alias("line_id"), F.col("template").alias("line")
+        ).distinct()
         spread = first.where("shards > 1").select("leaf").distinct()
-        again = materialize(counts.join(spread, "leaf", "left_semi"), "again")
+        again = materialize(found_templates.join(spread, "leaf", "left_semi"), "again")
         if not again.limit(1).count():
             return result.select("line_id", "template_id")
         before = again.count()

@@ -76,7 +76,10 @@ def _urn(page_id: str) -> str:
 
 
 def _record(page_id: str, url: str, payload: bytes, digest: str, refers_to: str | None) -> bytes:
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n"
+    http = (
+        "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
+        f"Content-Length: {len(payload)}\r\n\r\n"
+    )
     headers = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
         ("WARC-Record-ID", _urn(page_id)),
