@@ -796,7 +796,7 @@ _SCORED_ALL = _SEPARATED + f"SELECT customerID, y AS prediction, {_CHURN} FROM s
 _TEST_PREDICTIONS = (
     _SEPARATED + "SELECT customerID, y AS label, y AS prediction{} FROM separated WHERE split = 'test'"
 )
-for _name in ("random_forest", "gbt", "adaboost", "decision_tree", "weighted_gbt", "stacking"):
+for _name in ("random_forest", "gbt", "adaboost", "decision_tree", "weighted_gbt"):
     ORACLE[f"model_{_name}"] = _TEST_PREDICTIONS.format(f", '{_name}' AS model")
 ORACLE["refit_best"] = _TEST_PREDICTIONS.format("")
 for _name in ("score_records", "score_csv", "score_stream", "model_roundtrip"):

@@ -240,7 +240,7 @@ class StackingClassifier(Estimator, HasFeaturesCol, HasLabelCol, HasSeed):
     def __init__(self, base: list[Estimator], folds: int = 5, keyCol: str = ID_COLUMN):
         super().__init__()
         self.base = base
-        self._setDefault(featuresCol="features", labelCol="label", seed=SEED, parallelism=4)
+        self._setDefault(featuresCol="features", labelCol="label", seed=SEED, parallelism=6)
         self._set(folds=folds, keyCol=keyCol)
 
     def _fit(self, dataset: DataFrame) -> StackingModel:
