@@ -4,15 +4,16 @@ A line's way through the tree is fixed: its token count, then its leading tokens
 with a digit are one variable token. A leaf holds the templates of its lines. A line joins the
 template with which it agrees at most positions if they are a share ``similar`` of all, and
 positions where they differ become variable; otherwise it starts a template. Lines whose
-template occurs in ``min_docs`` different documents are dropped.
+template occurs in ``min_docs`` different documents are dropped, whatever their share of a document.
 
 Spark counts and hashes all lines; only distinct lines of leaves with two or more different
 lines are parsed. A large leaf is parsed in shards of about ``SHARD`` lines, then the shards'
 templates are parsed again as lines, shard by shard, until a leaf has few enough for one. A
 line that occurs in a third of all documents is one row there.
 
-A document of which recurring templates make more than ``max_share`` of the tokens is a copy
-rather than a text with boilerplate, and is left whole for the stages that handle copies.
+Documents that hold the same templates in the same places, from first line to last, are copies
+and count as one, so copies alone make no line recur. A document that has a copy and of which all
+lines recur is left whole, for the stages that handle copies; any other one loses all these lines.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ VARIABLE = "<*>"
 SHARD = 256
 _SEED = 42
 _DIGIT = re.compile("[0-9]")
-LINES = "doc string, pos int, line_id long, leaf long, n_tokens int"
+LINES = "doc string, whole long, pos int, line_id long, leaf long"
 
 
 def masked(line: str) -> list[str]:
@@ -50,12 +51,13 @@ def _hash(text: str) -> int:
 
 
 def lines(docs: DataFrame, key: str, text: str, depth: int, with_line: bool = False) -> DataFrame:
-    """A row for each line with a token: document key, position, hash, leaf, tokens; and the masked line."""
+    """A row for each line with a token: document key, hash of its text, position, hash, leaf; or leaf, hash, masked line."""
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            docs_, places, ids, leaves, counts, texts = [], [], [], [], [], []
+            docs_, wholes, places, ids, leaves, texts = [], [], [], [], [], []
             for doc, value in zip(batch.doc, batch.text):
+                of_text = _hash(value or "")
                 for pos, line in enumerate((value or "").split("\n")):
                     if tokens := masked(line):
                         whole = " ".join(tokens)
@@ -65,15 +67,15 @@ def lines(docs: DataFrame, key: str, text: str, depth: int, with_line: bool = Fa
                             texts.append(whole)
                         else:
                             docs_.append(doc)
+                            wholes.append(of_text)
                             places.append(pos)
-                            counts.append(len(tokens))
             ids, leaves = np.array(ids, np.int64), np.array(leaves, np.int64)
             if with_line:
                 yield pd.DataFrame({"leaf": leaves, "line_id": ids, "line": pd.Series(texts, dtype=object)})
             else:
                 yield pd.DataFrame({
-                    "doc": pd.Series(docs_, dtype=object), "pos": np.array(places, np.int32),
-                    "line_id": ids, "leaf": leaves, "n_tokens": np.array(counts, np.int32),
+                    "doc": pd.Series(docs_, dtype=object), "whole": np.array(wholes, np.int64),
+                    "pos": np.array(places, np.int32), "line_id": ids, "leaf": leaves,
                 })
 
     schema = "leaf long, line_id long, line string" if with_line else LINES
@@ -197,7 +199,6 @@ def recurring_lines(
     min_docs: int = 5,
     depth: int = 3,
     similar: float = 0.8,
-    max_share: float = 0.5,
 ) -> DataFrame:
     """``doc`` (the key) and ``drop``: positions of the lines to drop, for documents that lose any."""
     table = materialize(lines(docs, key, text, depth), "lines")
@@ -213,24 +214,33 @@ def recurring_lines(
     distinct = materialize(texts.distinct(), "distinct")
     parsed = parse_templates(distinct, similar)
     placed = table.join(parsed, "line_id", "left").select(
-        "doc", "pos", "n_tokens", F.coalesce("template_id", "line_id").alias("template_id")
+        "doc", "whole", "pos", F.coalesce("template_id", "line_id").alias("template_id")
     )
     placed = materialize(placed, "placed")
+    texts = materialize(placed.select("whole", "pos", "template_id").distinct(), "texts")
+    # Copies have one layout: a hash of all places and their templates.
+    layouts = materialize(
+        texts.groupBy("whole").agg(
+            F.bit_xor(F.xxhash64("pos", "template_id")).alias("layout"), F.count("*").alias("lines")
+        ),
+        "layouts",
+    )
+    held = texts.join(layouts, "whole").select("template_id", "layout").distinct()
     recurring = materialize(
-        placed.select("template_id", "doc").distinct().groupBy("template_id")
+        held.groupBy("template_id")
         .agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("template_id"),
         "recurring",
     )
-    totals = table.dropDuplicates(["doc", "pos"]).groupBy("doc").agg(F.sum("n_tokens").alias("all"))
-    dropped = (
-        placed.join(recurring, "template_id", "left_semi")
-        .groupBy("doc", "pos").agg(F.first("n_tokens").alias("n_tokens"))
-        .groupBy("doc").agg(F.collect_list("pos").alias("drop"), F.sum("n_tokens").alias("lost"))
+    copied = (
+        placed.groupBy("whole").agg(F.min("doc").alias("a"), F.max("doc").alias("b"))
+        .join(layouts, "whole").groupBy("layout").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+        .where("a <> b").select("layout")
     )
-    return materialize(
-        dropped.join(totals, "doc").where(F.col("lost") <= max_share * F.col("all")).select("doc", "drop"),
-        "dropped",
-    )
+    lost = texts.join(recurring, "template_id", "left_semi").groupBy("whole").agg(F.count("*").alias("lost"))
+    all_lost = lost.join(layouts, "whole").where("lost = lines")
+    kept = materialize(all_lost.join(copied, "layout", "left_semi").select("whole"), "kept")
+    dropped = placed.join(recurring, "template_id", "left_semi").join(kept, "whole", "left_anti")
+    return materialize(dropped.groupBy("doc").agg(F.collect_set("pos").alias("drop")), "dropped")
 
 
 def drop_recurring_lines(

@@ -326,6 +326,34 @@ def test_copies_are_left_whole(spark):
     assert cleaned.where(F.col(count) > 0).count() == 0
 
 
+def own_words(i, n):
+    """Words without a digit that only document ``i`` has."""
+    return " ".join("".join("abcdefghij"[int(c)] for c in f"{i:03d}{k:03d}") for k in range(n))
+
+
+def test_passages_are_dropped_whatever_their_share(spark):
+    passage = own_words(999, 60)
+    texts = [f"{passage}\n{own_words(i, 40)}" for i in range(6)]
+    texts += [f"{own_words(50 + i, 200)}\n{passage}" for i in range(2)] + [passage]
+    rows = as_dict(templates.without_recurring_lines(docs_of(spark, texts)))
+    assert [rows[i].text for i in range(6)] == [own_words(i, 40) for i in range(6)]
+    assert [rows[6 + i].text for i in range(2)] == [own_words(50 + i, 200) for i in range(2)]
+    assert rows[8].text == ""
+
+
+def test_copies_in_which_a_word_varies_are_left_whole(spark):
+    texts = [f"{own_words(1, 30)} {w} end\n{own_words(2, 30)}" for w in ("ann", "bob", "cid", "dan", "eve", "fay")]
+    rows = as_dict(templates.without_recurring_lines(docs_of(spark, texts)))
+    assert [rows[i].text for i in range(6)] == texts
+
+
+def test_copies_of_a_recurring_passage_are_left_whole(spark):
+    passage = own_words(999, 60)
+    texts = [f"{passage}\n{own_words(i, 9)}" for i in range(6)] + [passage] * 3
+    rows = as_dict(templates.without_recurring_lines(docs_of(spark, texts)))
+    assert [rows[i].text for i in range(9)] == [own_words(i, 9) for i in range(6)] + [passage] * 3
+
+
 def test_large_leaves_are_parsed_in_shards(spark):
     rows = [(1, i, f"the same start of line {chr(97 + i % 26)}{chr(97 + i // 26)} and the same end") for i in range(300)]
     rows += [(2, 1000 + i, f"x y z {chr(97 + i)} {chr(98 + i)} {chr(99 + i)} {chr(100 + i)}") for i in range(5)]
