@@ -7,9 +7,9 @@ positions where they differ become variable; otherwise it starts a template. Lin
 template occurs in ``min_docs`` different documents are dropped, whatever their share of a document.
 
 Spark counts and hashes all lines; only distinct lines of leaves with two or more different
-lines are parsed. A large leaf is parsed in shards of about ``SHARD`` lines, then the shards'
-templates are parsed again as lines, shard by shard, until a leaf has few enough for one. A
-line that occurs in a third of all documents is one row there.
+lines are parsed, a leaf in one task. A line that occurs in a third of all documents is one row
+there. Beyond ``SHARD`` templates a leaf looks its candidates up by pieces of the line: the
+positions are dealt to one piece more than two similar lines may differ in, so these share one.
 
 Documents that hold the same templates in the same places, from first line to last, are copies
 and count as one, so copies alone make no line recur. A document that has a copy and of which all
@@ -18,6 +18,7 @@ lines recur is left whole, for the stages that handle copies; any other one lose
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -85,10 +86,12 @@ def lines(docs: DataFrame, key: str, text: str, depth: int, with_line: bool = Fa
 class Leaf:
     """Templates of one leaf, as rows of token numbers; 0 is a variable position."""
 
-    def __init__(self, similar: float) -> None:
-        self.similar, self.rows, self.words = similar, np.zeros((0, 0), np.int64), {VARIABLE: 0}
+    def __init__(self, similar: float, shard: int = SHARD) -> None:
+        self.similar, self.shard, self.words = similar, shard, {VARIABLE: 0}
+        self.rows = np.zeros((0, 0), np.int64)
         self.names = [VARIABLE]
         self.count = 0
+        self.by_piece: dict[tuple[int, bytes], list[int]] = {}
 
     def add(self, line: str) -> int:
         """Number of the template that the line joins or starts."""
@@ -99,11 +102,15 @@ class Leaf:
                 self.names.append(word)
             ids.append(self.words[word])
         row = np.array(ids, np.int64)
-        if self.count:
-            agree = (self.rows[: self.count] == row).sum(axis=1)
-            best = int(agree.argmax())
-            if agree[best] >= self.similar * len(row):
-                self.rows[best, self.rows[best] != row] = 0
+        near = self._candidates(row)
+        if len(near):
+            agree = (self.rows[near] == row).sum(axis=1)
+            first = int(agree.argmax())
+            if agree[first] >= self.similar * len(row):
+                best = int(near[first])
+                if agree[first] < len(row):
+                    self.rows[best, self.rows[best] != row] = 0
+                    self._index(best)
                 return best
         if self.count == len(self.rows):
             grown = np.zeros((max(4, 2 * self.count), len(row)), np.int64)
@@ -112,84 +119,68 @@ class Leaf:
             self.rows = grown
         self.rows[self.count] = row
         self.count += 1
+        if self.count == self.shard + 1:
+            for n in range(self.count):
+                self._index(n)
+        else:
+            self._index(self.count - 1)
         return self.count - 1
 
+    def _pieces(self, row: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """Parts of a row, of which two rows that are similar have at least one in common."""
+        n = len(row) - math.ceil(self.similar * len(row)) + 1
+        return ((i, row[i::n].tobytes()) for i in range(n))
+
+    def _index(self, n: int) -> None:
+        """Lists template ``n`` by its pieces; those that it had before only add candidates."""
+        if self.count > self.shard:
+            for piece in self._pieces(self.rows[n]):
+                held = self.by_piece.setdefault(piece, [])
+                if not held or held[-1] != n:
+                    held.append(n)
+
+    def _candidates(self, row: np.ndarray) -> np.ndarray:
+        """Numbers of the templates that may be similar to the row, in order."""
+        if self.count <= self.shard:
+            return np.arange(self.count)
+        found = set().union(*(self.by_piece.get(piece, ()) for piece in self._pieces(row)))
+        return np.array(sorted(found), np.int64)
+
     def template(self, n: int) -> str:
         return " ".join(self.names[i] for i in self.rows[n])
 
 
-def _parse(shards: DataFrame, similar: float) -> DataFrame:
-    """``line_id`` to the ``template`` that it ends up in, for rows of ``leaf``, ``shard``, ``line``."""
+def parse_templates(found: DataFrame, similar: float = 0.8, shard: int = SHARD) -> DataFrame:
+    """``line_id`` and ``template_id`` of distinct lines (``leaf``, ``line_id``, ``line``).
+
+    Lines that are alone in their leaf need not be in it: they are their own template. Each leaf is
+    parsed whole and in the order of its lines, so the result does not depend on ``shard``, the
+    number of templates from which on they are looked up by pieces.
+    """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, leaf, members = None, Leaf(similar), []
+        at, leaf, members = None, Leaf(similar, shard), []
 
         def done() -> pd.DataFrame:
-            return pd.DataFrame(
-                [(at[0], line_id, leaf.template(n)) for line_id, n in members],
-                columns=["leaf", "line_id", "template"],
-                dtype=object,
-            )
+            ids = [_hash(leaf.template(n)) for n in range(leaf.count)]
+            return pd.DataFrame({
+                "line_id": np.array([line_id for line_id, _ in members], np.int64),
+                "template_id": np.array([ids[n] for _, n in members], np.int64),
+            })
 
         for batch in batches:
-            for of_leaf, shard, line_id, line in zip(batch.leaf, batch.shard, batch.line_id, batch.line):
-                if (of_leaf, shard) != at:
+            for of_leaf, line_id, line in zip(batch.leaf, batch.line_id, batch.line):
+                if of_leaf != at:
                     if members:
                         yield done()
-                    at, leaf, members = (of_leaf, shard), Leaf(similar), []
+                    at, leaf, members = of_leaf, Leaf(similar, shard), []
                 members.append((line_id, leaf.add(line)))
         if members:
             yield done()
 
-    dealt = shards.repartition("leaf", "shard").sortWithinPartitions("leaf", "shard", "line")
-    return dealt.select("leaf", "shard", "line_id", "line").mapInPandas(
-        parse, "leaf long, line_id long, template string"
-    )
-
-
-def _dealt(rows: DataFrame, shard: int) -> DataFrame:
-    """Rows with a ``shard`` of the leaf, so that one holds about ``shard`` rows."""
-    sizes = rows.groupBy("leaf").agg(F.ceil(F.count("*") / shard).alias("shards"))
-    return rows.join(sizes, "leaf").withColumn("shard", F.pmod("line_id", "shards"))
-
-
-def parse_templates(
-    found: DataFrame, similar: float = 0.8, shard: int = SHARD
-) -> DataFrame:
-    """``line_id`` and ``template_id`` of distinct lines (``leaf``, ``line_id``, ``line``).
-
-    Lines that are alone in their leaf are not in the result: they are their own template.
-    Levels end when a leaf's templates fit one shard, or no longer get fewer; templates of a
-    leaf with more than ``shard`` unlike ones may then stay apart although they are similar.
-    """
-    first = _dealt(found, shard)
-    level = materialize(_parse(first, similar), "templates")
-    result = materialize(
-        level.select("line_id", "leaf", F.xxhash64("template").alias("template_id")), "parsed"
-    )
-    while True:
-        # The templates of leaves that were parsed in shards are the lines of the next level.
-        found_templates = level.select(
-            "leaf", F.xxhash64("template").alias("line_id"), F.col("template").alias("line")
-        ).distinct()
-        spread = first.where("shards > 1").select("leaf").distinct()
-        again = materialize(found_templates.join(spread, "leaf", "left_semi"), "again")
-        if not again.limit(1).count():
-            return result.select("line_id", "template_id")
-        before = again.count()
-        first = _dealt(again, shard)
-        level = materialize(_parse(first, similar), "templates")
-        step = level.select(
-            F.col("line_id").alias("template_id"), F.xxhash64("template").alias("next")
-        )
-        result = materialize(
-            result.join(step, "template_id", "left").select(
-                "line_id", "leaf", F.coalesce("next", "template_id").alias("template_id")
-            ),
-            "parsed",
-        )
-        if level.select("template").distinct().count() >= before:
-            return result.select("line_id", "template_id")
+    dealt = found.repartition("leaf").sortWithinPartitions("leaf", "line")
+    parsed = dealt.select("leaf", "line_id", "line").mapInPandas(parse, "line_id long, template_id long")
+    return materialize(parsed, "templates")
 
 
 def recurring_lines(

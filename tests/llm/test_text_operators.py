@@ -364,6 +364,26 @@ def test_large_leaves_are_parsed_in_shards(spark):
     assert len({parsed[1000 + i] for i in range(5)}) == 5
 
 
+def test_similar_lines_meet_among_thousands(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(3000)]
+    lines = ["<*> <*> <*> " + " ".join(rng.choice(vocabulary, 9)) for _ in range(10_000)]
+    for i in range(0, 4000, 2):  # pairs, some of which are similar only by what was made variable
+        words = lines[i].split()
+        for k in rng.choice(range(3, 12), rng.integers(1, 4), replace=False):
+            words[k] = str(rng.choice([*vocabulary[:2], "<*>"]))
+        lines[i + 1] = " ".join(words)
+    lines += [f"<*> <*> <*> opened the door of room {w} for the guest" for w in ("red", "blue", "green", "gold", "grey")]
+    lines = sorted(set(lines))
+    found = spark.createDataFrame([(1, i, line) for i, line in enumerate(lines)], "leaf long, line_id long, line string")
+    parsed = {r.line_id: r.template_id for r in templates.parse_templates(found, 0.8).collect()}
+    whole = templates.Leaf(0.8, shard=len(lines))
+    numbers = [whole.add(line) for line in lines]
+    assert len(set(numbers)) < len(lines) - 1000
+    assert [parsed[i] for i in range(len(lines))] == [templates._hash(whole.template(n)) for n in numbers]
+    assert len({parsed[i] for i, line in enumerate(lines) if "opened the door" in line}) == 1
+
+
 def test_templates_odd_rows(odd, empty):
     cleaned = templates.without_recurring_lines(odd)
     assert cleaned.columns == odd.columns
