@@ -14,6 +14,10 @@ positions are dealt to one piece more than two similar lines may differ in, so t
 Documents that hold the same templates in the same places, from first line to last, are copies
 and count as one, so copies alone make no line recur. A document that has a copy and of which all
 lines recur is left whole, for the stages that handle copies; any other one loses all these lines.
+
+A line of ``long_tokens`` tokens or more that fewer documents share, but at least two, stays in one
+of them and is dropped in the others: always the one with the smallest layout, so that documents
+that share most of their lines do not lose them all.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ VARIABLE = "<*>"
 SHARD = 256
 _SEED = 42
 _DIGIT = re.compile("[0-9]")
-LINES = "doc string, whole long, pos int, line_id long, leaf long"
+LINES = "doc string, whole long, pos int, line_id long, leaf long, n_tokens int"
 
 
 def masked(line: str) -> list[str]:
@@ -52,11 +56,11 @@ def _hash(text: str) -> int:
 
 
 def lines(docs: DataFrame, key: str, text: str, depth: int, with_line: bool = False) -> DataFrame:
-    """A row for each line with a token: document key, hash of its text, position, hash, leaf; or leaf, hash, masked line."""
+    """A row for each line with a token: document key, hash of its text, position, hash, leaf, tokens; or leaf, hash, masked line."""
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            docs_, wholes, places, ids, leaves, texts = [], [], [], [], [], []
+            docs_, wholes, places, ids, leaves, counts, texts = [], [], [], [], [], [], []
             for doc, value in zip(batch.doc, batch.text):
                 of_text = _hash(value or "")
                 for pos, line in enumerate((value or "").split("\n")):
@@ -70,6 +74,7 @@ def lines(docs: DataFrame, key: str, text: str, depth: int, with_line: bool = Fa
                             docs_.append(doc)
                             wholes.append(of_text)
                             places.append(pos)
+                            counts.append(len(tokens))
             ids, leaves = np.array(ids, np.int64), np.array(leaves, np.int64)
             if with_line:
                 yield pd.DataFrame({"leaf": leaves, "line_id": ids, "line": pd.Series(texts, dtype=object)})
@@ -77,6 +82,7 @@ def lines(docs: DataFrame, key: str, text: str, depth: int, with_line: bool = Fa
                 yield pd.DataFrame({
                     "doc": pd.Series(docs_, dtype=object), "whole": np.array(wholes, np.int64),
                     "pos": np.array(places, np.int32), "line_id": ids, "leaf": leaves,
+                    "n_tokens": np.array(counts, np.int32),
                 })
 
     schema = "leaf long, line_id long, line string" if with_line else LINES
@@ -190,6 +196,7 @@ def recurring_lines(
     min_docs: int = 5,
     depth: int = 3,
     similar: float = 0.8,
+    long_tokens: int = 20,
 ) -> DataFrame:
     """``doc`` (the key) and ``drop``: positions of the lines to drop, for documents that lose any."""
     table = materialize(lines(docs, key, text, depth), "lines")
@@ -205,10 +212,11 @@ def recurring_lines(
     distinct = materialize(texts.distinct(), "distinct")
     parsed = parse_templates(distinct, similar)
     placed = table.join(parsed, "line_id", "left").select(
-        "doc", "whole", "pos", F.coalesce("template_id", "line_id").alias("template_id")
-    )
+        "doc", "whole", "pos", F.coalesce("template_id", "line_id").alias("template_id"),
+        (F.col("n_tokens") >= long_tokens).alias("long"),
+    )
     placed = materialize(placed, "placed")
-    texts = materialize(placed.select("whole", "pos", "template_id").distinct(), "texts")
+    texts = materialize(placed.select("whole", "pos", "template_id", "long").distinct(), "texts")
     # Copies have one layout: a hash of all places and their templates.
     layouts = materialize(
         texts.groupBy("whole").agg(
@@ -216,12 +224,14 @@ def recurring_lines(
         ),
         "layouts",
     )
-    held = texts.join(layouts, "whole").select("template_id", "layout").distinct()
-    recurring = materialize(
-        held.groupBy("template_id")
-        .agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("template_id"),
-        "recurring",
+    held = texts.join(layouts, "whole").select("template_id", "long", "layout").distinct()
+    shared = materialize(
+        held.groupBy("template_id", "long").agg(F.count("*").alias("n"), F.min("layout").alias("first"))
+        .where((F.col("n") >= min_docs) | F.col("long") & (F.col("n") > 1)),
+        "shared",
     )
+    recurring = shared.where(F.col("n") >= min_docs).select("template_id")
+    passages = shared.where(F.col("n") < min_docs).select("template_id", "first")
     copied = (
         placed.groupBy("whole").agg(F.min("doc").alias("a"), F.max("doc").alias("b"))
         .join(layouts, "whole").groupBy("layout").agg(F.min("a").alias("a"), F.max("b").alias("b"))
@@ -230,7 +240,9 @@ def recurring_lines(
     lost = texts.join(recurring, "template_id", "left_semi").groupBy("whole").agg(F.count("*").alias("lost"))
     all_lost = lost.join(layouts, "whole").where("lost = lines")
     kept = materialize(all_lost.join(copied, "layout", "left_semi").select("whole"), "kept")
-    dropped = placed.join(recurring, "template_id", "left_semi").join(kept, "whole", "left_anti")
+    everywhere = placed.join(recurring, "template_id", "left_semi").join(kept, "whole", "left_anti")
+    elsewhere = placed.join(passages, "template_id").join(layouts, "whole").where("layout <> first")
+    dropped = everywhere.select("doc", "pos").union(elsewhere.select("doc", "pos"))
     return materialize(dropped.groupBy("doc").agg(F.collect_set("pos").alias("drop")), "dropped")
 
 

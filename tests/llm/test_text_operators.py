@@ -354,6 +354,17 @@ def test_copies_of_a_recurring_passage_are_left_whole(spark):
     assert [rows[i].text for i in range(9)] == [own_words(i, 9) for i in range(6)] + [passage] * 3
 
 
+@pytest.mark.parametrize("n", [2, 3, 4])
+def test_long_lines_of_few_documents_stay_in_one(spark, n):
+    passage, short = own_words(999, 60), own_words(998, 19)
+    texts = [f"{own_words(i, 30)}\n{passage}\n{short}" for i in range(n)]
+    texts += [f"{own_words(800, 30)}\n{own_words(801, 30)}"] * 3
+    rows = as_dict(templates.without_recurring_lines(docs_of(spark, texts)))
+    assert sum(passage in rows[i].text for i in range(n)) == 1
+    assert all(own_words(i, 30) in rows[i].text and short in rows[i].text for i in range(n))
+    assert all(rows[i].text == texts[i] for i in range(n, n + 3))
+
+
 def test_large_leaves_are_parsed_in_shards(spark):
     rows = [(1, i, f"the same start of line {chr(97 + i % 26)}{chr(97 + i // 26)} and the same end") for i in range(300)]
     rows += [(2, 1000 + i, f"x y z {chr(97 + i)} {chr(98 + i)} {chr(99 + i)} {chr(100 + i)}") for i in range(5)]
