@@ -1,17 +1,20 @@
 """Personal data: exact base spans, and a skip-chain conditional random field that adds to them.
 
 Base spans of four kinds come from fixed patterns with checks. The random field then labels
-the tokens that hold a digit or an at sign. Its graph has a node for each such token, an edge
-between neighbours in the text (chain), and an edge between a token and the next one with the
-same letters and digits, or the same last digits, however far away (skip). Tokens of base spans
-are observed; loopy sum-product messages carry their labels along the edges, so that the
-mentions of one entity in a document come out with one label. Tokens that end up with a kind
-at high probability, outside base spans, are the added spans.
+mentions. Its graph has a node for each base span, for each other token with a digit or an at
+sign (short numbers side by side are one), and for each word that is the local part of an address
+in the document. An edge joins neighbours in the text (chain), and a node and the next one with
+the same letters and digits, last digits or local part, however far away (skip). Base spans are
+observed; loopy sum-product messages carry their labels along the edges, so that the mentions of
+one entity in a document come out with one label. Nodes that end up with a kind at high
+probability, outside base spans, are the added spans.
 
 Potentials are trained here, piece by piece: Spark counts (token shape, label), (label, label)
-along chains and (label, label) along skips over all documents, with base spans as labels. The
-node potentials are a log-linear model of the shape's features fitted to the counts, the edge
-potentials smoothed log ratios. The number of shapes is bounded by the features.
+along chains and (label, label) along skips over all documents, with base spans as labels. A node
+that shares a key with a base span but is none may be a mention that the patterns miss: its label
+is unknown, so it is in no count. It is scored by a masked shape, without the marks by which the
+patterns tell a base span. The node potentials are a log-linear model of the shape's features
+fitted to the counts, the edge potentials smoothed log ratios. The number of shapes is bounded.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TOKEN = re.compile(r"\S*[0-9@]\S*")
 _DIGIT = re.compile(r"[0-9]")
+_NUMBER = re.compile(r"[0-9()+ -]+")
+_WORD = re.compile(r"(?<![A-Za-z0-9._%+@-])[A-Za-z._%+-]+(?![A-Za-z0-9])")
 _PLAIN = re.compile(r"[^0-9A-Za-z]+")
 
 
@@ -94,6 +99,8 @@ class Token:
     shape: tuple[int, ...]
     keys: tuple[str, ...]
     label: int  # of the base span that covers it, else 0
+    masked: tuple[int, ...] = ()
+    linked: bool = False  # has no label, but shares a key with a base span
 
 
 def _shape(token: str) -> tuple[int, ...]:
@@ -110,34 +117,89 @@ def _shape(token: str) -> tuple[int, ...]:
     )
 
 
+def _masked(token: str) -> tuple[int, ...]:
+    """The shape without what the patterns ask for, in values that no whole shape has."""
+    digits, letters = len(_digits(token)), sum(c.isalpha() for c in token)
+    return (100 + sum(digits >= n for n in (1, 7, 13, 20)), 100 + min(letters, 1))
+
+
+def _keys(token: str) -> tuple[str, ...]:
+    """What mentions of one entity have in common: letters and digits, last digits, local part."""
+    plain, digits = _PLAIN.sub("", token).lower(), _digits(token)
+    local = _PLAIN.sub("", token.partition("@")[0]).lower() if "@" in token else ""
+    keys = [k for k in (plain, local) if len(k) >= 4] + ([digits, digits[-7:]] if len(digits) >= 7 else [])
+    return tuple(dict.fromkeys(keys))
+
+
+def _token(text: str, start: int, end: int, keys: tuple[str, ...], label: int) -> Token:
+    token = text[start:end]
+    return Token(start, end, _shape(token), keys, label, _masked(token))
+
+
+def _joins(one: Token, two: Token, text: str) -> bool:
+    """Whether two tokens are short numbers side by side, as the groups of one phone number."""
+    return (
+        not one.label and not two.label and text[one.end : two.start].strip("()") in (" ", "-")
+        and bool(_NUMBER.fullmatch(text, one.start, one.end) and _NUMBER.fullmatch(text, two.start, two.end))
+        and len(_digits(text[two.start : two.end])) <= 6 and len(_digits(text[one.start : two.end])) <= 15
+        and len(_digits(re.split(r"[ -]", text[one.start : one.end])[-1])) <= 6
+    )
+
+
 def tokens(text: str, spans: list[tuple[str, int, int]]) -> list[Token]:
-    """Tokens with a digit or an at sign, without punctuation around them, in text order."""
+    """Nodes in text order: base spans with the tokens they touch, other tokens, local parts."""
     covered = sorted((a, b, LABELS.index(kind)) for kind, a, b in spans)
-    out, at = [], 0
+    out, at, last = [], 0, -1
     for m in _TOKEN.finditer(text):
         token = m.group()
         start = m.start() + len(token) - len(token.lstrip("\"'([{<,;:.!?*&%$#"))
         end = m.end() - len(token) + len(token.rstrip("\"')]}>,;:.!?*&%$#"))
         if start >= end:
             continue
-        token = text[start:end]
         while at < len(covered) and covered[at][1] <= start:
             at += 1
-        label = covered[at][2] if at < len(covered) and covered[at][0] < end else 0
-        plain, digits = _PLAIN.sub("", token).lower(), _digits(token)
-        keys = ((plain,) if len(plain) >= 4 else ()) + ((digits[-7:],) if len(digits) >= 7 else ())
-        out.append(Token(start, end, _shape(token), tuple(dict.fromkeys(keys)), label))
-    return out
+        inside = []
+        while at + len(inside) < len(covered) and covered[at + len(inside)][0] < end:
+            inside.append(covered[at + len(inside)])
+        label = inside[0][2] if inside else 0
+        if inside and last == at:  # another part of the span before
+            out[-1] = _token(text, out[-1].start, end, out[-1].keys, label)
+        elif inside:
+            keys = dict.fromkeys(k for a, b, _ in inside for k in _keys(text[a:b]))
+            out.append(_token(text, start, end, tuple(keys), label))
+        else:
+            out.append(_token(text, start, end, _keys(text[start:end]), 0))
+        last = at if inside else -1
+    found: list[Token] = []
+    for token in out:
+        if found and _joins(found[-1], token, text):
+            start = found.pop().start
+            token = _token(text, start, token.end, _keys(text[start : token.end]), 0)
+        found.append(token)
+    locals_ = {text[a:b].partition("@")[0].lower() for kind, a, b in spans if kind == "email"}
+    locals_ = {x for x in locals_ if len(x) >= 4 and re.search(r"[a-z][._+-][a-z]", x) and not _DIGIT.search(x)}
+    if locals_:
+        for m in _WORD.finditer(text):
+            word = m.group().strip(".-")
+            if word.lower() in locals_ and text[m.end() : m.end() + 1] != "@":
+                start = m.start() + m.group().index(word)
+                found.append(_token(text, start, start + len(word), _keys(word), 0))
+        found.sort(key=lambda t: t.start)
+    known = {key for t in found if t.label for key in t.keys}
+    for t in found:
+        t.linked = not t.label and not known.isdisjoint(t.keys)
+    return found
 
 
 def edges(found: list[Token], text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Chain edges between neighbouring tokens; skip edges to the next token that shares a key."""
+    """Skip edges to the next token that shares a key; chain edges between other neighbours."""
     chain, skip, last = [], [], {}
     for i, token in enumerate(found):
-        if i and text[found[i - 1].end : token.start].count(" ") <= 1 and token.start - found[i - 1].end <= 4:
-            chain.append((i - 1, i))
         partners = {last[key] for key in token.keys if key in last}
-        skip += [(j, i) for j in partners if j != i - 1 or not chain or chain[-1] != (j, i)]
+        if i and i - 1 not in partners:
+            if text[found[i - 1].end : token.start].count(" ") <= 1 and token.start - found[i - 1].end <= 4:
+                chain.append((i - 1, i))
+        skip += [(j, i) for j in sorted(partners)]
         last.update((key, i) for key in token.keys)
     return chain, skip
 
@@ -152,15 +214,18 @@ def _statistics(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if not found:
                 continue
             chain, skip = edges(found, text)
-            counts.update(("node", ",".join(map(str, t.shape)), t.label, 0) for t in found)
-            counts.update(("chain", "", found[i].label, found[j].label) for i, j in chain)
-            counts.update(("skip", "", found[i].label, found[j].label) for i, j in skip)
+            seen = [not t.linked for t in found]
+            for t, known in zip(found, seen):
+                if known:
+                    counts.update(("node", ",".join(map(str, x)), t.label, 0) for x in (t.shape, t.masked))
+            counts.update(("chain", "", found[i].label, found[j].label) for i, j in chain if seen[i] and seen[j])
+            counts.update(("skip", "", found[i].label, found[j].label) for i, j in skip if seen[i] and seen[j])
     rows = [(*key, n) for key, n in counts.items()]
     yield pd.DataFrame(rows, columns=["part", "shape", "a", "b", "n"], dtype=object)
 
 
 def _features(shape: tuple[int, ...]) -> list[tuple[int, int]]:
-    return [(i, value) for i, value in enumerate(shape)] + [(99, 0)]
+    return [(i, value) for i, value in enumerate(shape)] + [(99, int(shape[0] >= 100))]
 
 
 @dataclass
@@ -181,7 +246,7 @@ class SkipChainField:
         self, found: list[Token], chain: list, skip: list, rounds: int = 20, damping: float = 0.3
     ) -> np.ndarray:
         """Label probabilities of each token after loopy sum-product messages."""
-        scores = np.array([self.node(t.shape) for t in found])
+        scores = np.array([self.node(t.masked if t.linked else t.shape) for t in found])
         for i, token in enumerate(found):
             if token.label:
                 scores[i] = -50.0

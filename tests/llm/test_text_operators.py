@@ -290,6 +290,28 @@ def test_field_labels_repeats_of_an_entity(spark):
     assert not any(text[a:b] == "12" for _, a, b in added)
 
 
+def test_field_adds_repeats_that_the_patterns_miss(spark):
+    rng = np.random.default_rng(4)
+    texts = []
+    for i in range(80):
+        a, b, c, d = ("".join(map(str, rng.integers(0, 10, n))) for n in (3, 3, 4, 10))
+        name = f"{own_words(i, 1)}.{own_words(i + 100, 1)}"
+        texts.append(
+            f"call +1 {a} {b} {c} now or write {name}@mail.com. " + "word " * 40
+            + f"again +1 ({a}) {b}-{c}, {name}@mail.com, {a}-{b}-{c}; order {d}, later {d}, room {i} of 3"
+        )
+    model = pii.fit(docs_of(spark, texts))
+    text = (
+        "call +1 555 123 4567 now or write Jane.Doe@mail.com. " + "word " * 40
+        + "or 555-123-4567, 555 123 4567, jane.doe; order 7778889999, later 7778889999, room 12 of 3"
+    )
+    base, added = model.spans(text)
+    assert base == brute_spans(text)
+    assert [(kind, text[a:b]) for kind, a, b in added] == [
+        ("phone", "555-123-4567"), ("phone", "555 123 4567"), ("email", "jane.doe")
+    ]
+
+
 def test_personal_data_odd_rows(odd, empty):
     found = pii.personal_data(odd).collect()
     assert len(found) == odd.count() and all(r.base == [] for r in found)
