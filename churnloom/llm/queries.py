@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from churnloom.llm import (
     contamination,
+    conversations,
     importance,
+    minmax,
     mixing,
     multiindex,
+    periods,
     pii,
     simhash,
     suffix,
@@ -121,3 +124,21 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"),
         pii.joined(F.col("spans")).alias("spans"),
     )
+
+
+@_query
+def op11_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.near_duplicates(read(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
+@_query
+def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of the documents, after the contract has planted some."""
+    docs = read(spark, sf_dir, "documents")
+    return periods.digest(periods.periodic_runs(docs, text=periods.planted()))
+
+
+@_query
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repair of the conversations, after the contract has damaged some of their rows."""
+    return conversations.repair_damaged(read(spark, sf_dir, "conversations"))
