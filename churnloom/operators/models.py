@@ -12,7 +12,6 @@ from pyspark import inheritable_thread_target, keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
-    GBTClassifier,
     LogisticRegression,
     RandomForestClassifier,
 )
@@ -30,9 +29,10 @@ from pyspark.ml.util import (
     MLWritable,
     MLWriter,
 )
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from churnloom.operators.boosting import MAX_BINS, Fit, Grown, Tree, fit_together, margin_sql
 from churnloom.operators.split import hash_folds
 from churnloom.operators.weights import with_balanced_weights
 from churnloom.schema import ID_COLUMN
@@ -41,9 +41,6 @@ from churnloom.sources.storage import materialize
 SEED = 42
 BALANCED, POSITIVE_WEIGHT = "weight", "pos_weight"
 _OUTPUTS = ("rawPrediction", "probability", "prediction")
-_CUT_EVERY = 10
-# Cut points that a tree looks at in one slot, plus 1.
-MAX_BINS = 256
 
 
 def positive_score(df: DataFrame, output: str = "score") -> DataFrame:
@@ -61,17 +58,33 @@ def _binary_outputs(df: DataFrame, score: Column, prediction: Column) -> DataFra
     )
 
 
-class AdaBoostClassifier(Estimator, HasFeaturesCol, HasLabelCol, HasMaxIter, HasStepSize, HasSeed):
-    """Boosted depth-1 trees: each round up-weights the rows the last tree got wrong.
+class _Booster(Estimator, HasFeaturesCol, HasLabelCol, HasMaxIter, HasStepSize, HasSeed):
+    """An estimator that grows its trees by :func:`fit_together`, alone or with others.
 
-    The features are cut into at most ``maxBins`` bins once and written. A round is one
-    aggregation to the weight of each (slot, bin, label), from which the split with the least
-    impurity and its error follow. Stops early when a tree makes no error or is no better
-    than chance.
+    ``maxBins`` bounds the cut points of a slot, plus 1.
     """
 
     maxBins = Param(Params._dummy(), "maxBins", "most cut points of a slot, plus 1", TypeConverters.toInt)
 
+    def as_fit(self, leave_out: tuple[str, int] | None = None) -> Fit:
+        raise NotImplementedError
+
+    def as_model(self, grown: Grown) -> Model:
+        raise NotImplementedError
+
+    def _fit(self, dataset: DataFrame) -> Model:
+        (grown,) = fit_together(
+            dataset, [self.as_fit()], self.getFeaturesCol(), self.getLabelCol(), self.getOrDefault(self.maxBins)
+        )
+        return self.as_model(grown)
+
+
+class AdaBoostClassifier(_Booster):
+    """Boosted depth-1 trees: each round up-weights the rows the last tree got wrong.
+
+    Stops early when a tree makes no error or is no better than chance.
+    """
+
     @keyword_only
     def __init__(
         self, *, maxIter: int = 50, stepSize: float = 1.0, maxBins: int = MAX_BINS, seed: int = SEED
@@ -82,127 +95,117 @@ class AdaBoostClassifier(Estimator, HasFeaturesCol, HasLabelCol, HasMaxIter, Has
         )
         self._set(**self._input_kwargs)
 
-    def _cuts(self, rows: DataFrame) -> list[list[float]]:
-        """Cut points of each slot: between its values if they are few, else quantiles."""
-        bins = self.getOrDefault(self.maxBins)
-        slots = rows.select(F.posexplode("x").alias("slot", "value"))
-        probs = F.array(*(F.lit(i / bins) for i in range(1, bins)))
-        counted = slots.groupBy("slot", "value").agg(F.count("*").alias("n"))
-        first = Window.partitionBy("slot").orderBy("value")
-        few = (
-            counted.withColumn("rank", F.row_number().over(first))
-            .where(F.col("rank") <= bins + 1)
-            .groupBy("slot")
-            .agg(F.array_sort(F.collect_list("value")).alias("values"))
+    def as_fit(self, leave_out: tuple[str, int] | None = None) -> Fit:
+        return Fit("stumps", self.getMaxIter(), 1, self.getStepSize(), seed=self.getSeed(), leave_out=leave_out)
+
+    def as_model(self, grown: Grown) -> AdaBoostModel:
+        trees = grown.trees
+        inner = [t.slot[0] >= 0 for t in trees]
+        model = AdaBoostModel()
+        model._set(
+            featuresCol=self.getFeaturesCol(),
+            slots=[int(t.slot[0]) if i else 0 for t, i in zip(trees, inner)],
+            cuts=[float(t.cut[0]) if i else math.inf for t, i in zip(trees, inner)],
+            left=[int(t.value[1 if i else 0]) for t, i in zip(trees, inner)],
+            right=[int(t.value[2 if i else 0]) for t, i in zip(trees, inner)],
+            alphas=[float(v) for v in grown.votes],
         )
-        quantiles = slots.groupBy("slot").agg(
-            F.percentile_approx("value", probs, 100 * bins).alias("quantiles")
+        return model._resetUid(self.uid)
+
+
+class BoostedTreesClassifier(_Booster):
+    """Gradient boosting by the logistic loss, of first or second order.
+
+    First order: trees on the residuals, from the log-odds of the label on. Second order
+    (``secondOrder``): splits and leaves by gradient and hessian with an L2 penalty ``l2`` and at
+    least ``minChildWeight`` hessian in a child; ``weightCol`` weighs both. ``columnRate`` of the
+    slots, drawn for each tree, and ``subsamplingRate`` of the rows take part in a tree.
+    """
+
+    maxDepth = Param(Params._dummy(), "maxDepth", "depth of a tree", TypeConverters.toInt)
+    subsamplingRate = Param(Params._dummy(), "subsamplingRate", "share of rows of a tree", TypeConverters.toFloat)
+    columnRate = Param(Params._dummy(), "columnRate", "share of slots of a tree", TypeConverters.toFloat)
+    secondOrder = Param(Params._dummy(), "secondOrder", "split by gradient and hessian", TypeConverters.toBoolean)
+    l2 = Param(Params._dummy(), "l2", "penalty on leaf values", TypeConverters.toFloat)
+    minChildWeight = Param(Params._dummy(), "minChildWeight", "least hessian of a child", TypeConverters.toFloat)
+    weightCol = Param(Params._dummy(), "weightCol", "row weights", TypeConverters.toString)
+
+    @keyword_only
+    def __init__(
+        self,
+        *,
+        maxIter: int = 100,
+        maxDepth: int = 3,
+        stepSize: float = 0.1,
+        subsamplingRate: float = 1.0,
+        columnRate: float = 1.0,
+        secondOrder: bool = False,
+        l2: float = 1.0,
+        minChildWeight: float = 1.0,
+        weightCol: str = "",
+        maxBins: int = MAX_BINS,
+        seed: int = SEED,
+    ):
+        super().__init__()
+        self._setDefault(
+            maxIter=100, maxDepth=3, stepSize=0.1, subsamplingRate=1.0, columnRate=1.0, secondOrder=False,
+            l2=1.0, minChildWeight=1.0, weightCol="", maxBins=MAX_BINS, seed=SEED,
+            featuresCol="features", labelCol="label",
+        )
+        self._set(**self._input_kwargs)
+
+    def as_fit(self, leave_out: tuple[str, int] | None = None) -> Fit:
+        value = self.getOrDefault
+        return Fit(
+            "second_order" if value(self.secondOrder) else "gradient",
+            self.getMaxIter(),
+            value(self.maxDepth),
+            self.getStepSize(),
+            value(self.l2),
+            value(self.minChildWeight),
+            value(self.subsamplingRate),
+            value(self.columnRate),
+            self.getSeed(),
+            value(self.weightCol) or None,
+            leave_out,
         )
-        # At most maxBins numbers for each slot.
-        table = few.join(quantiles, "slot").orderBy("slot").collect()
-        cuts = []
-        for row in table:
-            values = row["values"]
-            if len(values) <= bins:
-                cuts.append([(p + q) / 2 for p, q in zip(values, values[1:])])
-            else:
-                cuts.append(sorted(set(row["quantiles"])))
-        return cuts
-
-    def _fit(self, dataset: DataFrame) -> AdaBoostModel:
-        label = F.col(self.getLabelCol()).cast("int")
-        rows = dataset.select(vector_to_array(self.getFeaturesCol()).alias("x"), label.alias("y"))
-        cuts = self._cuts(rows)
-        # A value's bin is the number of cut points below it.
-        binned = F.transform(
-            "x",
-            lambda v, i: F.size(
-                F.filter(F.element_at(_doubles(cuts), (i + 1).cast("int")), lambda c: v > c)
-            ),
+
+    def as_model(self, grown: Grown) -> BoostedTreesModel:
+        model = BoostedTreesModel()
+        model._set(
+            featuresCol=self.getFeaturesCol(),
+            start=float(grown.start),
+            sizes=[len(t.slot) for t in grown.trees],
+            slots=[int(x) for t in grown.trees for x in t.slot],
+            cuts=[float(x) for t in grown.trees for x in t.cut],
+            values=[float(x) for t in grown.trees for x in t.value],
         )
-        rows = materialize(rows.select(binned.alias("bins"), "y"), "bins")
-        model, weight = _Stumps(), F.lit(1.0)
-        for _ in range(self.getMaxIter()):
-            slot = F.posexplode("bins").alias("slot", "bin")
-            sums = (
-                rows.withColumn("w", weight).select("y", "w", slot)
-                .groupBy("slot", "bin", "y").agg(F.sum("w").alias("w")).collect()
-            )  # a row for each slot, bin and class
-            stump = _best_stump(sums, cuts)
-            if stump.error <= 0.0:
-                model.add(stump, cuts, 1.0)
-                break
-            if stump.error >= 0.5:
-                if not model.slots:
-                    raise ValueError("the first tree is no better than chance")
-                break
-            alpha = self.getStepSize() * math.log((1.0 - stump.error) / stump.error)
-            model.add(stump, cuts, alpha)
-            said = F.when(F.col("bins")[stump.slot] <= stump.bin, stump.left).otherwise(stump.right)
-            # Scaled to keep the weights near 1 through all rounds.
-            scale = 1.0 / (1.0 + stump.error * (math.exp(alpha) - 1.0))
-            weight = weight * F.when(said != F.col("y"), math.exp(alpha) * scale).otherwise(scale)
-            if len(model.slots) % _CUT_EVERY == 0:
-                rows = materialize(rows.select("bins", "y", weight.alias("kept")), "boost")
-                weight = F.col("kept")
-        fitted = AdaBoostModel()
-        fitted._set(
-            featuresCol=self.getFeaturesCol(), slots=model.slots, cuts=model.cuts,
-            left=model.left, right=model.right, alphas=model.alphas,
-        )
-        return fitted._resetUid(self.uid)
+        return model._resetUid(self.uid)
 
 
-def _doubles(cuts: list[list[float]]) -> Column:
-    return F.array(*(F.array(*map(F.lit, c)).cast("array<double>") for c in cuts))
+class BoostedTreesModel(Model, HasFeaturesCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Sum of the trees' values, in one projection; the score is its logistic."""
 
+    start = Param(Params._dummy(), "start", "margin before the first tree", TypeConverters.toFloat)
+    sizes = Param(Params._dummy(), "sizes", "nodes of each tree, in heap order", TypeConverters.toListInt)
+    slots = Param(Params._dummy(), "slots", "vector slot of each node, -1 for a leaf", TypeConverters.toListInt)
+    cuts = Param(Params._dummy(), "cuts", "largest value on the left", TypeConverters.toListFloat)
+    values = Param(Params._dummy(), "values", "value of each node", TypeConverters.toListFloat)
 
-@dataclass(frozen=True)
-class _Stump:
-    slot: int
-    bin: int  # the last one on the left
-    left: int
-    right: int
-    error: float
-
-
-@dataclass
-class _Stumps:
-    slots: list[int] = field(default_factory=list)
-    cuts: list[float] = field(default_factory=list)
-    left: list[int] = field(default_factory=list)
-    right: list[int] = field(default_factory=list)
-    alphas: list[float] = field(default_factory=list)
-
-    def add(self, stump: _Stump, cuts: list[list[float]], alpha: float) -> None:
-        at = cuts[stump.slot]
-        self.slots.append(stump.slot)
-        self.cuts.append(float(at[stump.bin]) if at else math.inf)
-        self.left.append(stump.left)
-        self.right.append(stump.right)
-        self.alphas.append(float(alpha))
-
-
-def _best_stump(sums: list, cuts: list[list[float]]) -> _Stump:
-    """The split of least Gini impurity; the earlier slot and cut win a tie."""
-    width = max((len(c) for c in cuts), default=0) + 1
-    weights = np.zeros((len(cuts), width, 2))
-    for row in sums:
-        weights[row["slot"], row["bin"], row["y"]] += row["w"]
-    left = weights.cumsum(axis=1)
-    total = left[:, -1:, :]
-    right = total - left
-    impurity = sum(
-        np.divide(2 * side.prod(axis=2), side.sum(axis=2), out=np.zeros(side.shape[:2]), where=side.sum(axis=2) > 0)
-        for side in (left, right)
-    )
-    for slot, at in enumerate(cuts):
-        impurity[slot, max(1, len(at)) :] = np.inf
-    slot, cut = np.unravel_index(np.argmin(np.round(impurity / total[0].sum(), 12)), impurity.shape)
-    sides = left[slot, cut], right[slot, cut]
-    answers = [int(side[1] > side[0]) for side in sides]
-    wrong = sum(side[1 - answer] for side, answer in zip(sides, answers))
-    return _Stump(int(slot), int(cut), *answers, max(0.0, float(wrong / total[0].sum())))
+    def trees(self) -> list[Tree]:
+        slots, cuts, values = (self.getOrDefault(p) for p in ("slots", "cuts", "values"))
+        out, at = [], 0
+        for n in self.getOrDefault("sizes"):
+            part = slice(at, at + n)
+            out.append(Tree(np.array(slots[part]), np.zeros(n, np.int64), np.array(cuts[part]), np.array(values[part])))
+            at += n
+        return out
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        margin = F.expr(margin_sql(self.trees(), "_slots")) + F.lit(self.getOrDefault("start"))
+        summed = dataset.withColumn("_slots", vector_to_array(self.getFeaturesCol())).withColumn("_margin", margin)
+        score = 1 / (1 + F.exp(-F.col("_margin")))
+        return _binary_outputs(summed, score, F.col("_margin") > 0).drop("_slots", "_margin")
 
 
 class AdaBoostModel(Model, HasFeaturesCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -230,7 +233,7 @@ class StackingClassifier(Estimator, HasFeaturesCol, HasLabelCol, HasSeed):
     """A balanced logistic regression on the out-of-fold scores of the base classifiers.
 
     Every base classifier is fitted once per fold for the scores, and once more on
-    all rows for use.
+    all rows for use; all boosters of all folds grow together.
     """
 
     folds = Param(Params._dummy(), "folds", "out-of-fold parts", TypeConverters.toInt)
@@ -243,21 +246,25 @@ class StackingClassifier(Estimator, HasFeaturesCol, HasLabelCol, HasSeed):
         self._setDefault(featuresCol="features", labelCol="label", seed=SEED, parallelism=6)
         self._set(folds=folds, keyCol=keyCol)
 
+    def wanted(self) -> list[Wanted]:
+        """Every base classifier on all rows, then without each fold."""
+        folds = range(self.getOrDefault(self.folds))
+        return [(e, out) for out in (None, *((STACK_FOLD, f) for f in folds)) for e in self.base]
+
     def _fit(self, dataset: DataFrame) -> StackingModel:
+        folds, key = self.getOrDefault(self.folds), self.getOrDefault(self.keyCol)
+        return self.fit_shared(FitCache(with_stack_folds(dataset, folds, key, self.getSeed())))
+
+    def fit_shared(self, cache: FitCache) -> StackingModel:
+        """Fit on the cache's rows, which have the folds of :func:`with_stack_folds`."""
         folds, label = self.getOrDefault(self.folds), self.getLabelCol()
         key = self.getOrDefault(self.keyCol)
-        rows = hash_folds(dataset, folds, key, self.getSeed(), "_fold")
-        held_out = None
-        rows = materialize(rows, "stack-folds", "_fold")
-        inside = [rows.where(F.col("_fold") != fold) for fold in range(folds)]
-        tasks = [(e, part) for part in [*inside, dataset] for e in self.base]
-        fit = inheritable_thread_target(dataset.sparkSession)(lambda task: task[0].copy().fit(task[1]))
-        with ThreadPool(self.getOrDefault(self.parallelism)) as pool:
-            fits = pool.map(fit, tasks, chunksize=1)
+        fits = cache.fits(self.wanted(), self.getOrDefault(self.parallelism))  # a base for each fold
         fits = [fits[i : i + len(self.base)] for i in range(0, len(fits), len(self.base))]
+        held_out = None
         for fold in range(folds):
-            outside = rows.where(F.col("_fold") == fold)
-            scores = _stack_scores(fits[fold], outside).select(key, label, "_stack")
+            outside = cache.rows.where(F.col(STACK_FOLD) == fold)
+            scores = _stack_scores(fits[fold + 1], outside).select(key, label, "_stack")
             held_out = scores if held_out is None else held_out.unionByName(scores)
         held_out = materialize(with_balanced_weights(held_out, label, "_weight"), "stack")
         n = held_out.count()
@@ -270,7 +277,79 @@ class StackingClassifier(Estimator, HasFeaturesCol, HasLabelCol, HasSeed):
             regParam=1.0 / max(n, 1),
             standardization=False,
         ).fit(held_out)
-        return StackingModel([top, *fits[-1]])._resetUid(self.uid)
+        return StackingModel([top, *fits[0]])._resetUid(self.uid)
+
+
+STACK_FOLD = "stack_fold"
+STACK_FOLDS = 5
+
+
+def with_stack_folds(
+    df: DataFrame, folds: int = STACK_FOLDS, key: str = ID_COLUMN, seed: int = SEED
+) -> DataFrame:
+    """``df`` written with the folds of a stack."""
+    return materialize(hash_folds(df, folds, key, seed, STACK_FOLD), "stack-folds", STACK_FOLD)
+
+
+#: A classifier to fit, and the fold column and fold whose rows it does not see.
+Wanted = tuple[Estimator, "tuple[str, int] | None"]
+
+
+class FitCache:
+    """Fitted classifiers of one training table by class, settings and fold left out.
+
+    What is asked for twice is fitted once. Boosters of one call grow together in common passes;
+    the others are fitted a few at a time.
+    """
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+        self._known: dict[tuple, Model] = {}
+
+    @staticmethod
+    def _key(wanted: Wanted) -> tuple:
+        estimator, left_out = wanted
+        parts = estimator.base if isinstance(estimator, StackingClassifier) else []
+        own = [sorted((p.name, v) for p, v in e.extractParamMap().items()) for e in (estimator, *parts)]
+        return type(estimator).__name__, repr(own), left_out
+
+    def fits(self, wanted: list[Wanted], parallelism: int = 2) -> list[Model]:
+        missing = {self._key(w): w for w in wanted if self._key(w) not in self._known}
+        tables: dict[tuple, list[tuple]] = {}
+        for key, (estimator, _) in missing.items():
+            if isinstance(estimator, _Booster):
+                table = (estimator.getFeaturesCol(), estimator.getLabelCol(), estimator.getOrDefault("maxBins"))
+                tables.setdefault(table, []).append(key)
+
+        def boost(task: tuple) -> None:
+            table, keys = task
+            grown = fit_together(self.rows, [missing[k][0].as_fit(missing[k][1]) for k in keys], *table)
+            self._known |= {k: missing[k][0].as_model(g) for k, g in zip(keys, grown)}
+
+        def fit(key: tuple) -> None:
+            estimator, left_out = missing[key]
+            if isinstance(estimator, StackingClassifier) and left_out is None:
+                self._known[key] = estimator.fit_shared(self)
+                return
+            rows = self.rows.where(F.col(left_out[0]) != left_out[1]) if left_out else self.rows
+            self._known[key] = estimator.copy().fit(rows)
+
+        boosted = {k for keys in tables.values() for k in keys}
+        tasks = [(boost, t) for t in tables.items()]
+        tasks += [(fit, k) for k, (e, _) in missing.items() if k not in boosted and not isinstance(e, StackingClassifier)]
+        if tasks:
+            run = inheritable_thread_target(self.rows.sparkSession)(lambda task: task[0](task[1]))
+            with ThreadPool(parallelism) as pool:
+                pool.map(run, tasks, chunksize=1)
+        for key in missing:
+            if key not in self._known:  # a stack: its parts are fitted by now, or by itself
+                fit(key)
+        return [self._known[self._key(w)] for w in wanted]
+
+    def forget(self, models: list[Model]) -> None:
+        """Drop models that nothing will ask for again."""
+        gone = {id(m) for m in models}
+        self._known = {k: m for k, m in self._known.items() if id(m) not in gone}
 
 
 def _stack_scores(models: list[Model], df: DataFrame) -> DataFrame:
@@ -350,7 +429,7 @@ def random_forest(**settings) -> Estimator:
 
 
 def gradient_boosting(**settings) -> Estimator:
-    return GBTClassifier(seed=SEED, **{"maxBins": MAX_BINS, **settings})
+    return BoostedTreesClassifier(seed=SEED, **settings)
 
 
 def ada_boost(**settings) -> Estimator:
@@ -362,8 +441,8 @@ def decision_tree(**settings) -> Estimator:
 
 
 def weighted_boosting(**settings) -> Estimator:
-    """Gradient boosting with positives weighted by negatives-per-positive."""
-    return GBTClassifier(weightCol=POSITIVE_WEIGHT, seed=SEED, **{"maxBins": MAX_BINS, **settings})
+    """Second-order boosting with positives weighted by negatives-per-positive."""
+    return BoostedTreesClassifier(secondOrder=True, seed=SEED, **{"weightCol": POSITIVE_WEIGHT, **settings})
 
 
 def stacking(settings: dict[str, dict] | None = None, folds: int = 5) -> Estimator:
@@ -433,7 +512,7 @@ def full_specs() -> list[ModelSpec]:
             "weighted_boosting",
             weighted_boosting,
             _product(
-                **boosting, subsamplingRate=[1.0, 0.8], featureSubsetStrategy=["all", "0.8"]
+                **boosting, subsamplingRate=[1.0, 0.8], columnRate=[1.0, 0.8]
             ),
         ),
         ModelSpec("stacking", stacking, [{"settings": BASE_SETTINGS}]),

@@ -20,17 +20,25 @@ from churnloom.operators.features import (
     preprocessing,
     require_few_categories,
 )
-from churnloom.operators.models import BALANCED, POSITIVE_WEIGHT, ModelSpec, full_specs
+from churnloom.operators.models import (
+    BALANCED,
+    POSITIVE_WEIGHT,
+    FitCache,
+    ModelSpec,
+    StackingClassifier,
+    full_specs,
+    with_stack_folds,
+)
 from churnloom.operators.score import InputContract
 from churnloom.operators.tune import (
     FOLD_COLUMN,
     SEARCH_FOLDS,
-    Candidate,
+    ScoreLog,
     best_candidate,
     candidate_table,
-    grid_search,
     model_metrics,
     predictions,
+    search,
 )
 from churnloom.plans.ingest import Validation, ingest, parts, validate
 from churnloom.schema import ID_COLUMN, TARGET
@@ -118,23 +126,26 @@ def train(
     prepared: Prepared,
     specs: Sequence[ModelSpec] | None = None,
     select_on: str = "test",
-    parallelism: int = 2,
+    parallelism: int = 6,
+    search_uri: str | None = None,
 ) -> Trained:
     """Search, fit and compare the classifiers; the first highest F1 wins.
 
-    ``specs`` defaults to the whole search. ``select_on`` is ``test`` (F1 on the test part, which is then an optimistic
-    estimate) or ``cv`` (mean F1 over the folds).
+    ``specs`` defaults to the whole search. ``select_on`` is ``test`` (F1 on the test part, which is
+    then an optimistic estimate) or ``cv`` (mean F1 over the folds). Scores of the search are logged
+    below ``search_uri``; another call on the same data goes on from there.
     """
     specs = list(full_specs() if specs is None else specs)
-    models: dict[str, Model] = {}
-    chosen: list[Candidate] = []
-    tried: list[Candidate] = []
-    for spec in specs:
-        models[spec.name], found = grid_search(
-            prepared.train, spec, parallelism=parallelism, score_single=select_on == "cv"
-        )
-        tried += found
-        chosen.append(best_candidate(found))
+    cache = FitCache(with_stack_folds(prepared.train))
+    log = ScoreLog(cache.rows.sparkSession, search_uri)
+    tried = {s.name: search(cache, s, parallelism=parallelism, score_single=select_on == "cv", log=log) for s in specs}
+    chosen = [best_candidate(tried[s.name]) for s in specs]
+    # All that is still to fit, with the parts of a stack, goes through the cache at once.
+    best_of = {s.name: s.build(**c.settings) for s, c in zip(specs, chosen)}
+    wanted = [(e, None) for e in best_of.values() if not isinstance(e, StackingClassifier)]
+    wanted += [w for e in best_of.values() if isinstance(e, StackingClassifier) for w in e.wanted()]
+    cache.fits(wanted, parallelism)
+    models = dict(zip(best_of, cache.fits([(e, None) for e in best_of.values()], parallelism)))
     spark = prepared.train.sparkSession
     settings = candidate_table(spark, chosen).select("model", F.col("settings").alias("best_params"), "cv_f1")
     # One row per classifier on both sides.
@@ -144,7 +155,8 @@ def train(
     by = "cv_f1" if select_on == "cv" else "f1_score"
     best_name = metrics.pick_best(report, by).first()["model"]
     best = next(c for c in chosen if c.model == best_name)
-    return Trained(report, candidate_table(spark, tried), models, best_name, best.settings)
+    every = [c for found in tried.values() for c in found]
+    return Trained(report, candidate_table(spark, every), models, best_name, best.settings)
 
 
 def metrics_of_best(trained: Trained, prepared: Prepared) -> DataFrame:
@@ -275,7 +287,7 @@ def run(
         selector_depth=selector_depth,
         id_columns=id_columns,
     )
-    trained = train(prepared, specs)
+    trained = train(prepared, specs, search_uri=f"{run_uri}/search")
     measured = run_metrics(run_id, metrics_of_best(trained, prepared), trained)
     measured.write.mode("append").parquet(f"{run_uri}/metrics")
     write_report(trained.report, f"{run_uri}/model_report")
