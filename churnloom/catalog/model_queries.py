@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.ml.functions import vector_to_array
@@ -21,7 +19,7 @@ from churnloom.plans import train as jobs
 from churnloom.schema import FEATURES
 from churnloom.sources import writers
 from churnloom.sources.derived import raw_customers
-from churnloom.sources.readers import records_to_table, scan_csv
+from churnloom.sources.readers import json_records, scan_csv
 from churnloom.sources.storage import generation, materialize, scratch_path
 from churnloom.streaming.scoring import score_stream as start_score_stream
 
@@ -295,10 +293,8 @@ def score_records(spark, sf_dir):
 @query
 def score_request_records(spark, sf_dir):
     """All customers as JSON request records, turned into a table again and scored."""
-    records = _records(spark, sf_dir)
-    lines = writers.to_json_records(records.orderBy("customerID").limit(100)).collect()
-    table = records_to_table(spark, [json.loads(line["record"]) for line in lines])
-    return score.score(_model(spark, sf_dir), table).drop("probability")
+    lines = writers.to_json_records(_records(spark, sf_dir))
+    return score.score(_model(spark, sf_dir), json_records(lines)).drop("probability")
 
 
 @query

@@ -799,9 +799,8 @@ _TEST_PREDICTIONS = (
 for _name in ("random_forest", "gbt", "adaboost", "decision_tree", "weighted_gbt"):
     ORACLE[f"model_{_name}"] = _TEST_PREDICTIONS.format(f", '{_name}' AS model")
 ORACLE["refit_best"] = _TEST_PREDICTIONS.format("")
-for _name in ("score_records", "score_csv", "score_stream", "model_roundtrip"):
+for _name in ("score_records", "score_request_records", "score_csv", "score_stream", "model_roundtrip"):
     ORACLE[_name] = _SCORED_ALL
-ORACLE["score_request_records"] = _SCORED_ALL + " ORDER BY customerID LIMIT 100"
 ORACLE["prediction_preview"] = (
     _SEPARATED + f"SELECT customerID, y AS prediction, {_CHURN}, count(*) OVER () AS n_total "
     "FROM separated ORDER BY customerID LIMIT 10"

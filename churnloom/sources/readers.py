@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from churnloom.operators.clean import normalize_nan
 from churnloom.schema import customer_schema
+from churnloom.sources.storage import materialize
 from churnloom.sources.writers import CSV_OPTIONS
 
 # Cells a CSV reader takes as missing.
@@ -73,24 +74,63 @@ def scan_csv(
     """CSV with a header. All cells are read as text, so that every token is seen, then cast.
 
     A column with a cell that is neither missing nor of its declared type stays text as a
-    whole: no row is lost, and the ``type`` rule of the schema report fails. Finding such
-    columns reads the file once more, as inferring a schema does. A blank such as ``' '`` is
+    whole: no row is lost, and the ``type`` rule of the schema report fails. The files are read
+    once and their cells written; such columns are found there. A blank such as ``' '`` is
     text, not a missing cell. All files below ``path`` must have the same columns in the same
     order; another header is an error.
     """
-    schema = schema or customer_schema(raw=True)
-    cells, tokens = _csv_cells(spark, path), list(missing_tokens)
-    present = [f for f in schema.fields if f.name in cells.columns]
-    extra = [c for c in cells.columns if c not in schema.names]
-    checked = [f for f in present if not isinstance(f.dataType, T.StringType)]
-    found = _invalid(cells, checked, tokens).collect() if checked else []
-    as_text = {r["column"] for r in found if r["n_invalid"]}  # a row for each declared column
-
-    def typed(field: T.StructField):
+    schema, tokens = schema or customer_schema(raw=True), list(missing_tokens)
+    cells = _csv_cells(spark, path)
+    names = cells.columns
+    present = [f for f in schema.fields if f.name in names]
+    extra = [T.StructField(c, T.StringType()) for c in names if c not in schema.names]
+    # Each cell is parsed once and written, with its text beside it where it has a type of
+    # its own. What is returned are columns of that table under their own names: a renamed
+    # column would double what the optimizer knows of every condition on it.
+    prefix = "_text"
+    while any(n.startswith(prefix) for n in names):
+        prefix = f"_{prefix}"
+    parsed, texts = [], {}
+    for i, field in enumerate([*present, *extra]):
         known = _known(field.name, tokens)
-        return (known if field.name in as_text else known.try_cast(field.dataType)).alias(field.name)
+        if isinstance(field.dataType, T.StringType):
+            parsed.append(known.alias(field.name))
+        else:
+            texts[field.name] = f"{prefix}_{i}"
+            parsed += [known.try_cast(field.dataType).alias(field.name), known.alias(texts[field.name])]
+    table = materialize(cells.select(*parsed), "csv-cells")
+    bad = [F.bool_or(F.col(t).isNotNull() & F.col(c).isNull()).alias(c) for c, t in texts.items()]
+    wrong = table.agg(*bad).first().asDict() if bad else {}
+    return table.select(
+        *(F.col(texts[f.name]).alias(f.name) if wrong.get(f.name) else f.name for f in [*present, *extra])
+    )
+
+
+def json_records(
+    lines: DataFrame, column: str = "record", schema: T.StructType | None = None
+) -> DataFrame:
+    """Request records, one JSON object in each row of ``column``, to a table.
 
-    return cells.select(*(typed(f) for f in present), *(_known(c, tokens).alias(c) for c in extra))
+    The objects are parsed on the executors. Values take the schema's types; a value that does
+    not fit is missing. Fields that no record has stay absent, and unknown ones are kept as
+    text, so that the input contract can report both; a nested value is kept as its JSON. Only the
+    names of the fields come to the driver. A row that holds no JSON object is an error.
+    """
+    known = {f.name: f.dataType for f in (schema or customer_schema(target=False)).fields}
+    options = {"mode": "PERMISSIVE", "allowNumericLeadingZeros": "true"}
+    parsed = lines.select(F.from_json(column, "map<string,string>", options).alias("fields"))
+    parsed = materialize(parsed, "records")
+    fields = parsed.select(F.explode(F.map_keys("fields")).alias("name")).distinct()
+    counts = parsed.agg(F.count("*").alias("n"), F.count("fields").alias("good")).first()
+    if not counts["n"]:
+        raise ValueError("no record given")
+    if counts["good"] < counts["n"]:
+        raise ValueError(f"{counts['n'] - counts['good']} records are no JSON objects")
+    found = {row["name"] for row in fields.collect()}
+    names = [n for n in known if n in found] + sorted(found - set(known))
+    return parsed.select(
+        *(F.col("fields").getItem(n).try_cast(known.get(n, T.StringType())).alias(n) for n in names)
+    )
 
 
 def records_to_table(
