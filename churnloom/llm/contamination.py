@@ -7,19 +7,28 @@ other on both sides are joined to the longest verbatim match. Words are numbers
 benchmark's vocabulary. A training suffix that starts with a word pair of no test suffix can
 never match one, so it is left out before the sort; nothing else is.
 
-No row is shuffled. The benchmark is sent to every executor in blocks of a checked size.
+Equal windows are searched once, so a place is found at most once for each size of a window, and
+an item that repeats a window costs no more than one that has it once: a match goes on in its
+item for as long as the item goes on with the same words, and else begins anew at the window's
+first place there.
+
+The benchmark is sent to the executors in blocks of a checked size. One block is one projection
+without any shuffle. With more of them the driver holds one at a time, each has its own pass,
+and what a pass finds is written and joined by row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from churnloom.llm.tables import fresh
+from churnloom.llm.tables import fresh, materialize
 
 #: Bytes of item text that one block sends to the executors.
 BLOCK_BYTES = 32 << 20
@@ -39,24 +48,34 @@ def words(text: str | None) -> list[bytes]:
 
 
 class TestSuffixes:
-    """Every window of the items, as rows of word numbers in sorted order."""
+    """Every different window of the items, as rows of word numbers in sorted order."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int) -> None:
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
-        rows, self.names = [], []
+        rows, self.names, item = [], [], []
         for name, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
             if not ids:
                 continue
             size = min(window, len(ids))
-            for i in range(len(ids) - size + 1):
-                rows.append((len(self.names), i, size, ids[i : i + size] + [0] * (window - size)))
+            begins = range(len(ids) - size + 1)
+            rows += [ids[i : i + size] + [0] * (window - size) for i in begins]
+            item += [len(self.names)] * len(begins)
             self.names.append(name)
-        self.item = np.array([r[0] for r in rows], np.int64)
-        self.start = np.array([r[1] for r in rows], np.int64)
-        self.size = np.array([r[2] for r in rows], np.int64)
-        self.ids = np.array([r[3] for r in rows], ">u4").reshape(len(rows), window)
+        every = np.array(rows, ">u4").reshape(len(rows), window)
+        _, first, kind = np.unique(_key(every), return_index=True, return_inverse=True)
+        self.ids = every[first]
+        self.size = (self.ids != 0).sum(axis=1)
+        # All windows of all items in order: their item, and which different window they are.
+        self.item, self.kind = np.array([*item, -1], np.int64), np.append(kind.reshape(-1), -1)
+        self.begin = np.searchsorted(self.item[:-1], np.arange(len(self.names)))
+        # The items that have a window, and its first place in each.
+        pair, place = np.unique(self.kind[:-1] * max(1, len(self.names)) + self.item[:-1], return_index=True)
+        owner = pair // max(1, len(self.names))
+        self.first = place[np.lexsort((place, owner))]
+        self.low = np.searchsorted(owner, np.arange(len(self.ids)), "left")
+        self.high = np.searchsorted(owner, np.arange(len(self.ids)), "right")
         self.single = np.unique(self.ids[self.size == 1, 0]).astype(np.int64)
         paired = self.ids[self.size > 1].astype(np.int64)
         second = paired[:, 1] if window > 1 else paired[:, 0] * 0
@@ -69,7 +88,7 @@ def _key(ids: np.ndarray) -> np.ndarray:
 
 
 def _shard_matches(texts: list, tests: TestSuffixes) -> tuple[np.ndarray, list]:
-    """Words of each text, and (text, word, test) of each place where a test window occurs."""
+    """Words of each text, and (text, word, window) of each place where a test window occurs."""
     get, other = tests.vocabulary.get, tests.other
     parts, counts = [], np.zeros(len(texts), np.int64)
     for n, text in enumerate(texts):
@@ -100,11 +119,11 @@ def _shard_matches(texts: list, tests: TestSuffixes) -> tuple[np.ndarray, list]:
     if not len(found):
         return counts, []
     reps = (high - low)[found]
-    test = np.repeat(found, reps)
+    kind = np.repeat(found, reps)
     offset = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
     place = places[np.repeat(low[found], reps) + offset]
     text = np.searchsorted(begins, place, "right") - 1
-    return counts, [text, place - begins[text], test]
+    return counts, [text, place - begins[text], kind]
 
 
 def _in_sorted(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -115,25 +134,34 @@ def _in_sorted(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 def _longest(counts: np.ndarray, found: list, tests: TestSuffixes) -> list[list[tuple]]:
-    """Per text: (item, start, item_start, length), windows on one diagonal joined."""
+    """Per text: (item, start, item_start, length), of windows that follow each other on both sides."""
     out: list[list[tuple]] = [[] for _ in counts]
     if not found:
         return out
-    text, at, test = found
-    item, start, size = tests.item[test], tests.start[test], tests.size[test]
-    order = np.lexsort((at, at - start, item, text))
-    text, at, item, start, size = (x[order] for x in (text, at, item, start, size))
-    new = np.ones(len(text), bool)
-    new[1:] = (
-        (text[1:] != text[:-1]) | (item[1:] != item[:-1])
-        | (at[1:] - start[1:] != at[:-1] - start[:-1]) | (at[1:] != at[:-1] + 1)
-    )
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(text)) - 1
-    for a, b in zip(first, last):
-        out[text[a]].append(
-            (tests.names[item[a]], int(at[a]), int(start[a]), int(at[b] + size[b] - at[a]))
-        )
+    order = np.lexsort((found[1], found[0]))
+    # By item: the open match (text, start, first and last window of the item, last place).
+    open_: dict[int, list[int]] = {}
+
+    def close(item: int) -> None:
+        text, start, first, last, at = open_.pop(item)
+        size = int(tests.size[tests.kind[last]])
+        out[text].append((tests.names[item], start, first - int(tests.begin[item]), at + size - start))
+
+    for text, at, kind in zip(*(x[order].tolist() for x in found)):
+        for window in tests.first[tests.low[kind] : tests.high[kind]].tolist():
+            item = int(tests.item[window])
+            known = open_.get(item)
+            if known and known[0] == text and known[4] == at - 1 and tests.item[known[3] + 1] == item:
+                if tests.kind[known[3] + 1] == kind:
+                    known[3], known[4] = known[3] + 1, at
+                    continue
+            if known:
+                close(item)
+            open_[item] = [text, at, window, window, at]
+    for item in list(open_):
+        close(item)
+    for rows in out:
+        rows.sort()
     return out
 
 
@@ -183,25 +211,34 @@ def matches(
 ) -> tuple[DataFrame, str]:
     """``docs`` with one more column, and its name: a struct of ``n_words`` and ``matches``.
 
-    A match is a longest run of words that a document shares with an item, of ``window``
-    words at least, or a whole item of fewer words: item id, first word in the document,
-    first word in the item, words. Null and empty texts have no words and no match; items
-    without words or without an id match nothing; repeated rows are searched each.
+    A match is a run of words that a document shares with an item, of ``window`` words at
+    least, or a whole item of fewer words, followed for as long as both go on alike: item id,
+    first word in the document, first word in the item, words. Null and empty texts have no words and no match; items
+    without words or without an id match nothing; repeated rows are searched each. Texts are
+    taken whole, however long or repetitive; an empty table has no rows. Columns that clash with
+    the new one give it a number.
     """
     column = fresh(docs, "contamination")
-    parts = [
-        _search(TestSuffixes(block, window), F.col(text))
-        for block in _blocks(items, item_id, item_text, block_bytes)
-    ]
-    names = []
-    for part in parts:
-        names.append(fresh(docs, "block_matches"))
-        docs = docs.withColumn(names[-1], part)
-    found = F.struct(
-        F.col(names[0])["n_words"].alias("n_words"),
-        F.flatten(F.array(*[F.col(n)["matches"] for n in names])).alias("matches"),
+    blocks = _blocks(items, item_id, item_text, block_bytes)
+    first = TestSuffixes(next(blocks), window)
+    second = next(blocks, None)
+    if second is None:
+        return docs.withColumn(column, _search(first, F.col(text))), column
+    row, block_column = fresh(docs, "row"), fresh(docs, "block_matches")
+    table = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    parts = []
+    for block in chain([None, second], blocks):
+        tests = first if block is None else TestSuffixes(block, window)
+        part = table.select(row, _search(tests, F.col(text)).alias(block_column)).select(row, f"{block_column}.*")
+        part = part if block is None else part.where(F.size("matches") > 0)
+        parts.append(materialize(part, "matches"))
+    counted = parts[0].select(row, "n_words")
+    every = reduce(DataFrame.unionByName, [p.select(row, F.explode("matches").alias("match")) for p in parts])
+    found = every.groupBy(row).agg(F.sort_array(F.collect_list("match")).alias("matches"))
+    known = counted.join(found, row, "left").select(
+        row, F.struct("n_words", F.coalesce("matches", F.array().cast(MATCHES)).alias("matches")).alias(column)
     )
-    return docs.withColumn(column, found).drop(*names), column
+    return table.join(known, row).drop(row), column
 
 
 def hit_words(found: Column) -> Column:
@@ -224,7 +261,10 @@ def hit_words(found: Column) -> Column:
 def contamination(
     docs: DataFrame, items: DataFrame, window: int = 10, id_column: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """Per row of ``docs``: id, ``n_words``, ``n_hit``, ``n_items``, ``item_ids``, ``contaminated``."""
+    """Per row of ``docs``: id, ``n_words``, ``n_hit``, ``n_items``, ``item_ids``, ``contaminated``.
+
+    Odd rows and tables give what :func:`matches` says of them; other columns are ignored.
+    """
     found, column = matches(docs.select(id_column, text), items, window, text)
     hits = F.col(column)["matches"]
     names = F.array_sort(F.array_distinct(F.transform(hits, lambda m: m["item"])))
