@@ -39,7 +39,8 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TOKEN = re.compile(r"\S*[0-9@]\S*")
+_TOKEN = re.compile(r"\S+")
+_MARK = re.compile(r"[0-9@]")
 _DIGIT = re.compile(r"[0-9]")
 _NUMBER = re.compile(r"[0-9()+ -]+")
 _WORD = re.compile(r"(?<![A-Za-z0-9._%+@-])[A-Za-z._%+-]+(?![A-Za-z0-9])")
@@ -152,6 +153,8 @@ def tokens(text: str, spans: list[tuple[str, int, int]]) -> list[Token]:
     out, at, last = [], 0, -1
     for m in _TOKEN.finditer(text):
         token = m.group()
+        if not _MARK.search(token):
+            continue
         start = m.start() + len(token) - len(token.lstrip("\"'([{<,;:.!?*&%$#"))
         end = m.end() - len(token) + len(token.rstrip("\"')]}>,;:.!?*&%$#"))
         if start >= end:
