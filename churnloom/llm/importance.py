@@ -169,5 +169,6 @@ def resample(
 
 
 def labelled_share(labels: DataFrame, column: str = "quality") -> float:
-    """Share of label 1 among the rows that have a label; 1 without any."""
-    return labels.agg(F.avg(F.col(column).cast("double"))).first()[0] or 1.0
+    """Share of label 1 among the rows that have a label; 1 if no row has one."""
+    share = labels.agg(F.avg(F.col(column).cast("double"))).first()[0]
+    return 1.0 if share is None else share

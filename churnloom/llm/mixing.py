@@ -11,6 +11,7 @@ a rerun or another partitioning draws the same documents.
 
 from __future__ import annotations
 
+import logging
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -89,12 +90,39 @@ def _rescaled(targets: DataFrame, cells: DataFrame) -> DataFrame:
 ROUNDS_A_JOB = 5
 
 
-def rake(cells: DataFrame, targets: DataFrame, rounds: int = 20, tolerance: float = 1e-9) -> DataFrame:
+class Unreachable(ValueError):
+    """Targets that no weights of the cells can meet."""
+
+
+def _gap(table: DataFrame) -> float:
+    """Largest relative distance of a marginal from its target."""
+    total = table.agg(F.sum("mass")).first()[0] or 0.0
+    if total <= 0:
+        return 0.0
+    gaps = [
+        table.groupBy(d).agg((F.sum("mass") / F.lit(total)).alias("got"), F.first(f"{d}_share").alias("share"))
+        .where("share > 0").agg(F.max(F.abs(F.col("got") / F.col("share") - 1))).first()[0]
+        for d in DIMENSIONS
+    ]
+    return max(g or 0.0 for g in gaps)
+
+
+def rake(
+    cells: DataFrame,
+    targets: DataFrame,
+    rounds: int = 500,
+    tolerance: float = 1e-9,
+    most_residual: float | None = 1e-6,
+) -> DataFrame:
     """``cells`` with ``weight``: the factor that brings every marginal to its target share.
 
     A round fits each dimension once. Rounds end when the last one moved no cell by more than
-    ``tolerance`` of itself, or after ``rounds``. A value without a target gets weight 0; targets
-    of values that do not occur are spread over the others.
+    ``tolerance`` of itself. If that does not happen within ``rounds``, or the marginals end more
+    than ``most_residual`` of their targets away from them, no weights of these cells meet all
+    targets (a value may occur only with values of a smaller target), and :class:`Unreachable`
+    is raised; with ``most_residual`` None the last weights are returned. ``residual`` is that
+    distance, the same in all rows. A value without a target gets weight 0; targets of values that
+    do not occur are spread over the others.
     """
     share = materialize(_rescaled(targets, cells), "targets")
     started = cells
@@ -118,9 +146,16 @@ def rake(cells: DataFrame, targets: DataFrame, rounds: int = 20, tolerance: floa
         if (table.agg(F.max(step)).first()[0] or 0.0) <= tolerance:
             break
         table = table.drop("before")
+    residual = _gap(table)
+    if most_residual is not None and residual > most_residual:
+        raise Unreachable(f"after {done} rounds a marginal is {residual:.3g} of its target away from it")
     n = table.agg(F.sum("tokens")).first()[0] or 0.0
     return table.select(
-        *DIMENSIONS, "tokens", "docs", (F.col("mass") * F.lit(n) / F.col("tokens")).alias("weight")
+        *DIMENSIONS,
+        "tokens",
+        "docs",
+        (F.col("mass") * F.lit(n) / F.col("tokens")).alias("weight"),
+        F.lit(residual).alias("residual"),
     )
 
 
@@ -137,7 +172,7 @@ def mix(
     seed: int = 42,
     topic_column: Column | None = None,
     token_column: Column | None = None,
-    rounds: int = 20,
+    most_residual: float | None = 1e-6,
     id_column: str = "doc_id",
 ) -> tuple[DataFrame, dict[str, str]]:
     """Documents drawn with calibrated probabilities, and the names of the columns added.
@@ -145,15 +180,20 @@ def mix(
     A document's probability is ``rate`` times its cell's weight over the largest weight. So the
     expected tokens of the sample have the target marginals exactly, and with ``rate`` 1 no larger
     sample has them. ``targets`` (``dimension``, ``value``, ``share``) defaults to
-    ``tempered_targets``. Null sources, languages and topics are values of their own, null
+    ``tempered_targets``. Given targets that cannot be met within ``most_residual`` of themselves are
+    an error; the default ones are then met as far as they can be, and the residual is logged. Null sources, languages and topics are values of their own, null
     and empty texts weigh one token, rows with one id are drawn together, an empty table
     gives an empty sample. All columns stay; names that clash get a number.
     """
     topic_column = topic() if topic_column is None else topic_column
     token_column = tokens() if token_column is None else token_column
     cells = materialize(count_cells(docs, topic_column, token_column), "cells")
-    targets = tempered_targets(cells) if targets is None else targets
-    raked = materialize(rake(cells, targets, rounds), "raked")
+    own = targets is None
+    targets = tempered_targets(cells) if own else targets
+    raked = materialize(rake(cells, targets, most_residual=None if own else most_residual), "raked")
+    residual = raked.agg(F.max("residual")).first()[0] or 0.0
+    if residual > 1e-6:
+        _LOG.warning("the sample misses a target by %.3g of it", residual)
     top = raked.agg(F.max("weight")).first()[0] or 1.0
     chances = raked.select(*DIMENSIONS, "weight", (F.col("weight") / F.lit(top) * F.lit(rate)).alias("probability"))
     names = {n: fresh(docs, f"mix_{n}") for n in (*DIMENSIONS, "tokens", "weight", "probability")}
