@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import OneHotEncoder, StringIndexer
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,12 +102,7 @@ def one_hot(spark, sf_dir):
     train, table = _fit_part(spark, sf_dir)
     names = list(ONE_HOT_COLUMNS)
     stages = [
-        StringIndexer(
-            inputCols=names,
-            outputCols=[f"{c}_index" for c in names],
-            stringOrderType="alphabetAsc",
-            handleInvalid="keep",
-        ),
+        features.CategoryIndexer(inputCols=names, outputCols=[f"{c}_index" for c in names]),
         OneHotEncoder(
             inputCols=[f"{c}_index" for c in names], outputCols=[f"{c}_onehot" for c in names]
         ),
@@ -254,7 +249,7 @@ def run_metrics(spark, sf_dir):
     measured = jobs.metrics_of_best(trained, _prepared(spark, sf_dir))
     return rounded(jobs.run_metrics("run-1", measured, trained), "value").where(
         "split <> 'setting'"
-    ).drop("model")
+    ).drop("model", "text")
 
 
 @query

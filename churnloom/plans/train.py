@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import logging
 import time
 import uuid
@@ -18,7 +19,6 @@ from churnloom.operators.features import (
     SELECTOR_DEPTH,
     SELECTOR_TREES,
     preprocessing,
-    require_few_categories,
 )
 from churnloom.operators.models import (
     BALANCED,
@@ -82,7 +82,6 @@ def transform(
     numeric, categorical = clean.columns_by_type(
         clean.coerce_numeric(train), target, [key, *id_columns]
     )
-    require_few_categories(train, categorical)
     inputs = [c for c in train.columns if c != target]
 
     def labeled(part: DataFrame) -> DataFrame:
@@ -169,23 +168,29 @@ def metrics_of_best(trained: Trained, prepared: Prepared) -> DataFrame:
 
 
 def run_metrics(run_id: str, measured: DataFrame, trained: Trained) -> DataFrame:
-    """Numeric metrics and settings of a run as (run_id, split, metric, value) rows."""
+    """Metrics and settings of a run as rows: run_id, model, split, metric, value and text.
+
+    A setting that is no number, such as an impurity or the settings of a stack's parts, has its
+    JSON in ``text``.
+    """
     names = [c for c in measured.columns if c != "split"]
     values = measured.select(
         "split", *(F.col(c).cast("double").alias(c) for c in names)
     ).unpivot(["split"], names, "metric", "value")
-    flat = {k: v for k, v in trained.best_settings.items() if isinstance(v, (int, float))}
-    fixed = {"expected_score": EXPECTED_SCORE, "fit_gap": FIT_GAP, **flat}
+    fixed = {"expected_score": EXPECTED_SCORE, "fit_gap": FIT_GAP, **trained.best_settings}
+    number = lambda v: float(v) if isinstance(v, (int, float)) else None
+    text = lambda v: None if isinstance(v, (int, float)) else json.dumps(v, sort_keys=True)
     settings = measured.sparkSession.createDataFrame(
-        [("setting", k, float(v)) for k, v in fixed.items()],
-        "split string, metric string, value double",
+        [("setting", k, number(v), text(v)) for k, v in fixed.items()],
+        "split string, metric string, value double, text string",
     )
-    return values.unionByName(settings).select(
+    return values.withColumn("text", F.lit(None).cast("string")).unionByName(settings).select(
         F.lit(run_id).alias("run_id"),
         F.lit(trained.best_name).alias("model"),
         "split",
         "metric",
         "value",
+        "text",
     )
 
 

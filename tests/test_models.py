@@ -196,11 +196,58 @@ def test_every_setting_of_the_full_search_builds(spark):
             spec.build(**settings)
 
 
-def test_columns_with_too_many_values_are_refused(spark):
-    df = spark.range(100).selectExpr("concat('v', id) AS t", "'a' AS u")
-    features.require_few_categories(df, ["t", "u"])
-    with pytest.raises(ValueError, match="'t'"):
-        features.require_few_categories(df, ["t", "u"], limit=10)
+def test_a_column_of_any_number_of_values_is_encoded(spark, tmp_path):
+    """200,000 values make as many slots, in their order; unseen and missing cells have none."""
+    from pyspark.ml.feature import OneHotEncoder
+
+    n = 200_000
+    df = spark.range(n).selectExpr("concat('v', lpad(id, 6, '0')) AS t", "concat('k', id % 3) AS u")
+    indexer = features.CategoryIndexer(inputCols=["t", "u"], outputCols=["t_index", "u_index"])
+    encoder = OneHotEncoder(inputCols=["t_index", "u_index"], outputCols=["t_onehot", "u_onehot"])
+    model = Pipeline(stages=[indexer, encoder]).fit(df)
+    model.write().save(str(tmp_path / "m"))
+    asked = spark.createDataFrame(
+        [("v000000", "k0"), ("v199999", "k2"), ("v123456", None), ("new", "k9"), (None, "k1")], "t string, u string"
+    )
+    for fitted in (model, PipelineModel.load(str(tmp_path / "m"))):
+        rows = {(r.t, r.u): (r.t_onehot, r.u_onehot) for r in fitted.transform(asked).collect()}
+        places = {k: (list(t.indices), list(u.indices)) for k, (t, u) in rows.items()}
+        assert places == {
+            ("v000000", "k0"): ([0], [0]),
+            ("v199999", "k2"): ([199_999], [2]),
+            ("v123456", None): ([123_456], []),
+            ("new", "k9"): ([], []),
+            (None, "k1"): ([], [1]),
+        }
+        assert {(t.size, u.size) for t, u in rows.values()} == {(n, 3)}
+
+
+def test_named_and_joined_categories_are_the_same(spark, monkeypatch):
+    df = spark.range(500).selectExpr("concat('v', id % 37) AS t", "CASE WHEN id % 5 > 0 THEN concat('w', id) END AS u")
+    indexer = features.CategoryIndexer(inputCols=["t", "u"], outputCols=["ti", "ui"])
+    found = []
+    for named in (10_000, 100, 1):
+        monkeypatch.setattr(features, "NAMED_CATEGORIES", named)
+        found.append(sorted(map(str, indexer.fit(df).transform(df).select("t", "u", "ti", "ui").collect())))
+    assert found[0] == found[1] == found[2]
+
+
+def test_records_as_json_rows(spark):
+    lines = spark.createDataFrame(
+        [('{"customerID": "a", "tenure": 5, "extra": {"x": 1}}',), ('{"customerID": "b", "MonthlyCharges": "7.5"}',)],
+        "record string",
+    )
+    table = readers.json_records(lines)
+    assert dict(table.dtypes) == {
+        "customerID": "string", "tenure": "int", "MonthlyCharges": "double", "extra": "string"
+    }
+    rows = {r["customerID"]: r.asDict() for r in table.collect()}
+    assert rows["a"] == {"customerID": "a", "tenure": 5, "MonthlyCharges": None, "extra": '{"x":1}'}
+    assert rows["b"]["MonthlyCharges"] == 7.5 and rows["b"]["tenure"] is None
+    with pytest.raises(ValueError, match="1 records"):
+        readers.json_records(spark.createDataFrame([("{}",), ("nonsense",)], "record string"))
+    with pytest.raises(ValueError, match="no record"):
+        readers.json_records(lines.limit(0))
 
 
 def test_saved_models_score_the_same(spark, prepared):
