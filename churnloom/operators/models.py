@@ -248,23 +248,33 @@ class StackingClassifier(Estimator, HasFeaturesCol, HasLabelCol, HasSeed):
 
     def wanted(self) -> list[Wanted]:
         """Every base classifier on all rows, then without each fold."""
-        folds = range(self.getOrDefault(self.folds))
-        return [(e, out) for out in (None, *((STACK_FOLD, f) for f in folds)) for e in self.base]
+        return [(e, None) for e in self.base] + self._without_folds()
+
+    def _without_folds(self) -> list[Wanted]:
+        folds = self.getOrDefault(self.folds)
+        return [(e, (stack_fold(folds), f)) for f in range(folds) for e in self.base]
 
     def _fit(self, dataset: DataFrame) -> StackingModel:
-        folds, key = self.getOrDefault(self.folds), self.getOrDefault(self.keyCol)
-        return self.fit_shared(FitCache(with_stack_folds(dataset, folds, key, self.getSeed())))
+        return self.fit_shared(FitCache(self._folded(dataset)))
+
+    def _folded(self, rows: DataFrame) -> DataFrame:
+        return with_stack_folds(rows, self.getOrDefault(self.folds), self.getOrDefault(self.keyCol), self.getSeed())
 
     def fit_shared(self, cache: FitCache) -> StackingModel:
-        """Fit on the cache's rows, which have the folds of :func:`with_stack_folds`."""
+        """Fit on the cache's rows; its fits on all rows, and on its folds if it has them, are shared."""
         folds, label = self.getOrDefault(self.folds), self.getLabelCol()
-        key = self.getOrDefault(self.keyCol)
-        fits = cache.fits(self.wanted(), self.getOrDefault(self.parallelism))  # a base for each fold
-        fits = [fits[i : i + len(self.base)] for i in range(0, len(fits), len(self.base))]
+        key, fold_column = self.getOrDefault(self.keyCol), stack_fold(folds)
+        parallelism = self.getOrDefault(self.parallelism)
+        inside = cache if fold_column in cache.rows.columns else FitCache(self._folded(cache.rows))
+        if inside is cache:
+            cache.fits(self.wanted(), parallelism)  # all in the same passes
+        base = cache.fits([(e, None) for e in self.base], parallelism)
+        parts = inside.fits(self._without_folds(), parallelism)
         held_out = None
         for fold in range(folds):
-            outside = cache.rows.where(F.col(STACK_FOLD) == fold)
-            scores = _stack_scores(fits[fold + 1], outside).select(key, label, "_stack")
+            outside = inside.rows.where(F.col(fold_column) == fold)
+            own = parts[fold * len(self.base) : (fold + 1) * len(self.base)]
+            scores = _stack_scores(own, outside).select(key, label, "_stack")
             held_out = scores if held_out is None else held_out.unionByName(scores)
         held_out = materialize(with_balanced_weights(held_out, label, "_weight"), "stack")
         n = held_out.count()
@@ -277,18 +287,23 @@ class StackingClassifier(Estimator, HasFeaturesCol, HasLabelCol, HasSeed):
             regParam=1.0 / max(n, 1),
             standardization=False,
         ).fit(held_out)
-        return StackingModel([top, *fits[0]])._resetUid(self.uid)
+        return StackingModel([top, *base])._resetUid(self.uid)
 
 
-STACK_FOLD = "stack_fold"
 STACK_FOLDS = 5
 
 
+def stack_fold(folds: int) -> str:
+    """Name of the column with the fold of each row, for a stack of so many folds."""
+    return f"stack_fold_{folds}"
+
+
 def with_stack_folds(
     df: DataFrame, folds: int = STACK_FOLDS, key: str = ID_COLUMN, seed: int = SEED
 ) -> DataFrame:
     """``df`` written with the folds of a stack."""
-    return materialize(hash_folds(df, folds, key, seed, STACK_FOLD), "stack-folds", STACK_FOLD)
+    name = stack_fold(folds)
+    return materialize(hash_folds(df, folds, key, seed, name), "stack-folds", name)
 
 
 #: A classifier to fit, and the fold column and fold whose rows it does not see.

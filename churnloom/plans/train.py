@@ -142,7 +142,9 @@ def train(
     # All that is still to fit, with the parts of a stack, goes through the cache at once.
     best_of = {s.name: s.build(**c.settings) for s, c in zip(specs, chosen)}
     wanted = [(e, None) for e in best_of.values() if not isinstance(e, StackingClassifier)]
-    wanted += [w for e in best_of.values() if isinstance(e, StackingClassifier) for w in e.wanted()]
+    for stack in best_of.values():
+        if isinstance(stack, StackingClassifier):
+            wanted += [w for w in stack.wanted() if not w[1] or w[1][0] in cache.rows.columns]
     cache.fits(wanted, parallelism)
     models = dict(zip(best_of, cache.fits([(e, None) for e in best_of.values()], parallelism)))
     spark = prepared.train.sparkSession
