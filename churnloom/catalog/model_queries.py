@@ -32,7 +32,10 @@ _SHARED: dict[tuple, object] = {}
 
 
 def _shared(spark: SparkSession, sf_dir: str, kind: str, build):
-    key = (spark.sparkContext.applicationId, generation(), sf_dir, kind)
+    now = (spark.sparkContext.applicationId, generation())
+    for key in [k for k in _SHARED if k[:2] != now]:
+        del _SHARED[key]  # what refers to dropped scratch is void
+    key = (*now, sf_dir, kind)
     if key not in _SHARED:
         _SHARED[key] = build()
     return _SHARED[key]
