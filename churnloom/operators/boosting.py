@@ -23,7 +23,6 @@ Three kinds of fits:
 from __future__ import annotations
 
 import math
-import re
 import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -32,11 +31,14 @@ import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnloom.sources.storage import materialize
 
+# The passes travel to the executors with the job, which need no installed copy of them.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Cut points that a tree looks at in one slot, plus 1.
 MAX_BINS = 256
 _WRITE_EVERY = 10
@@ -161,16 +163,6 @@ def slot_cuts(rows: DataFrame, features: str, bins: int = MAX_BINS) -> list[list
     return cuts
 
 
-def _send_code(spark: SparkSession) -> None:
-    """Passes travel to the executors with the job, which need no installed copy of them.
-
-    The tasks of a local session share this installation, which saves a third of a short pass.
-    """
-    module = sys.modules[__name__]
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        cloudpickle.register_pickle_by_value(module)
-
-
 def _bin_rows(rows: DataFrame, bins: Bins, features: str, kept: list[str], parts: int) -> DataFrame:
     """``rid``, the ``kept`` columns, and the entries outside the bin of zero as bytes."""
     index, value = _entries(features)
@@ -512,7 +504,6 @@ def fit_together(
     fits = list(fits)
     if not fits:
         return []
-    _send_code(rows.sparkSession)
     kept = sorted({f.weight for f in fits if f.weight} | {f.leave_out[0] for f in fits if f.leave_out})
     source = rows.select(features, F.col(label).cast("double").alias("y"), *(F.col(c).cast("double") for c in kept))
     layout = Bins.of(slot_cuts(source, features, bins))
