@@ -11,12 +11,16 @@ pair with a probability of 4e-7 (4e-6 for sets of 5 shingles, the smallest with
 differ), and more similar pairs far less. Every candidate is confirmed on the full sets of
 64-bit shingle hashes.
 
-Texts with equal sets are one node, however many they are. The members of a bucket are not
-paired with each other: in the first round all are held against the smallest, which makes one
-component of most groups. Only buckets whose members still lie in several components go on, with
-1, 2, 4 ... further members to hold the others against, and only pairs of different components
-are looked at. Rounds end when no bucket has two components or all its members had their turn,
-so no link between components is lost.
+Texts with equal sets are one node, however many they are. Members of a bucket are not paired with
+each other: at first every node is held against the smallest one that it shares a bucket with,
+which makes one component of most groups. From then on only buckets that several components share
+go on, and only pairs of different components are looked at. Shingles that no other of these
+documents has cannot be shared, so those with too many of their own, such as documents around a
+long passage that many share, go first. In a bucket of a few members all pairs that are left are
+compared. In a crowded one all are held against the smallest, the hub. Two members that both are
+similar to it are in its component; if one is not, it must share some of its differences from the
+hub with the other, and these, mostly rare, bring the pairs together. So no link between components
+is lost, and a group of copies never becomes all of its pairs.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnloom.llm.components import component_labels
@@ -38,6 +42,10 @@ PERMUTATIONS = 2
 SEED = 11
 #: Members that are held against one hub in one task.
 SHARD = 512
+#: Members of a bucket of which all pairs of different components are looked at.
+SMALL = 24
+#: Rounds of leaving out nodes that can have no partner; they save work and change no result.
+PEELS = 3
 _CHUNK = 1 << 15
 _FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -145,8 +153,8 @@ def _sets(rows: DataFrame, shingle: int) -> DataFrame:
     return rows.mapInPandas(find, "node long, n long, hashes array<long>")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (``a``, ``b``) of the written, distinct pairs (``hub``, ``node``) that are similar enough.
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Both sets of the written, distinct pairs (``hub``, ``node``).
 
     A hub with many members is held against them in several tasks.
     """
@@ -161,60 +169,185 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     dealt = pairs.join(hubs.hint("merge"), "hub").select(
         "hub", "node", F.pmod(F.xxhash64("node"), "shards").cast("int").alias("shard")
     )
-    both = dealt.join(sets.hint("merge"), "node").join(hub_sets.hint("merge"), ["hub", "shard"])
+    return dealt.join(sets.hint("merge"), "node").join(hub_sets.hint("merge"), ["hub", "shard"])
+
+
+def _similar(shared: Column, percent: int) -> Column:
+    return shared * 100 >= percent * (F.col("n") + F.col("hub_n") - shared)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (``a``, ``b``) of the pairs that are similar enough."""
     shared = F.size(F.array_intersect("hashes", "hub_hashes"))
     return (
-        both.where(F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent)
-        .where(shared * 100 >= percent * (F.col("n") + F.col("hub_n") - shared))
+        _compared(pairs, sets)
+        .where(F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent)
+        .where(_similar(shared, percent))
         .select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
     )
 
 
-def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links that join the same components as all similar pairs within the buckets.
+def _shared_buckets(nodes: DataFrame) -> DataFrame:
+    exploded = nodes.select("node", F.explode("bands").alias("bucket"))
+    shared = exploded.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last"))
+    shared = shared.where("hub < last").select("bucket", "hub")
+    return materialize(exploded.join(shared.hint("merge"), "bucket"), "members")
+
+
+def _merged(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+    """Labels with the ``found`` links added."""
+    if labels is not None:
+        known = labels.where("linked <> label").select(F.col("linked").alias("a"), F.col("label").alias("b"))
+        found = known.unionByName(found)
+    return component_labels(found).withColumnRenamed("node", "linked")
+
+
+def _mixed_only(named: DataFrame) -> DataFrame:
+    """Members of the buckets that several components share, with members, smallest node and size."""
+    mixed = (
+        named.groupBy("bucket")
+        .agg(
+            F.min("label").alias("low"),
+            F.max("label").alias("high"),
+            F.count("*").alias("members"),
+            F.min("size").alias("least"),
+            F.min(F.struct("node", "label", "size", "common")).alias("hub"),
+        )
+        .where(F.col("low") < F.col("high"))
+    )
+    kept = ["bucket", "members", "least", "hub"]
+    return materialize(
+        named.select("bucket", "node", "label", "size", "common").join(mixed.select(*kept).hint("merge"), "bucket"),
+        "mixed",
+    )
+
+
+def _named(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Mixed buckets of the members by the labels so far."""
+    named = members.join(labels.hint("merge"), members.node == labels.linked, "left").select(
+        "bucket", "node", "size", "common", F.coalesce("label", "node").alias("label")
+    )
+    return _mixed_only(materialize(named, "named"))
+
+
+def _sized(members: DataFrame, sets: DataFrame) -> DataFrame:
+    sizes = sets.select("node", F.col("n").alias("size"))
+    return members.select("bucket", "node").join(sizes.hint("merge"), "node").withColumn("common", F.col("size"))
+
+
+def _fits(size, common, other_size, other_common, percent: int) -> Column:
+    """Whether two sets can be similar: they share what both have in common with others at most."""
+    shared = F.least(common, other_common)
+    return shared * 100 >= percent * (size + other_size - shared)
+
+
+def _peeled(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Mixed buckets without the nodes that can be similar to no other in them.
+
+    A shingle that only one of the nodes has is shared with none. So a node whose edits, or whose
+    own text around a shared passage, leave too few others for the smallest set of its bucket goes
+    before any pair is looked at. What goes may leave others without a partner, hence the rounds.
+    """
+    for _ in range(PEELS):
+        nodes = mixed.select("node").distinct()
+        chosen = sets.join(nodes.hint("merge"), "node", "left_semi")
+        alone = (
+            chosen.select("node", F.explode("hashes").alias("hash"))
+            .groupBy("hash").agg(F.count("*").alias("nodes"), F.min("node").alias("node"))
+            .where("nodes = 1").groupBy("node").agg(F.count("*").alias("alone"))
+        )
+        known = mixed.drop("common").join(materialize(alone, "alone").hint("merge"), "node", "left")
+        known = known.withColumn("common", F.col("size") - F.coalesce("alone", F.lit(0)))
+        fits = F.col("common") * 100 >= percent * (F.col("size") + F.col("least") - F.col("common"))
+        kept = _mixed_only(materialize(known.where(fits), "peeled"))
+        before, after = mixed.count(), kept.count()
+        mixed = kept
+        if after > 0.9 * before:
+            break
+    return mixed
+
+
+def _ordered_pairs(pairs: DataFrame) -> DataFrame:
+    pairs = pairs.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"))
+    return materialize(pairs.distinct(), "pairs")
+
+
+def _small_pairs(small: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components, in buckets of bounded size, that can be similar."""
+    names = ("node", "label", "size", "common")
+    other = small.select("bucket", *(F.col(c).alias(f"hub_{c}") for c in names))
+    fits = _fits(*(F.col(c) for c in ("size", "common", "hub_size", "hub_common")), percent)
+    joined = small.join(other.hint("merge"), "bucket").where(F.col("node") > F.col("hub_node"))
+    return joined.where((F.col("label") != F.col("hub_label")) & fits).select(F.col("hub_node").alias("hub"), "node")
+
+
+def _differences(crowded: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """For each hub and member: whether they are similar, and the hashes that only one has; written.
+
+    The ``delta`` has what the member adds first, which is rarer than what it lacks.
+    """
+    pairs = crowded.select(F.col("hub.node").alias("hub"), "node").where("hub <> node").distinct()
+    both = _compared(materialize(pairs, "pairs"), sets)
+    added, lost = F.array_except("hashes", "hub_hashes"), F.array_except("hub_hashes", "hashes")
+    return materialize(
+        both.select("hub", "node", "n", "hub_n", added.alias("added"), lost.alias("lost")).select(
+            "hub", "node", "n", "hub_n",
+            _similar(F.col("n") - F.size("added"), percent).alias("similar"),
+            F.concat("added", "lost").alias("delta"),
+        ),
+        "differences",
+    )
+
+
+def _across(differences: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of one hub, in different components, that can be similar.
+
+    Sets x and y are similar if x and y differ in at most r (|x| + |y|) hashes, with r =
+    (100 - percent) / (100 + percent). What they differ in is what their differences from the hub
+    do not share. If x is not similar to the hub, they must share more than z = (|delta y| +
+    r (|hub| - |y|)) / 2 hashes of these. So one of them is among any |delta y| - floor(z) of y's:
+    x looks for all of its own among those.
+    """
+    named = differences.join(labels.hint("merge"), differences.node == labels.linked, "left").withColumn(
+        "label", F.coalesce("label", "node")
+    )
+    named = materialize(named.select("hub", "node", "n", "hub_n", "similar", "label", "delta"), "named")
+    m, apart, whole = F.size("delta"), 100 - percent, 100 + percent
+    shared = F.greatest(F.lit(0), m * whole + (F.col("hub_n") - F.col("n")) * apart)
+    first = (m - F.floor(shared / F.lit(2 * whole))).cast("int")
+    index = named.where(first > 0).select(
+        "hub",
+        F.col("node").alias("other"),
+        F.col("label").alias("other_label"),
+        F.col("n").alias("other_n"),
+        m.alias("other_m"),
+        F.explode(F.slice("delta", F.lit(1), F.greatest(F.lit(0), first))).alias("hash"),
+    )
+    probe = named.where("not similar").select("hub", "node", "label", "n", m.alias("m"), F.explode("delta").alias("hash"))
+    return (
+        probe.join(index.hint("merge"), ["hub", "hash"])
+        .where((F.col("node") != F.col("other")) & (F.col("label") != F.col("other_label")))
+        .where(F.abs(F.col("m") - F.col("other_m")) * whole <= (F.col("n") + F.col("other_n")) * apart)
+        .select(F.col("other").alias("hub"), "node")
+    )
+
+
+def _labels(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``linked`` and ``label`` of the nodes with links, of all similar pairs within buckets.
 
     ``members`` has ``bucket``, ``node`` and the bucket's smallest node, ``hub``.
     """
-    first = members.where(F.col("node") != F.col("hub")).select("hub", "node").distinct()
-    links = materialize(_confirmed(materialize(first, "pairs"), sets, percent), "links")
-    live, turn = members.select("bucket", "node"), 1
-    while True:
-        labels = component_labels(links).withColumnRenamed("node", "linked")
-        named = materialize(
-            live.join(labels.hint("merge"), live.node == labels.linked, "left").select(
-                *live.columns, F.coalesce("label", "node").alias("label")
-            ),
-            "named",
-        )
-        mixed = (
-            named.groupBy("bucket")
-            .agg(F.min("label").alias("low"), F.max("label").alias("high"))
-            .where(F.col("low") < F.col("high"))
-        )
-        named = named.join(mixed.select("bucket").hint("merge"), "bucket", "left_semi")
-        if turn == 1:
-            order = Window.partitionBy("bucket").orderBy("node")
-            named = named.withColumn("place", F.row_number().over(order) - 1)
-        live = materialize(named, "live")
-        # The members before place ``turn`` have been held against all others of their bucket.
-        hubs = live.where((F.col("place") >= turn) & (F.col("place") < 2 * turn)).select(
-            "bucket",
-            F.col("node").alias("hub"),
-            F.col("label").alias("hub_label"),
-            F.col("place").alias("hub_place"),
-        )
-        pairs = materialize(
-            live.join(hubs.hint("merge"), "bucket")
-            .where((F.col("place") > F.col("hub_place")) & (F.col("label") != F.col("hub_label")))
-            .select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"))
-            .distinct(),
-            "pairs",
-        )
-        if pairs.isEmpty() and live.where(F.col("place") >= 2 * turn).isEmpty():
-            return links
-        found = _confirmed(pairs, sets, percent)
-        links = materialize(links.unionByName(found), "links")
-        live, turn = live.drop("label"), 2 * turn
+    nearest = members.groupBy("node").agg(F.min("hub").alias("hub")).where("hub < node")
+    labels = _merged(None, _confirmed(_ordered_pairs(nearest), sets, percent))
+    mixed = _peeled(_named(_sized(members, sets), labels), sets, percent)
+    crowded = F.col("members") > SMALL
+    pairs = _small_pairs(mixed.where(~crowded), percent)
+    differences = _differences(mixed.where(crowded), sets, percent)
+    stars = differences.where("similar").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    found = _confirmed(_ordered_pairs(pairs), sets, percent).unionByName(stars)
+    labels = _merged(labels, materialize(found, "links"))
+    pairs = _ordered_pairs(_across(differences, labels, percent))
+    return _merged(labels, materialize(_confirmed(pairs, sets, percent), "links"))
 
 
 def near_duplicates(
@@ -257,16 +390,13 @@ def near_duplicates(
         .withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
-    exploded = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = exploded.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last"))
-    shared = shared.where("hub < last").select("bucket", "hub")
-    members = materialize(exploded.join(shared.hint("merge"), "bucket"), "members")
+    members = _shared_buckets(nodes.select("node", "bands"))
     wanted = nodes.join(members.select("node").distinct().hint("merge"), "node", "left_semi").select(
         "node", "one.*"
     )
     texts = source.select("a", "b", "text").join(wanted.hint("merge"), ["a", "b"])
     sets = materialize(_sets(texts.dropDuplicates(["a", "b"]).select("node", "text"), shingle), "sets")
-    labels = component_labels(_links(members, sets, percent)).withColumnRenamed("node", "linked")
+    labels = _labels(members, sets, percent)
     classes = materialize(
         nodes.join(labels.hint("merge"), nodes.node == labels.linked, "left").select(
             "set_key", "first_id", F.coalesce("label", "node").alias("class")

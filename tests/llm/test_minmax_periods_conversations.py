@@ -61,7 +61,10 @@ def test_near_duplicates_of_the_documents(spark, sf_dir):
     assert near_rows(QUERIES["op11_minmax"](spark, sf_dir)) == sorted(classes(docs, 2, 80))
 
 
-def test_chains_and_thresholds(spark):
+@pytest.mark.parametrize("small,peels", [(24, 3), (2, 0)])
+def test_chains_and_thresholds(spark, monkeypatch, small, peels):
+    monkeypatch.setattr(minmax, "SMALL", small)
+    monkeypatch.setattr(minmax, "PEELS", peels)
     rng = random.Random(3)
     rows = []
     for group in range(12):
@@ -76,8 +79,11 @@ def test_chains_and_thresholds(spark):
     assert near_rows(found) == sorted(classes(rows, 2, 80))
 
 
-def test_buckets_with_several_components_lose_no_link(spark):
-    """With one band of one permutation buckets are large and mixed; the rest is a matter of rounds."""
+@pytest.mark.parametrize("small,peels", [(24, 3), (2, 0), (2, 1)])
+def test_buckets_with_several_components_lose_no_link(spark, monkeypatch, small, peels):
+    """Bands of one permutation make large, mixed buckets; differences from the hub resolve them."""
+    monkeypatch.setattr(minmax, "SMALL", small)
+    monkeypatch.setattr(minmax, "PEELS", peels)
     rng = random.Random(5)
     base = [f"b{i}" for i in range(60)]
     rows = []
@@ -357,7 +363,7 @@ def test_repair_of_random_rows(spark):
     assert report_rows(conversations.repair_damaged(table)) == report_by_force(rows)
 
 
-def test_one_conversation_over_many_ranges_and_segments(spark, monkeypatch):
+def test_one_conversation_over_many_ranges_and_segments(spark):
     """One conversation holds most rows; its segments are solved apart and meet."""
     rng = random.Random(11)
     rows = [(1, i // 2, rng.choice(["user", "assistant", "system"]), rng.choice(["Yes.", "No", "", f"t{i}?"]))
