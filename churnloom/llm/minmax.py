@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnloom.llm.components import component_labels
@@ -306,29 +306,39 @@ def _across(differences: DataFrame, labels: DataFrame, percent: int) -> DataFram
     (100 - percent) / (100 + percent). What they differ in is what their differences from the hub
     do not share. If x is not similar to the hub, they must share more than z = (|delta y| +
     r (|hub| - |y|)) / 2 hashes of these. So one of them is among any |delta y| - floor(z) of y's:
-    x looks for all of its own among those.
+    x looks for all of its own among the rarest ones, by the members of the hub that differ in them.
     """
     named = differences.join(labels.hint("merge"), differences.node == labels.linked, "left").withColumn(
         "label", F.coalesce("label", "node")
     )
-    named = materialize(named.select("hub", "node", "n", "hub_n", "similar", "label", "delta"), "named")
     m, apart, whole = F.size("delta"), 100 - percent, 100 + percent
-    shared = F.greatest(F.lit(0), m * whole + (F.col("hub_n") - F.col("n")) * apart)
-    first = (m - F.floor(shared / F.lit(2 * whole))).cast("int")
-    index = named.where(first > 0).select(
-        "hub",
-        F.col("node").alias("other"),
-        F.col("label").alias("other_label"),
-        F.col("n").alias("other_n"),
-        m.alias("other_m"),
-        F.explode(F.slice("delta", F.lit(1), F.greatest(F.lit(0), first))).alias("hash"),
+    needed = F.greatest(F.lit(0), m * whole + (F.col("hub_n") - F.col("n")) * apart)
+    every = named.select(
+        "hub", "node", "n", "similar", "label", m.alias("m"),
+        (m - F.floor(needed / F.lit(2 * whole))).cast("int").alias("first"),
+        F.explode("delta").alias("hash"),
+    )
+    # What only one member differs in is shared with none; it comes first in every order.
+    held = materialize(
+        every.groupBy("hub", "hash").agg(F.count("*").alias("holders")).where("holders > 1"), "holders"
+    )
+    mine = Window.partitionBy("hub", "node")
+    met = materialize(
+        every.join(held.hint("merge"), ["hub", "hash"])
+        .withColumn("met", F.count("*").over(mine))
+        .withColumn("rank", F.row_number().over(mine.orderBy("holders", "hash")) + F.col("m") - F.col("met")),
+        "met",
+    )
+    index = met.where(F.col("rank") <= F.col("first")).select(
+        "hub", "hash", *(F.col(c).alias(f"other_{c}") for c in ("node", "label", "n", "m", "met"))
     )
-    probe = named.where("not similar").select("hub", "node", "label", "n", m.alias("m"), F.explode("delta").alias("hash"))
+    probe = met.where("not similar").select("hub", "hash", "node", "label", "n", "m", "met")
+    least = (F.col("m") + F.col("other_m")) * whole - (F.col("n") + F.col("other_n")) * apart
     return (
         probe.join(index.hint("merge"), ["hub", "hash"])
-        .where((F.col("node") != F.col("other")) & (F.col("label") != F.col("other_label")))
-        .where(F.abs(F.col("m") - F.col("other_m")) * whole <= (F.col("n") + F.col("other_n")) * apart)
-        .select(F.col("other").alias("hub"), "node")
+        .where((F.col("node") != F.col("other_node")) & (F.col("label") != F.col("other_label")))
+        .where(F.least("met", "other_met") * (2 * whole) >= least)
+        .select(F.col("other_node").alias("hub"), "node")
     )
 
 
