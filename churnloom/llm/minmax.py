@@ -46,6 +46,8 @@ SHARD = 512
 SMALL = 24
 #: Rounds of leaving out nodes that can have no partner; they save work and change no result.
 PEELS = 3
+#: Characters of text whose words are held as Python objects at a time.
+_TEXTS = 1 << 20
 _CHUNK = 1 << 15
 _FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -59,6 +61,19 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _SHIFT)
 
 
+def _portions(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in order, in portions of bounded length; a longer text is one of its own."""
+    portion, held = [], 0
+    for text in texts:
+        if portion and held + len(text) > _TEXTS:
+            yield portion
+            portion, held = [], 0
+        portion.append(text)
+        held += len(text)
+    if portion:
+        yield portion
+
+
 def shingle_sets(texts: list[str], shingle: int) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's word shingles; an empty array without words."""
     words = [text.encode().lower().split() for text in texts]  # bytes: ASCII only
@@ -128,14 +143,14 @@ def _signed(text: str, shingle: int, bands: int, permutations: int) -> Column:
     @F.pandas_udf(SIGNED)
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            sets = shingle_sets(list(texts), shingle)
-            filled = [i for i, s in enumerate(sets) if len(s)]
-            keys: list = [None] * len(sets)
-            if filled:
-                for i, key in zip(filled, hashing.keys([sets[i] for i in filled])):
-                    keys[i] = key.view(np.int64)
-            digests = [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets]
-            yield pd.DataFrame({"n": [len(s) for s in sets], "set_key": digests, "bands": keys})
+            sizes, digests, keys = [], [], []
+            for portion in _portions(list(texts)):
+                sets = shingle_sets(portion, shingle)
+                found = iter(hashing.keys(filled) if (filled := [s for s in sets if len(s)]) else ())
+                sizes += map(len, sets)
+                digests += [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets]
+                keys += [next(found).view(np.int64) if len(s) else None for s in sets]
+            yield pd.DataFrame({"n": sizes, "set_key": digests, "bands": keys})
 
     return sign(text)
 
@@ -145,10 +160,11 @@ def _sets(rows: DataFrame, shingle: int) -> DataFrame:
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = shingle_sets(list(batch.text), shingle)
-            yield pd.DataFrame(
-                {"node": batch.node, "n": [len(s) for s in found], "hashes": [s.view(np.int64) for s in found]}
-            )
+            nodes = iter(batch.node)
+            for portion in _portions(list(batch.text)):
+                found = shingle_sets(portion, shingle)
+                hashes = [s.view(np.int64) for s in found]
+                yield pd.DataFrame({"node": [next(nodes) for _ in found], "n": list(map(len, found)), "hashes": hashes})
 
     return rows.mapInPandas(find, "node long, n long, hashes array<long>")
 
