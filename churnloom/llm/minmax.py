@@ -316,13 +316,16 @@ def _differences(crowded: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 
 def _across(differences: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of one hub, in different components, that can be similar.
+    """Links of members of one hub that are in different components.
 
     Sets x and y are similar if x and y differ in at most r (|x| + |y|) hashes, with r =
     (100 - percent) / (100 + percent). What they differ in is what their differences from the hub
     do not share. If x is not similar to the hub, they must share more than z = (|delta y| +
     r (|hub| - |y|)) / 2 hashes of these. So one of them is among any |delta y| - floor(z) of y's:
     x looks for all of its own among the rarest ones, by the members of the hub that differ in them.
+    The first hash that both have, in that order, leaves them at most as many more as the shorter
+    rest after it; with too few the pair goes. The others are settled by the differences alone,
+    which tell in how many hashes the full sets differ.
     """
     named = differences.join(labels.hint("merge"), differences.node == labels.linked, "left").withColumn(
         "label", F.coalesce("label", "node")
@@ -342,19 +345,33 @@ def _across(differences: DataFrame, labels: DataFrame, percent: int) -> DataFram
     met = materialize(
         every.join(held.hint("merge"), ["hub", "hash"])
         .withColumn("met", F.count("*").over(mine))
-        .withColumn("rank", F.row_number().over(mine.orderBy("holders", "hash")) + F.col("m") - F.col("met")),
+        .withColumn("place", F.row_number().over(mine.orderBy("holders", "hash")))
+        .withColumn("rest", F.col("met") - F.col("place") + 1),
         "met",
     )
-    index = met.where(F.col("rank") <= F.col("first")).select(
-        "hub", "hash", *(F.col(c).alias(f"other_{c}") for c in ("node", "label", "n", "m", "met"))
+    index = met.where(F.col("place") + F.col("m") - F.col("met") <= F.col("first")).select(
+        "hub", "hash", *(F.col(c).alias(f"other_{c}") for c in ("node", "label", "n", "m", "rest"))
     )
-    probe = met.where("not similar").select("hub", "hash", "node", "label", "n", "m", "met")
+    probe = met.where("not similar").select("hub", "hash", "node", "label", "n", "m", "rest")
     least = (F.col("m") + F.col("other_m")) * whole - (F.col("n") + F.col("other_n")) * apart
-    return (
+    pairs = (
         probe.join(index.hint("merge"), ["hub", "hash"])
         .where((F.col("node") != F.col("other_node")) & (F.col("label") != F.col("other_label")))
-        .where(F.least("met", "other_met") * (2 * whole) >= least)
-        .select(F.col("other_node").alias("hub"), "node")
+        .where(F.least("rest", "other_rest") * (2 * whole) >= least)
+        .select("hub", F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b"))
+    )
+    # Members of several hubs are settled at one of them.
+    pairs = materialize(pairs.groupBy("a", "b").agg(F.min("hub").alias("hub")), "pairs")
+    shared = materialize(
+        met.groupBy("hub", "node", "n", "m").agg(F.array_sort(F.collect_list("hash")).alias("met")), "shared"
+    )
+    one = shared.select("hub", F.col("node").alias("a"), "n", "m", "met")
+    other = shared.select("hub", F.col("node").alias("b"), *(F.col(c).alias(f"other_{c}") for c in ("n", "m", "met")))
+    return (
+        pairs.join(one.hint("merge"), ["hub", "a"])
+        .join(other.hint("merge"), ["hub", "b"])
+        .where(F.size(F.array_intersect("met", "other_met")) * (2 * whole) >= least)
+        .select("a", "b")
     )
 
 
@@ -372,8 +389,7 @@ def _labels(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     stars = differences.where("similar").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     found = _confirmed(_ordered_pairs(pairs), sets, percent).unionByName(stars)
     labels = _merged(labels, materialize(found, "links"))
-    pairs = _ordered_pairs(_across(differences, labels, percent))
-    return _merged(labels, materialize(_confirmed(pairs, sets, percent), "links"))
+    return _merged(labels, materialize(_across(differences, labels, percent), "links"))
 
 
 def near_duplicates(
