@@ -118,6 +118,18 @@ def test_long_sets_over_several_chunks():
             assert low[i, p] == moved.min() and high[i, p] == moved.max()
 
 
+def test_portions_keep_every_text_in_order(monkeypatch):
+    monkeypatch.setattr(minmax, "_TEXTS", 50)
+    texts = ["", "a" * 200, "b c d", "", "e " * 30, "f g", "h" * 50, ""]
+    portions = list(minmax._portions(texts))
+    assert [text for portion in portions for text in portion] == texts
+    assert len(portions) > 1 and all(len(p) == 1 or sum(map(len, p)) <= 50 for p in portions)
+    assert list(minmax._portions([])) == []
+    whole = minmax.shingle_sets(texts, 2)
+    apart = [found for portion in portions for found in minmax.shingle_sets(portion, 2)]
+    assert all((a == b).all() for a, b in zip(whole, apart, strict=True))
+
+
 def test_near_duplicates_of_odd_rows(spark):
     long = " ".join(f"w{i}" for i in range(50_000))
     rows = [
