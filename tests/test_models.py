@@ -67,6 +67,21 @@ def test_knn_equals_brute_force(spark, monkeypatch, block, fanout):
             assert found[i][name] == pytest.approx(expected, abs=1e-9), (i, name)
 
 
+def test_near_boxes_bound_the_kth_neighbour(spark):
+    """Of the points of the boxes that are kept, those beyond the bound need no ranking."""
+    fit = spark.range(400).selectExpr("cast(id as double) a", "cast(2 * id as double) b")
+    model = KNNImputer(inputCols=["a", "b"]).fit(fit)
+    asked = spark.createDataFrame([(100.0, None, "10")], "r0 double, r1 double, recv_mask string")
+    points, levels = model._index(("10",))
+    boxes = model._near_boxes(asked.join(levels[-1], "recv_mask"))
+    met = boxes.withColumnRenamed("node", "block").join(points, ["recv_mask", "mask", "block"])
+    inside = met.where("(c0 - r0) * (c0 - r0) <= _limit")
+    assert inside.where("abs(c0 - r0) <= 2").count() == 5
+    assert 5 <= inside.count() < 0.7 * met.count()
+    filled = model.transform(spark.createDataFrame([(100.0, None)], "a double, b double")).first()
+    assert filled.b == 200.0
+
+
 def test_knn_of_tied_points_keeps_as_many_boxes_at_any_size(spark):
     """A row that has only a 0/1 column ties with half of all fit rows."""
     kept = []
