@@ -256,3 +256,17 @@ def test_a_stack_shares_the_fits_of_the_comparison(rows, monkeypatch):
     assert calls == [2, 10]  # the two on all rows are not fitted again
     again = cache.fits([(models.gradient_boosting(**small), None)])
     assert again[0] is first[0] and calls == [2, 10]
+
+
+def test_rows_are_written_in_blocks(rows, data, monkeypatch):
+    tables = []
+    plain = boosting.materialize
+    monkeypatch.setattr(boosting, "materialize", lambda df, *args: tables.append(plain(df, *args)) or tables[-1])
+    (whole,) = fit_together(rows, [Fit("second_order", 11, 2, leave_out=("fold", 1))])
+    assert [t.agg({"n": "sum"}).first()[0] for t in tables] == [N, N] and tables[0].count() < N / 5
+    # Small blocks, cut in small slices, and cells that are too many to hold give the same trees.
+    for name, value in (("BLOCK_ROWS", 7), ("SLICE_ROWS", 3), ("_DENSE_CELLS", 0), ("KNOWN_SLOTS", 1)):
+        monkeypatch.setattr(boosting, name, value)
+    (parts,) = fit_together(rows, [Fit("second_order", 11, 2, leave_out=("fold", 1))])
+    assert [inner_nodes(t) for t in parts.trees] == [inner_nodes(t) for t in whole.trees]
+    assert all(np.allclose(a.value, b.value) for a, b in zip(parts.trees, whole.trees))
