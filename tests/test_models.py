@@ -453,3 +453,28 @@ def test_rules_from_file(tmp_path):
 def test_customer_schema():
     assert dict(customer_schema(raw=True).fieldNames() and [(f.name, f.dataType.typeName()) for f in customer_schema(raw=True)])["TotalCharges"] == "string"
     assert TARGET not in customer_schema(target=False).names
+
+
+def test_knn_looks_up_new_rows_only(spark, monkeypatch):
+    rng = random.Random(5)
+    schema = "id int, a double, b double, c double, d double"
+    fit_rows = numbers(rng, 120, 0.1)
+    more = numbers(rng, 40, 0.3) + [(500, None, None, None, None)]
+    asked = []
+    means = KNNImputerModel._neighbour_means
+
+    def spy(self, receivers, masks):
+        asked.append(receivers.count())
+        return means(self, receivers, masks)
+
+    monkeypatch.setattr(KNNImputerModel, "_neighbour_means", spy)
+    table = spark.createDataFrame(fit_rows, schema)
+    both = spark.createDataFrame(fit_rows + more, schema)
+    model = KNNImputer(inputCols=COLS).fit(table)
+    model.transform(table).collect()
+    found = sorted(map(tuple, model.transform(both).collect()))
+    model.transform(table).collect()
+    own = {row[1:] for row in fit_rows if None in row}
+    assert asked == [len(own), len({row[1:] for row in more if None in row} - own)]
+    fresh = KNNImputer(inputCols=COLS).fit(table)
+    assert found == sorted(map(tuple, fresh.transform(both).collect()))

@@ -5,6 +5,8 @@ import re
 import __spark_entry__ as entry
 import pytest
 
+from churnloom.catalog import tables
+
 QUERIES = entry.queries()
 FORBIDDEN = (
     "CartesianProduct",
@@ -48,3 +50,12 @@ def test_running_totals_join_on_the_window_partitioning(spark, sf_dir):
     plan = executed_plan(QUERIES["prefix_sum"](spark, sf_dir)).split("Initial Plan")[-1]
     on_slice = [l for l in plan.splitlines() if "Exchange hashpartitioning" in l and "_slice" in l]
     assert len(on_slice) == 2
+
+
+def test_parts_are_read_from_one_written_table(spark, sf_dir):
+    train, test = tables.separable_parts(spark, sf_dir)
+    files = [*train.inputFiles(), *test.inputFiles()]
+    assert files and not any(sf_dir in f for f in files)
+    whole = tables.distinct_customers(spark, sf_dir)
+    assert train.count() + test.count() == whole.count()
+    assert train.columns == test.columns == whole.columns
