@@ -30,7 +30,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext, cloudpickle
+from pyspark import RDD, StorageLevel, TaskContext, cloudpickle
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,10 +43,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Cut points that a tree looks at in one slot, plus 1.
 MAX_BINS = 256
 _WRITE_EVERY = 10
-# Rows that make a task worth its start; most bytes of the tasks' sums that the driver adds up by itself.
-ROWS_A_TASK, FEW_BYTES = 20_000, 1 << 25
+# Rows that make a task worth its start, and most of a task; most bytes of the tasks' sums that the driver
+# adds up by itself.
+ROWS_A_TASK, MOST_ROWS, FEW_BYTES = 20_000, 1_000_000, 1 << 25
 # Most rows and entries of a written block, rows that are cut at a time, bins of slots that are kept.
-BLOCK_ROWS, BLOCK_ENTRIES, SLICE_ROWS, KNOWN_SLOTS = 1 << 14, 1 << 21, 1 << 11, 256
+BLOCK_ROWS, BLOCK_ENTRIES, SLICE_ROWS, KNOWN_SLOTS = 1 << 13, 1 << 21, 1 << 11, 256
 _DENSE_CELLS = 1 << 22
 _BLOCK = "n int, rid long, rows binary, cells binary, y binary, kept binary"
 _BLOCK_SCHEMA = pa.schema(
@@ -229,16 +230,16 @@ def _bin_rows(rows: DataFrame, bins: Bins, features: str, kept: list[str], parts
 
 
 class _Rows:
-    """A block of binned rows; bins of single slots on demand."""
+    """A block of binned rows, of numbers and bytes by column; bins of single slots on demand."""
 
     def __init__(self, block: dict, bins: Bins, kept: Sequence[str]) -> None:
-        self.n, self.bins = block["n"].as_py(), bins
-        read = lambda c, kind: np.frombuffer(block[c].as_buffer() or b"", kind)
+        self.n, self.bins = block["n"], bins
+        read = lambda c, kind: np.frombuffer(block[c] or b"", kind)
         self.row = read("rows", "<u2").astype(np.intp)
         self.cell = read("cells", "<i4").astype(np.int64)
         self.y = read("y", "<f8")
         self.kept = dict(zip(kept, read("kept", "<f8").reshape(len(kept), self.n)))
-        self.rid = block["rid"].as_py() + np.arange(self.n)
+        self.rid = block["rid"] + np.arange(self.n)
         self.saved = read("state", "<f8").reshape(-1, self.n) if "state" in block else None
         self.known: dict[int, np.ndarray] = {}
 
@@ -323,10 +324,8 @@ class _Pass:
             weight[_uniform(rows.rid, fit.seed, self.round) >= fit.subsample] = 0.0
         return weight
 
-    def blocks(self, batches: Iterator[pa.RecordBatch]) -> Iterator[_Rows]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                yield _Rows({c: batch.column(c)[i] for c in batch.schema.names}, self.bins, self.kept)
+    def rows(self, blocks: Iterator[dict]) -> Iterator[_Rows]:
+        return (_Rows(block, self.bins, self.kept) for block in blocks)
 
     def sums(self, rows: _Rows, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
         """Cells and values of an open tree's sums over a block; what lies in no open node comes last."""
@@ -340,11 +339,11 @@ class _Pass:
         index = np.concatenate([node[rows.row] + rows.cell, node + (width - 1)])
         return index, [np.concatenate([v[rows.row], v]) for v in (g, h)]
 
-    def histograms(self, batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    def histograms(self, blocks: Iterator[dict]) -> Iterator[dict[str, np.ndarray]]:
         """Sums by cell: of all blocks of a task, or of each block if the cells are too many to hold."""
         size = 2**self.level * (self.bins.cells + 1)
         held = np.zeros((3, len(self.open), size)) if len(self.open) * size <= _DENSE_CELLS else None
-        for rows in self.blocks(batches):
+        for rows in self.rows(blocks):
             for k in range(len(self.open)):
                 index, values = self.sums(rows, k)
                 if held is None:
@@ -361,36 +360,50 @@ class _Pass:
         """Sums of the whole table by cell, added up by Spark."""
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for found in self.histograms(batches):
+            for found in self.histograms(_arrow_blocks(batches)):
                 yield pa.RecordBatch.from_pydict(found)
 
         found = table.mapInArrow(rows, "cell long, g double, h double, n double")
         whole = found.groupBy("cell").agg(*(F.sum(c).alias(c) for c in "ghn")).toArrow()
         return {c: whole[c].to_numpy() for c in ("cell", *"ghn")}
 
-    def few(self, table: DataFrame) -> dict[str, np.ndarray]:
-        """Sums of each task by cell, in one row of bytes for each."""
-
-        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for found in self.histograms(batches):
-                whole = {c: [v.astype("<i8" if c == "cell" else "<f8").tobytes()] for c, v in found.items()}
-                yield pa.RecordBatch.from_pydict(whole)
-
-        rows = table.mapInArrow(packed, "cell binary, g binary, h binary, n binary").collect()
-        read = lambda c, kind: np.frombuffer(b"".join(r[c] for r in rows), kind)
-        return {"cell": read("cell", "<i8"), **{c: read(c, "<f8") for c in "ghn"}}
+    def few(self, held: RDD) -> dict[str, np.ndarray]:
+        """Sums of each task by cell, of the held blocks."""
+        found = held.mapPartitions(self.histograms).collect()
+        return {c: np.concatenate([f[c] for f in found]) if found else np.zeros(0, int) for c in ("cell", *"ghn")}
 
     def states(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 block = {c: batch.column(c)[i] for c in batch.schema.names}
-                rows = _Rows(block, self.bins, self.kept)
+                rows = _Rows(_plain(block), self.bins, self.kept)
                 state = np.stack([self.state(rows, f) for f in range(len(self.fits))]).astype("<f8").tobytes()
                 values = [block[c] for c in _BLOCK_SCHEMA.names] + [pa.scalar(state, pa.binary())]
                 arrays = [pa.array([v.as_py()], v.type) for v in values]
                 yield pa.RecordBatch.from_arrays(arrays, [*_BLOCK_SCHEMA.names, "state"])
 
 
+def _plain(block: dict[str, pa.Scalar]) -> dict:
+    """Numbers as they are; bytes are not copied."""
+    return {c: v.as_buffer() if pa.types.is_binary(v.type) else v.as_py() for c, v in block.items()}
+
+
+def _arrow_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield _plain({c: batch.column(c)[i] for c in batch.schema.names})
+
+
+def _held(table: DataFrame) -> RDD:
+    """The written blocks, kept by the executors for the passes until the next write.
+
+    To read the file and turn its wide cells into rows and Arrow again takes longer than to add them up.
+    What is lost or does not fit is read again, from the table or the executor's disk.
+    """
+    names = table.columns
+    return table.rdd.map(lambda row: dict(zip(names, row))).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _cell_sums(index: np.ndarray, values: list[np.ndarray], size: int, base: int) -> dict[str, np.ndarray]:
     cells, place, counts = np.unique(index, return_inverse=True, return_counts=True)
     own = cells < size
@@ -552,14 +565,20 @@ def fit_together(
     kept = sorted({f.weight for f in fits if f.weight} | {f.leave_out[0] for f in fits if f.leave_out})
     source = rows.select(features, F.col(label).cast("double").alias("y"), *(F.col(c).cast("double") for c in kept))
     layout = Bins.of(slot_cuts(source, features, bins))
-    # A pass over few rows is one short task; many rows keep the partitions they came in.
+    # A pass over few rows is one short task. The blocks of many rows are dealt in equal shares, a task for
+    # each core at least, whatever partitions the rows came in: every pass waits for its longest task.
     starts, count = _first_margins(source, fits, "y")
     parts = -(-count // ROWS_A_TASK) or 1
-    table = materialize(_bin_rows(source, layout, features, kept, parts), "binned")
+    binned = _bin_rows(source, layout, features, kept, parts)
+    if parts > 1:
+        cores = rows.sparkSession.sparkContext.defaultParallelism
+        binned = binned.repartition(max(min(cores, parts), -(-count // MOST_ROWS)))
+    table = materialize(binned, "binned")
     grown = [Grown(start=s) for s in starts]
     if not layout.cells:
         return grown
-    tasks = table.rdd.getNumPartitions()
+    held = _held(table)
+    tasks = held.getNumPartitions()
     written = [0] * len(fits)
     width = layout.cells + 1
     for round_ in range(max(f.rounds for f in fits)):
@@ -575,7 +594,7 @@ def fit_together(
             # A row for each fit, node and bin; of a few tasks their sums as they are.
             size = len(open_) * 2**level * width
             few = size <= _DENSE_CELLS and tasks * size * 32 <= FEW_BYTES
-            sums = step.few(table) if few else step.many(table)
+            sums = step.few(held) if few else step.many(table)
             cells = np.stack([np.bincount(sums["cell"], sums[c], size) for c in "ghn"])
             cells = cells.reshape(3, len(open_), 2**level, width)
             further = {}
@@ -592,8 +611,11 @@ def fit_together(
         if (round_ + 1) % _WRITE_EVERY == 0:
             step = _Pass(fits, grown, layout, kept, written)
             table = materialize(table.mapInArrow(step.states, f"{_BLOCK}, state binary"), "margins")
-            tasks = table.rdd.getNumPartitions()
+            held.unpersist()
+            held = _held(table)
+            tasks = held.getNumPartitions()
             written = [len(g.trees) for g in grown]
+    held.unpersist()
     return grown
 
 

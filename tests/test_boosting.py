@@ -5,6 +5,7 @@ import json
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
 
 from churnloom.operators import boosting, models, tune
 from churnloom.operators.boosting import Fit, fit_together
@@ -270,3 +271,16 @@ def test_rows_are_written_in_blocks(rows, data, monkeypatch):
     (parts,) = fit_together(rows, [Fit("second_order", 11, 2, leave_out=("fold", 1))])
     assert [inner_nodes(t) for t in parts.trees] == [inner_nodes(t) for t in whole.trees]
     assert all(np.allclose(a.value, b.value) for a, b in zip(parts.trees, whole.trees))
+
+
+def test_blocks_of_one_partition_are_dealt(rows, monkeypatch):
+    tables = []
+    plain = boosting.materialize
+    monkeypatch.setattr(boosting, "materialize", lambda df, *args: tables.append(plain(df, *args)) or tables[-1])
+    (whole,) = fit_together(rows, [Fit("gradient", 2, 2)])
+    for name, value in (("BLOCK_ROWS", 7), ("SLICE_ROWS", 3), ("ROWS_A_TASK", 10)):
+        monkeypatch.setattr(boosting, name, value)
+    (parts,) = fit_together(rows.coalesce(1), [Fit("gradient", 2, 2)])
+    held = tables[1].groupBy(F.input_file_name()).agg({"n": "sum"}).collect()
+    assert len(held) > 1 and max(r[1] for r in held) < N and sum(r[1] for r in held) == N
+    assert [inner_nodes(t) for t in parts.trees] == [inner_nodes(t) for t in whole.trees]
