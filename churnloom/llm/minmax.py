@@ -337,13 +337,16 @@ def _across(differences: DataFrame, labels: DataFrame, percent: int) -> DataFram
         (m - F.floor(needed / F.lit(2 * whole))).cast("int").alias("first"),
         F.explode("delta").alias("hash"),
     )
-    # What only one member differs in is shared with none; it comes first in every order.
-    held = materialize(
-        every.groupBy("hub", "hash").agg(F.count("*").alias("holders")).where("holders > 1"), "holders"
-    )
+    # What only members of one component differ in is shared by no pair that is looked for, however many
+    # they are; it comes first in every order. Counted beside the rows, in one shuffle.
+    alike = Window.partitionBy("hub", "hash")
     mine = Window.partitionBy("hub", "node")
     met = materialize(
-        every.join(held.hint("merge"), ["hub", "hash"])
+        every.withColumn("holders", F.count("*").over(alike))
+        .withColumn("low", F.min("label").over(alike))
+        .withColumn("high", F.max("label").over(alike))
+        .where("low < high")
+        .drop("low", "high")
         .withColumn("met", F.count("*").over(mine))
         .withColumn("place", F.row_number().over(mine.orderBy("holders", "hash")))
         .withColumn("rest", F.col("met") - F.col("place") + 1),

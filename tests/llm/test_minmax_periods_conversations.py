@@ -154,6 +154,22 @@ def test_string_ids(spark):
     assert near_rows(minmax.near_duplicates(docs, shingle=2)) == [("a", 2, "a"), ("b", 2, "a")]
 
 
+
+def test_differences_of_one_component_are_not_met(spark, monkeypatch):
+    kept = {}
+    plain = minmax.materialize
+    monkeypatch.setattr(minmax, "materialize", lambda df, name: kept.setdefault(name, plain(df, name)))
+    own, shared = list(range(15)), list(range(100, 115))
+    rows = [(0, n, 100, 100, False, own) for n in (1, 2, 3)] + [(0, n, 100, 100, False, shared) for n in (5, 6)]
+    differences = spark.createDataFrame(
+        rows, "hub long, node long, n long, hub_n long, similar boolean, delta array<long>"
+    )
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "linked long, label long")
+    links = minmax._across(differences, labels, 80)
+    assert [tuple(r) for r in links.collect()] == [(5, 6)]
+    assert {r.hash for r in kept["met"].collect()} == set(shared)
+
+
 # --- op12 ----------------------------------------------------------------------------
 
 
