@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnloom.llm.components import component_labels
-from churnloom.llm.tables import materialize, text_or_empty
+from churnloom.llm.tables import materialize, short_batches, text_or_empty
 
 BANDS = 28
 PERMUTATIONS = 2
@@ -423,7 +423,8 @@ def near_duplicates(
         value.alias("text"),
     )
     signed = _signed("text", shingle, bands, permutations)
-    rows = materialize(source.select("id", "a", "b", signed.alias("s")).select("id", "a", "b", "s.*"), "signed")
+    with short_batches(docs.sparkSession):
+        rows = materialize(source.select("id", "a", "b", signed.alias("s")).select("id", "a", "b", "s.*"), "signed")
     nodes = materialize(
         rows.where("n > 0")
         .groupBy("set_key")
@@ -440,7 +441,8 @@ def near_duplicates(
         "node", "one.*"
     )
     texts = source.select("a", "b", "text").join(wanted.hint("merge"), ["a", "b"])
-    sets = materialize(_sets(texts.dropDuplicates(["a", "b"]).select("node", "text"), shingle), "sets")
+    with short_batches(docs.sparkSession):
+        sets = materialize(_sets(texts.dropDuplicates(["a", "b"]).select("node", "text"), shingle), "sets")
     labels = _labels(members, sets, percent)
     classes = materialize(
         nodes.join(labels.hint("merge"), nodes.node == labels.linked, "left").select(

@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnloom.sources.storage import materialize
 
-__all__ = ["fresh", "keyed", "materialize", "read", "text_or_empty"]
+__all__ = ["fresh", "keyed", "materialize", "read", "short_batches", "text_or_empty"]
+
+#: Rows and bytes that a task hands to Python at a time.
+_BATCH = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "2m",
+}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -43,3 +52,24 @@ def keyed(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> tup
         F.col(text).isNull().cast("string"),
     )
     return docs.withColumn(name, key), name
+
+
+@contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside hand whole texts to Python in batches of bounded size.
+
+    A batch of 10,000 texts, the default, is held several times over: as Arrow columns and as a message
+    outside of the JVM's heap, and as a message and as objects in Python. The session's own bounds
+    come back when the block ends.
+    """
+    before = {key: spark.conf.get(key, None) for key in _BATCH}
+    try:
+        for key, value in _BATCH.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)

@@ -8,8 +8,9 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from churnloom.llm import conversations, minmax, periods
+from churnloom.llm import conversations, minmax, periods, tables
 from churnloom.llm.queries import QUERIES
 
 WHITE = " \t\n\v\f\r"
@@ -170,6 +171,40 @@ def test_differences_of_one_component_are_not_met(spark, monkeypatch):
     assert {r.hash for r in kept["met"].collect()} == set(shared)
 
 
+def test_texts_reach_python_in_short_batches(spark, monkeypatch):
+    keys = list(tables._BATCH)
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("x y z "), F.col("id") % 40).alias("text"))
+    bounds = {}
+    plain = minmax.materialize
+
+    def noted(df, name):
+        bounds[name] = [spark.conf.get(key) for key in keys]
+        return plain(df, name)
+
+    monkeypatch.setattr(minmax, "materialize", noted)
+    before = [spark.conf.get(key) for key in keys]
+    got = minmax.near_duplicates(docs, shingle=2).collect()
+    assert len(got) == 3000 and sum(r.kept for r in got) == 40
+    assert bounds["signed"] == bounds["sets"] == ["1000", "2m"] and bounds["nodes"] == before
+    assert [spark.conf.get(key) for key in keys] == before
+
+    def sizes(batches):
+        for batch in batches:
+            yield batch.assign(rows=len(batch), held=batch.text.str.len().sum())[["rows", "held"]]
+
+    def largest(length):
+        texts = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("a"), length).alias("text"))
+        with tables.short_batches(spark):
+            found = minmax.materialize(texts.mapInPandas(sizes, "rows long, held long"), "sizes")
+        return tuple(found.agg(F.max("rows"), F.max("held")).first())
+
+    assert largest(1)[0] <= 1000
+    assert largest(10_000)[1] <= 2**21 + 10_000  # the text that passes the bound is in
+    with pytest.raises(ZeroDivisionError), tables.short_batches(spark):
+        1 / 0
+    assert [spark.conf.get(key) for key in keys] == before
+
+
 # --- op12 ----------------------------------------------------------------------------
 
 
