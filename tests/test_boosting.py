@@ -284,3 +284,24 @@ def test_blocks_of_one_partition_are_dealt(rows, monkeypatch):
     held = tables[1].groupBy(F.input_file_name()).agg({"n": "sum"}).collect()
     assert len(held) > 1 and max(r[1] for r in held) < N and sum(r[1] for r in held) == N
     assert [inner_nodes(t) for t in parts.trees] == [inner_nodes(t) for t in whole.trees]
+
+
+def test_fits_of_few_rows_take_no_job_for_each_level(spark, rows, monkeypatch):
+    fits = [
+        Fit("gradient", 23, 3, leave_out=("fold", 1)),
+        Fit("second_order", 25, 4, subsample=0.7, columns=0.6, weight="w"),
+        Fit("stumps", 21, 1, 0.7),
+    ]
+    one = rows.coalesce(1)  # rows are numbered in the order they are written in
+    with monkeypatch.context() as m:
+        m.setattr(boosting, "WHOLE_BYTES", 0)
+        passes = fit_together(one, fits)
+    spark.sparkContext.setJobGroup("few-rows", "")
+    whole = fit_together(one, fits)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("few-rows")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) < 20
+    for a, b in zip(whole, passes):
+        assert (a.start, a.votes, a.shifts, a.stopped) == (b.start, b.votes, b.shifts, b.stopped)
+        assert [inner_nodes(t) for t in a.trees] == [inner_nodes(t) for t in b.trees]
+        assert all((x.value == y.value).all() for x, y in zip(a.trees, b.trees))
