@@ -109,3 +109,11 @@ def test_other_tables_are_left_to_mllib(spark, monkeypatch):
     three = rows.unionByName(_rows(spark, 3).selectExpr("features", "2D label", "weight"))
     fitted = models.random_forest(numTrees=2, maxDepth=3).fit(three)
     assert fitted.numClasses == 3 and not isinstance(fitted, forests.WholeForestModel)
+
+
+def test_forests_of_a_comparison_grow_whole_on_few_rows(spark):
+    rows = _rows(spark).withColumnRenamed("weight", models.BALANCED)
+    wanted = models.random_forest(numTrees=5, maxDepth=8)
+    assert not isinstance(wanted.fit(rows), forests.WholeForestModel)
+    (fitted,) = models.FitCache(rows).fits([(wanted, None)])
+    assert isinstance(fitted, forests.WholeForestModel) and fitted.uid == wanted.uid

@@ -478,3 +478,16 @@ def test_knn_looks_up_new_rows_only(spark, monkeypatch):
     assert asked == [len(own), len({row[1:] for row in more if None in row} - own)]
     fresh = KNNImputer(inputCols=COLS).fit(table)
     assert found == sorted(map(tuple, fresh.transform(both).collect()))
+
+
+def test_the_train_query_searches_the_whole_grid(spark, monkeypatch):
+    from churnloom.catalog import model_queries
+
+    asked = []
+    monkeypatch.setattr(model_queries, "_prepared", lambda *args: None)
+    monkeypatch.setattr(jobs, "train", lambda prepared, specs: asked.extend(specs))
+    model_queries._trained(spark, "no-such-folder")
+    assert {s.name: len(s.grid) for s in asked} == {
+        "random_forest": 24, "gradient_boosting": 16, "ada_boost": 4, "decision_tree": 12,
+        "weighted_boosting": 32, "stacking": 1,
+    }
